@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -50,3 +50,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root
+
+
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """The frame, written to the shared folder and read from there: its lineage is cut and any executor may be lost."""
+    path = scratch(frame.sparkSession, label)
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.parquet(path)
