@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel works on at once; bounds its memory whatever the batch holds.
@@ -23,6 +23,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart; a null text has the hash of the empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``CHUNK_BYTES`` of text each, a longer row alone."""
     for batch in batches:

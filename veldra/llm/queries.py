@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import bpe, quality_rules, simhash, token_counts, token_files
+from veldra.llm import bpe, decontam, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, token_files, toxicity
 from veldra.llm.common import table
-from veldra.session import scratch
+from veldra.llm.token_table import held_out, labelled_sample
+from veldra.session import scratch, stored
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +23,22 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _judged(scores: DataFrame, held: Column, least: float) -> DataFrame:
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(3, 1)
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held, toxicity.TRAIN_ROWS)
+    return _judged(toxicity.score(docs, toxicity.fit(stored(sample, "toxicity-sample"))), held, 0.7)
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(5, 0)
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~held, quality_model.TRAIN_ROWS)
+    return _judged(quality_model.score(docs, quality_model.fit(sample)), held, 0.3)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, end_id=2)
@@ -43,6 +60,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", "text")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -74,14 +105,39 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS s, unnest(range(0, len(string_split(t, chr(10))))) AS place FROM d),
+p AS (SELECT doc_id, t, place, trim(translate(s, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS s FROM l),
+m AS (SELECT doc_id, t, place, list_transform(string_split(s, ' '), lambda f: CASE WHEN regexp_matches(f, '[0-9]') THEN '<*>' ELSE f END) AS fs FROM p),
+f AS (SELECT doc_id, t, place, fs, len(fs) AS nf, fs[1:3] AS lead FROM m WHERE len(fs) >= 3),
+ex AS (SELECT fs, min(doc_id) AS first FROM f GROUP BY fs HAVING count(DISTINCT doc_id) >= 5),
+leaf AS (SELECT nf, lead FROM f GROUP BY nf, lead HAVING count(DISTINCT doc_id) >= 5),
+loose AS (SELECT f.* FROM f SEMI JOIN leaf USING (nf, lead) ANTI JOIN ex USING (fs)),
+fl AS (SELECT doc_id, place, nf, lead, unnest(fs) AS field, unnest(range(0, nf)) AS nth FROM loose),
+co AS (SELECT nf, lead, nth, field FROM fl GROUP BY nf, lead, nth, field HAVING count(DISTINCT doc_id) >= 5),
+sh AS (SELECT doc_id, place, nf, lead, list((nth, field) ORDER BY nth) AS c FROM fl JOIN co USING (nf, lead, nth, field) GROUP BY doc_id, place, nf, lead HAVING count(*) >= 0.6 * nf),
+ge AS (SELECT nf, lead, c, min(doc_id) AS first FROM sh GROUP BY nf, lead, c HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT doc_id, place FROM f JOIN ex USING (fs) WHERE doc_id <> first UNION SELECT doc_id, place FROM sh JOIN ge USING (nf, lead, c) WHERE doc_id <> first),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped, coalesce(string_agg(l.s, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text
+      FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, text FROM k
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_model": op2_quality_model,
     "op3_token_files": op3_token_files,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
 }

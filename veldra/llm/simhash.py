@@ -27,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import id_text, text_chunks
+from veldra.llm.common import id_text, text_chunks, text_hash
 from veldra.session import scratch, ship_package
 
 #: Distinct fingerprints that one bucket may hold before it is dealt out again.
@@ -62,15 +62,16 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a signed long) of every row. Null and empty texts have fingerprint 0."""
+    """``doc_id``, ``hash`` (of the text) and ``fp`` (the fingerprint's bits as a signed long) of every row. Null and empty texts have fingerprint 0."""
     ship_package(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             found = np.array([fingerprint(t, width) for t in chunk.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("hash"), pa.array(found.view(np.int64))], ["doc_id", "hash", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(kernel, "doc_id long, fp long")
+    rows = id_text(docs, id_col, text_col)
+    return rows.select("doc_id", text_hash(F.col("text")).alias("hash"), "text").mapInArrow(kernel, "doc_id long, hash long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -239,7 +240,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the least id reachable by links, for every row.
+    """``doc_id``, ``hash`` (of the text), ``fp``, ``root`` (of the component: its least fingerprint) and ``component_id``, the least id reachable by links, for every row.
 
     Null and empty texts share fingerprint 0 and link like any other. A row
     without an id takes part, but names no component; a component of such rows
@@ -255,10 +256,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(spark, star_edges(spark, distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(names, "root").select("fp", "root", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
     """The 16 lower-case hexadecimal digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the least id (rows without an id last), of equal rows one."""
+    found = simhash_components(docs, id_col, text_col, **settings)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x"))
+    stay = least.select(F.col("x.doc_id").alias("stay_id"), F.col("x.hash").alias("stay_hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"), text_hash(F.col(f"`{text_col}`")).alias("own_hash"))
+    left = keyed.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy(F.lit(0)))
+    return left.withColumn("nth", nth).where("nth = 1").select("row.*")
