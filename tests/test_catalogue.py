@@ -1,7 +1,7 @@
 """Every registered query against its SQL, and recall of those that SQL can't express."""
 
 import pytest
-from conftest import same_rows
+from rows import same_rows
 
 from veldra.plans import catalogue
 

@@ -55,5 +55,34 @@ def checkpoint_root(spark: SparkSession) -> str:
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """The frame, written to the shared folder and read from there: its lineage is cut and any executor may be lost."""
     path = scratch(frame.sparkSession, label)
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Stored frames that are needed only until a later one is stored: leaving the context deletes them.
+
+    ``keep`` stores a frame that stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def store(self, frame: DataFrame, label: str) -> DataFrame:
+        path = scratch(self.spark, label)
+        self.paths.append(path)
+        frame.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def keep(self, frame: DataFrame, label: str) -> DataFrame:
+        return stored(frame, label)
+
+    def __exit__(self, *_: object) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
