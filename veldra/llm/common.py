@@ -28,13 +28,13 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``CHUNK_BYTES`` of text each, a longer row alone."""
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``most`` bytes of text each, a longer row alone."""
     for batch in batches:
         start, size = 0, 0
         lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
         for row, length in enumerate(lengths):
-            if size and size + (length or 0) > CHUNK_BYTES:
+            if size and size + (length or 0) > most:
                 yield batch.slice(start, row - start)
                 start, size = row, 0
             size += length or 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.llm.common import id_text, text_chunks
-from veldra.llm.word_pieces import word_pieces
+from veldra.llm.word_pieces import CHUNK_BYTES, word_pieces
 from veldra.session import ship_package
 
 
@@ -31,28 +31,15 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_pieces(path)
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, most=CHUNK_BYTES):
             texts = chunk.column("text")
             codes, bounds, pieces, unstable = own.split(texts)
-            per_word = np.array([len(p) // 4 for p in pieces], dtype=np.int64)
-            running = np.concatenate([[0], np.cumsum(per_word[codes])]) if len(codes) else np.zeros(1, np.int64)
+            per_run = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) >> 2
+            running = np.concatenate([[0], np.cumsum(per_run[codes])])
             counts = running[bounds[1:]] - running[bounds[:-1]]
             for row in np.flatnonzero(unstable):
                 counts[row] = len(own.whole(texts[int(row)].as_py()))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = id_text(docs, id_col, text_col)
-    sized = rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-
-    def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Array] = []
-
-        def passed() -> Iterator[pa.RecordBatch]:
-            for chunk in text_chunks(batches):
-                held.append(chunk.column("n_bytes"))
-                yield chunk
-
-        for out in kernel(passed()):
-            yield pa.RecordBatch.from_arrays([out.column(0), held.pop(0), out.column(1)], ["doc_id", "n_bytes", "n_tokens"])
-
-    return sized.mapInArrow(with_bytes, "doc_id long, n_bytes long, n_tokens long")
+    rows = id_text(docs, id_col, text_col).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    return rows.mapInArrow(kernel, "doc_id long, n_bytes long, n_tokens long")

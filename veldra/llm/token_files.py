@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.llm.common import id_text, text_chunks
-from veldra.llm.word_pieces import word_pieces
+from veldra.llm.word_pieces import CHUNK_BYTES, word_pieces
 from veldra.session import ship_package
 
 #: Writer settings of the format.
@@ -39,22 +39,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
     id stand in the order of their texts. An empty table writes no rows.
     """
     ship_package(docs.sparkSession)
-    end = np.array([end_id], dtype=np.int32)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_pieces(vocabulary)
         before = 0
-        for chunk in text_chunks(batches):
-            texts = chunk.column("text")
-            codes, bounds, pieces, unstable = own.split(texts)
-            rows, lengths = [], []
-            for row in range(len(texts)):
-                ids = own.whole(texts[row].as_py()) if unstable[row] else np.frombuffer(b"".join([pieces[c] for c in codes[bounds[row] : bounds[row + 1]].tolist()]), dtype=np.int32)
-                rows += [ids, end]
-                lengths.append(len(ids) + 1)
-            counts = np.array(lengths, dtype=np.int64)
+        for chunk in text_chunks(batches, most=CHUNK_BYTES):
+            ids, counts = own.encode_texts(chunk.column("text"))
+            rows = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
             ends = np.cumsum(counts)
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(rows)))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rows))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(before + ends - counts), pa.array(counts), tokens], ["doc_id", "file_start", "n_tokens", "tokens"])
             before += int(ends[-1])
 

@@ -16,8 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pre-tokens and runs a worker keeps the pieces of; the caches are emptied when one holds more.
-CACHE_ENTRIES = 300_000
+#: Pre-tokens and runs a worker keeps the pieces of; the cache is emptied when it holds more.
+CACHE_ENTRIES = 600_000
+
+#: Bytes of text that share a dictionary of runs.
+CHUNK_BYTES = 12 << 20
 
 #: Characters for which lower case, composition and classes are the same everywhere.
 UNSTABLE = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]|<\|startoftext\|>|<\|endoftext\|>"
@@ -33,43 +36,64 @@ class WordPieces:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True  # a pre-token's last piece is marked
         self.cache: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
-    def pieces(self, words: list[str]) -> None:
+    def encode_new(self, words: list[str]) -> None:
         """Encode new distinct pre-tokens, together; the cache then has the ids of each as native 32-bit integers."""
         for at in range(0, len(words), 5000):
             some = words[at : at + 5000]
-            encoding = self.library.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoding.ids, dtype=np.int32).tobytes()
-            owners = np.array(encoding.word_ids, dtype=np.int64)
-            cuts = [0, *(4 * (np.flatnonzero(np.diff(owners)) + 1)).tolist(), len(ids)]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            held = ids.tobytes()
             if len(cuts) == len(some) + 1:
-                self.cache.update((w, ids[x:y]) for w, x, y in zip(some, cuts, cuts[1:]))
+                self.cache.update((w, held[x:y]) for w, x, y in zip(some, cuts, cuts[1:]))
             else:  # a word that isn't one pre-token when it stands alone
                 self.cache.update((w, self.whole(w).tobytes()) for w in some)
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Codes of the runs between white space of all stable texts, each text's bounds in them, the ids of each distinct run, and which texts are not stable.
 
-        Pre-tokens never reach over white space; a distinct run is cut into its
-        pre-tokens once, and each distinct pre-token is encoded once.
+        Pre-tokens never reach over white space; a new distinct run is cut into
+        its pre-tokens once, and each new distinct pre-token is encoded once.
         """
         unstable = pc.match_substring_regex(texts, UNSTABLE)
         lowered = pc.utf8_lower(pc.if_else(unstable, pa.scalar("", texts.type), texts))
         parted = pc.ascii_split_whitespace(lowered)
         coded = parted.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        runs = coded.dictionary.to_pylist()
         bounds = np.asarray(parted.offsets, dtype=np.int64)
-        if max(len(self.cache), len(self.runs)) > CACHE_ENTRIES:
+        if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-            self.runs.clear()
-        runs, cache = self.runs, self.cache
-        cut = {w: PRETOKEN.findall(w) for w in words if w not in runs}
-        self.pieces(list({p for own in cut.values() for p in own if p not in cache}))
+        cache = self.cache
+        new = [w for w in runs if w not in cache]
+        plain = [w for w in new if w.isalpha()]
+        cut = {w: PRETOKEN.findall(w) for w in new if not w.isalpha()}
+        self.encode_new(list({p for own in cut.values() for p in own if p not in cache}.union(plain)))
         for w, own in cut.items():
-            runs[w] = cache[own[0]] if len(own) == 1 else b"".join([cache[p] for p in own])
-        return np.asarray(coded.indices, dtype=np.int64), bounds - bounds[0], [runs[w] for w in words], np.asarray(unstable, dtype=bool)
+            cache[w] = b"".join([cache[p] for p in own])
+        return np.asarray(coded.indices, dtype=np.int64), bounds - bounds[0], [cache[w] for w in runs], np.asarray(unstable, dtype=bool)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in order, and how many each text has."""
+        codes, bounds, pieces, unstable = self.split(texts)
+        flat = np.frombuffer(b"".join(pieces), dtype=np.int32)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        per = sizes[codes]
+        running = np.concatenate([[0], np.cumsum(per)])
+        ids = flat[np.repeat(starts[codes] - running[:-1], per) + np.arange(running[-1])]
+        counts = running[bounds[1:]] - running[bounds[:-1]]
+        if not unstable.any():
+            return ids, counts
+        ends = running[bounds]
+        parts = []
+        for row in range(len(texts)):
+            parts.append(self.whole(texts[row].as_py()) if unstable[row] else ids[ends[row] : ends[row + 1]])
+            counts[row] = len(parts[-1])
+        return np.concatenate(parts), counts
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int32)
