@@ -35,6 +35,8 @@ from veldra.session import scratch, ship_package
 
 #: Distinct fingerprints that one bucket may hold before it is dealt out again.
 BUCKET = 1024
+#: A bucket whose members may differ in this many bits at most is never dealt out again: it has 2 to this power members at most.
+FREE_BITS = 10
 #: Numbers of parts among which the plan is chosen.
 PARTS = (2, 3, 4)
 #: Estimated work of making and shuffling a probe, in verified candidate pairs.
@@ -168,7 +170,7 @@ def _forest(lists: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
     for batch in lists:
         left, right = [], []
         for bucket in batch.column("fps").to_pylist():
-            values = np.array(bucket, dtype=np.int64)
+            values = np.array(bucket, dtype=np.int64).view(np.uint64)  # bits of a signed number would be counted in its absolute value
             near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
             label = np.arange(len(values))
             while True:
@@ -178,8 +180,8 @@ def _forest(lists: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
                     break
                 label = least
             linked = label != np.arange(len(values))
-            left += values[linked].tolist()
-            right += values[label[linked]].tolist()
+            left += values[linked].view(np.int64).tolist()
+            right += values[label[linked]].view(np.int64).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
@@ -191,8 +193,11 @@ def _probes(rows: DataFrame, masks: list[int]) -> DataFrame:
 def refined_masks(mask: Column, radius: int) -> Column:
     """For a bucket's mask: masks that also fix one of ``radius`` + 1 parts of its free bits."""
     bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)), lambda x: mask.bitwiseAND(x) == 0)
-    parts = [F.aggregate(F.filter(bits, lambda x, i, k=k: i % (radius + 1) == k), mask, lambda acc, x: acc.bitwiseOR(x)) for k in range(radius + 1)]
-    return F.array(*parts)
+
+    def part(k: int) -> Column:
+        return F.aggregate(F.filter(bits, lambda _, i: i % (radius + 1) == k), mask, lambda acc, x: acc.bitwiseOR(x))
+
+    return F.array(*map(part, range(radius + 1)))
 
 
 def star_edges(spark: SparkSession, distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -206,13 +211,14 @@ def star_edges(spark: SparkSession, distinct: DataFrame, radius: int = 2, bucket
         sizes = spark.read.parquet(path)
         edges = sizes.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
         shared = rows.join(sizes.where("n > 2").select("mask", "value", "n"), ["mask", "value"])
-        lists = shared.where(F.col("n") <= bucket).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).select("fps")
+        small = (F.col("n") <= bucket) | (F.bit_count("mask") >= 64 - FREE_BITS)
+        lists = shared.where(small).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).select("fps")
         edges = edges.unionByName(lists.mapInArrow(lambda it: _forest(it, radius), "a long, b long"))
         found = edges if found is None else found.unionByName(edges)
-        if not sizes.where(F.col("n") > bucket).limit(1).count():
+        if not sizes.where(~small).limit(1).count():
             return found.distinct()
         path = scratch(spark, "refined")
-        shared.where(F.col("n") > bucket).select("fp", F.explode(refined_masks(F.col("mask"), radius)).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).distinct().write.parquet(path)
+        shared.where(~small).select("fp", F.explode(refined_masks(F.col("mask"), radius)).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).distinct().write.parquet(path)
         rows = spark.read.parquet(path)
 
 
