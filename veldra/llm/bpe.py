@@ -63,11 +63,11 @@ class PairIndexCodec:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if made.get(x, -1) >= rank or made.get(y, -1) >= rank:
-                raise ValueError("a merge uses a symbol that a later merge makes")
             made.setdefault(z, rank)
             self.left.append(x), self.right.append(y), self.merged.append(z)
             self.ranks[x << 32 | y] = rank
+        if any(max(made.get(x, -1), made.get(y, -1)) >= rank for rank, (x, y) in enumerate(zip(self.left, self.right))):
+            raise ValueError("a merge uses a symbol that a later merge makes")
         size = max([*vocab.values(), *self.specials.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():

@@ -165,7 +165,7 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def features(block: Block, first: bool, last: bool) -> list[str]:
+def features(block: Block) -> list[str]:
     out = ["bias", f"links:{min(3, int(block.linked * 4))}"]
     tags = {tag for tag, _ in block.chain}
     out += [f"in:{t}" for t in sorted(tags)]
@@ -189,7 +189,6 @@ def features(block: Block, first: bool, last: bool) -> list[str]:
         out.append("ends:sentence")
     if text[0] in "©&|›»":
         out.append("starts:mark")
-    out += ["first"] * first + ["last"] * last
     return out
 
 
@@ -205,8 +204,7 @@ class Chain:
         if not blocks:
             return []
         names, emit = self.names, self.emit
-        n = len(blocks)
-        scores = [emit[[names[f] for f in features(b, i == 0, i == n - 1) if f in names]].sum(axis=0).tolist() for i, b in enumerate(blocks)]
+        scores = [emit[[names[f] for f in features(b) if f in names]].sum(axis=0).tolist() for b in blocks]
         (s00, s01), (s10, s11) = self.step.tolist()
         zero, one = (self.start + scores[0]).tolist()
         back = []
@@ -229,7 +227,7 @@ def fit(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 120, rate:
     labels: list[list[int]] = []
     for blocks, own in pages:
         if blocks:
-            rows.append([[names.setdefault(f, len(names)) for f in features(b, i == 0, i == len(blocks) - 1)] for i, b in enumerate(blocks)])
+            rows.append([[names.setdefault(f, len(names)) for f in features(b)] for b in blocks])
             labels.append(own)
     count, longest = len(rows), max(map(len, rows))
     x = np.zeros((count, longest, len(names)), dtype=np.float32)
@@ -294,7 +292,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> li
         return put("p", f"<b>{text}</b>" if rnd.random() < 0.15 else f'{text} <a href="/y">{words(1, 3)}</a>' if rnd.random() < 0.2 else text, label)
 
     def article() -> list[tuple[str, list[int]]]:
-        parts = [put("h1", words(2, 10, ""), 1)]
+        parts = [put("h1", words(2, 10, ""), 1)] if rnd.random() < 0.85 else []
         for _ in range(rnd.randint(1, 12)):
             kind = rnd.random()
             if kind < 0.7:
@@ -363,6 +361,10 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> li
             after.append(comments())
         foot = [wrap([prose(0) if rnd.random() < 0.5 else put("p", "&copy; " + words(1, 6), 0), *(links() if rnd.random() < 0.5 else [])], *rnd.choice((("footer", ""), ("footer", ""), ("div", named("footer", "site-footer", "copyright")))))] if rnd.random() < 0.85 else []
         page, labels = wrap([*top, *before, main, *after, *foot], "body")
+        if rnd.random() < 0.15:  # a bare article, as feeds and archives have it
+            page, labels = wrap([main], "body") if rnd.random() < 0.7 else main
+            out.append((page, labels))
+            continue
         out.append((f"<!DOCTYPE html><html><head><title>{words(2, 8, '')}</title><style>p{{}}</style></head>{page}</html>", [0, *labels]))
     return out
 
