@@ -29,6 +29,11 @@ EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 6, 450, 128, 0.05, 1e-5, 11
 #: Tokens a worker keeps the attributes of.
 CACHE_ENTRIES = 300_000
 
+#: Marks taken off a word's ends, and symbols (fixed values).
+EDGES = ".,;:!?\"'()#*$%&|<>"
+SYMBOLS = str.maketrans("", "", "#*$%&|<>@{}\\~^=+")
+ENDS = (".", "!", "?")
+
 #: Borders of the bins of each statistic.
 SHARES = np.array([0.0, 0.005, 0.01, 0.02, 0.04, 0.06, 0.1, 0.15, 0.25, 0.4, 0.6, 0.8])
 SIZES = np.array([0, 3, 8, 15, 30, 60, 120, 250, 500, 1000, 3000, 10000], dtype=float)
@@ -48,12 +53,17 @@ class Vectors:
         self.cache: dict[str, tuple[float, ...]] = {}
 
     def attributes(self, token: str) -> tuple[float, ...]:
-        letters = sum(map(str.isalpha, token))
-        digits = sum(map(str.isdigit, token))
-        word = token.lower().strip(".,;:!?\"'()#*$%&|<>")
+        bare = token.strip(EDGES)
+        word = bare.lower()
+        if bare.isalpha() or not bare:
+            letters, digits = len(bare), 0
+        else:
+            letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+        upper = 0 if word == bare else sum(map(str.isupper, token))
+        symbols = 0 if word == token or bare == token and bare.isalpha() else len(token) - len(token.translate(SYMBOLS))
         return (
-            float(zlib.crc32((word or token).encode("utf-8", "surrogatepass")) % BUCKETS), float(len(token)), float(sum(map(str.isupper, token))), float(letters > 1 and token.isupper()), float(digits),
-            float(sum(token.count(c) for c in "#*$%&|<>@{}\\~^=+")), float(len(token) - letters - digits), float(token[-1:] in ".!?"), float(token == "|"), float(len(token) > 12), float(len(token) < 3),
+            float(zlib.crc32((word or token).encode("utf-8", "surrogatepass")) % BUCKETS), float(len(token)), float(upper), float(upper > 1 and token.isupper()), float(digits),
+            float(symbols), float(len(token) - letters - digits), float(token[-1:] in ENDS), float(token == "|"), float(len(token) > 12), float(len(token) < 3),
         )
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,9 +18,12 @@ def coded_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums over each text's tokens; values may have columns."""
-    running = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return running[bounds[1:]] - running[bounds[:-1]]
+    """Sums over each text's tokens; values may have columns. A text without tokens has 0."""
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]))
+    filled = np.flatnonzero(np.diff(bounds))
+    if len(filled):
+        out[filled] = np.add.reduceat(values, bounds[filled], axis=0)
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ fitted on the other part, which neither has seen.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ LEXICON_MIN_DOCS = 5
 CALIBRATION_PART = 4
 #: Tokens a worker keeps the attributes of.
 CACHE_ENTRIES = 300_000
+#: Bytes of text that share a table of tokens.
+CHUNK_BYTES = 8 << 20
 
 TREES, DEPTH, RATE, BINS, LEAF_PENALTY, LEAF_LEAST = 80, 3, 0.15, 32, 2.0, 10
 
@@ -43,6 +46,9 @@ STAND_INS = str.maketrans("013457@$!|", "oieastasil")
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*#%&$|/\\_~`+="
 INNER = str.maketrans("", "", ".-_*'’·/\\+~")
 
+ODD = re.compile(r"[013457@$!|*._-]")
+STRETCHED = re.compile(r"(.)\1\1")
+
 PREFIXES = (4, 5, 6)
 
 
@@ -94,24 +100,37 @@ class Features:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
+        self.stems = {k[:-1]: odds for k, odds in lexicon.items() if k[-1:] == "~"}
+        self.heads = {k[: PREFIXES[0]] for k in self.stems}
         self.cache: dict[str, tuple[float, ...]] = {}
 
+    def stem(self, word: str) -> float:
+        """The largest odds of the word's beginnings."""
+        if word[: PREFIXES[0]] not in self.heads:
+            return 0.0
+        return max(self.stems.get(word[:n], 0.0) if len(word) > n else 0.0 for n in PREFIXES)
+
     def attributes(self, token: str) -> tuple[float, ...]:
         if not token:
             return (0.0,) * 15
-        word = core(token)
-        get = self.lexicon.get
-        whole = get(word, 0.0)
-        stem = max((get(k, 0.0) for k in keys(word)[1:]), default=0.0)
-        plain = revealed(token)
-        letters = sum(map(str.isalpha, token))
-        digits = sum(map(str.isdigit, token))
-        odd = letters and any(c in "013457@$!|*.-_" for c in token.strip(EDGES)) and plain != word
-        hidden = max((get(k, 0.0) for k in keys(plain)), default=0.0) if odd and not whole and not stem else 0.0
-        stretched = any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
+        bare = token.strip(EDGES)
+        word = bare.lower()
+        whole = self.lexicon.get(word, 0.0)
+        stem = self.stem(word)
+        odd = hidden = 0.0
+        if bare.isalpha() or not bare:
+            letters, digits = len(bare), 0
+        else:
+            letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+            plain = revealed(token)
+            if letters and plain != word and ODD.search(bare):
+                odd = 1.0
+                if not whole and not stem:
+                    hidden = max(self.lexicon.get(plain, 0.0), self.stem(plain))
+        upper = 0 if word == bare else sum(map(str.isupper, token))
         return (
-            float(whole > 0), max(whole, stem, hidden), float(stem > 0), float(hidden > 0), float(word in SECOND_PERSON), float(sum(map(str.isupper, token))), float(len(token) > 1 and letters > 1 and token.isupper()),
-            float(token.count("!")), float(token.count("?")), float(len(token) - letters - digits), float(bool(odd)), float(len(word) == 1 and letters == 1), float(stretched), float(digits), float(letters),
+            float(whole > 0), max(whole, stem, hidden), float(stem > 0), float(hidden > 0), float(word in SECOND_PERSON), float(upper), float(upper > 1 and token.isupper()),
+            float(token.count("!")), float(token.count("?")), float(len(token) - letters - digits), odd, float(letters == 1 and len(word) == 1), float(STRETCHED.search(token) is not None), float(digits), float(letters),
         )
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
@@ -218,17 +237,14 @@ class Isotonic:
 
     def __init__(self, margins: np.ndarray, y: np.ndarray):
         blocks: list[list[float]] = []
-        for m, label in sorted(zip(margins.tolist(), y.tolist())):
-            if blocks and blocks[-1][3] == m:  # equal margins are one point
-                last = blocks[-1]
-                last[0], last[1] = last[0] + label, last[1] + 1
-                last[2] += m
-            else:
-                blocks.append([label, 1.0, m, m])
+        points, where, counts = np.unique(margins, return_inverse=True, return_counts=True)  # equal margins are one point
+        hits = np.bincount(where, y, len(points))
+        for m, hit, n in zip(points.tolist(), hits.tolist(), counts.tolist()):
+            blocks.append([hit, n, m * n])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 top = blocks.pop()
                 last = blocks[-1]
-                last[0], last[1], last[2], last[3] = last[0] + top[0], last[1] + top[1], last[2] + top[2], top[3]
+                last[0], last[1], last[2] = last[0] + top[0], last[1] + top[1], last[2] + top[2]
         self.x = np.array([b[2] / b[1] for b in blocks])
         self.p = np.array([b[0] / b[1] for b in blocks])
 
@@ -290,7 +306,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship_package(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, most=CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(model.score(chunk.column("text")))], ["doc_id", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(kernel, "doc_id long, score double")
