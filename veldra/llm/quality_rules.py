@@ -111,7 +111,7 @@ def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "te
     spark = docs.sparkSession
     path = scratch(spark, "rules")
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    docs.select(row.alias("row"), measure(F.col(f"`{text_col}`")).alias("base"), F.col(f"`{host_col}`").alias("host")).write.option("compression", "zstd").parquet(path)
+    docs.select(row.alias("row"), measure(F.col(f"`{text_col}`")).alias("base"), F.col(f"`{host_col}`").alias("host")).write.parquet(path)
     measured = spark.read.parquet(path)
     verdicts = host_verdicts(measured.select("host", F.col("base.base_failed").alias("failed")), max_host_rate)
     path = scratch(spark, "hosts")
