@@ -80,6 +80,18 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs_of):
     assert decontam.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_one_edit_is_still_a_leak(spark, docs_of):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    items = [" ".join(rnd.choice(words) for _ in range(40)) for _ in range(20)]
+    edited = [t.split() for t in items]
+    for k, own in enumerate(edited):
+        own[2 * k] = "changed"
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of([f"x y {' '.join(own)} z" for own in edited]), bench).collect()}
+    assert found == {(k, k) for k in range(20)}
+
+
 def test_several_parts_of_the_benchmark_give_the_same(spark, docs_of, monkeypatch):
     rnd = random.Random(5)
     items = items_of(rnd, 40, [f"w{i}" for i in range(500)], 10, 40)

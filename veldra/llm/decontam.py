@@ -6,7 +6,8 @@ text would have, so that one threshold means the same share of any item.
 Every document is cut into passages that overlap by half, as wide as two of
 the longest items of the index; each passage is a query, and all items at or
 above the threshold are retrieved. What is retrieved is verified by the
-overlap of 5-word shingles with the item's question and with its answer.
+5-word shingles of the item's question and of its answer that the passage and
+its surroundings hold: 0.8 of all of them.
 
 Most passages can't reach the threshold for any item. For a whole chunk of
 text at once, the impacts of the rarer terms are summed by passage and item,
@@ -31,7 +32,7 @@ from veldra.session import ship_package
 K1, B = 1.2, 0.75
 #: Least share of an item's own BM25 score at which it is retrieved.
 THRESHOLD = 0.5
-#: Words of a shingle, and the least overlap with question and answer.
+#: Words of a shingle, and the least overlap with question and answer together.
 SHINGLE = 5
 OVERLAP = 0.8
 #: Postings of a block.
@@ -196,13 +197,14 @@ class BlockMaxIndex:
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
-    def overlaps(self, item: int, words: list[str]) -> tuple[float, float]:
-        """Shares of the item's question and answer shingles that the words have."""
-        out = []
+    def overlaps(self, item: int, words: list[str]) -> tuple[float, float, float]:
+        """Shares of the item's question, answer and all its shingles that the words have."""
+        out, found, every = [], 0, 0
         for part, width in ((self.question[item], self.short[0][item]), (self.answer[item], self.short[1][item])):
             have = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
             out.append(len(part & have) / len(part) if part else 1.0)
-        return out[0], out[1]
+            found, every = found + len(part & have), every + len(part)
+        return out[0], out[1], found / every if every else 0.0
 
 
 def build_indexes(rows: list[tuple[int, str, str, str]]) -> list[BlockMaxIndex]:
@@ -218,7 +220,7 @@ def build_indexes(rows: list[tuple[int, str, str, str]]) -> list[BlockMaxIndex]:
     return [BlockMaxIndex(own, stride) for stride, own in sorted(classes.items())]
 
 
-def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
+def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, float, float, float]]:
     """Row, item's place, score and overlaps of all that the passages of a chunk retrieve; one of the best passage per pair."""
     parted = pc.ascii_split_whitespace(texts)
     flat = parted.flatten()
@@ -232,7 +234,7 @@ def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, th
     segment = np.repeat(first[:-1], lengths) + inside // index.stride
     last = np.zeros(first[-1], dtype=bool)
     last[first[1:] - 1] = True
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
     for s in index.candidates(codes, segment, last, threshold).tolist():
         row = int(np.searchsorted(first, s, side="right")) - 1
         start = int(bounds[row] + (s - first[row]) * index.stride)
@@ -241,15 +243,16 @@ def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, th
         for item, score in index.retrieve(terms, threshold):
             reach = index.lengths[item]
             words = flat.slice(max(start - reach, int(bounds[row])), min(end + reach, int(bounds[row + 1])) - max(start - reach, int(bounds[row]))).to_pylist()
-            found = (*index.overlaps(item, words), score)
+            question, answer, overlap = index.overlaps(item, words)
+            found = (overlap, question, answer, score)
             if (row, item) not in best or found > best[row, item]:
                 best[row, item] = found
-    for (row, item), (question, answer, score) in best.items():
-        yield row, item, score, question, answer
+    for (row, item), (overlap, question, answer, score) in best.items():
+        yield row, item, score, question, answer, overlap
 
 
 def retrieve(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``hash`` (of the text), ``item_id``, ``score``, ``question_overlap``, ``answer_overlap`` of every document and item above the threshold.
+    """``doc_id``, ``hash`` (of the text), ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``, ``overlap`` of every document and item above the threshold.
 
     Null or empty texts and items match nothing; an empty benchmark gives no
     row. Repeated documents or items give repeated rows. Items are read by the
@@ -263,7 +266,7 @@ def retrieve(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // INDEX_BYTES))
     passages = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("hash"), normalised(F.col(text_col)).alias("text"))
-    schema = "doc_id long, hash long, item_id long, score double, question_overlap double, answer_overlap double"
+    schema = "doc_id long, hash long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
     out: DataFrame | None = None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("t", "item_id"), F.lit(parts)) == part) if parts > 1 else items
@@ -274,9 +277,9 @@ def retrieve(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             indexes = [(x, pa.array(x.terms)) for x in shared.value]
             for chunk in text_chunks(batches):
                 ids, hashes = chunk.column("doc_id"), chunk.column("hash")
-                found = [(ids[row].as_py(), hashes[row].as_py(), index.ids[item], score, q, a) for index, terms in indexes for row, item, score, q, a in search_chunk(index, terms, chunk.column("text"), threshold)]
-                columns = list(zip(*found)) if found else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "hash", "item_id", "score", "question_overlap", "answer_overlap"])
+                found = [(ids[row].as_py(), hashes[row].as_py(), index.ids[item], *measured) for index, terms in indexes for row, item, *measured in search_chunk(index, terms, chunk.column("text"), threshold)]
+                columns = list(zip(*found)) if found else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "hash", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
 
         found = passages.mapInArrow(kernel, schema)
         out = found if out is None else out.unionByName(found)
@@ -284,6 +287,5 @@ def retrieve(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, **settings) -> DataFrame:
-    """The retrieved pairs whose question and answer are both verified."""
-    pairs = retrieve(docs, benchmark, **settings)
-    return pairs.where((F.col("question_overlap") >= overlap) & (F.col("answer_overlap") >= overlap))
+    """The retrieved pairs of which the shingles of question and answer together are verified; overlaps by part are columns."""
+    return retrieve(docs, benchmark, **settings).where(F.col("overlap") >= overlap)
