@@ -11,13 +11,23 @@ def test_query_equals_sql(spark, sf_dir, name):
     same_rows(catalogue.QUERIES[name](spark, sf_dir), catalogue.SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", ["graph_search_bridge", "graph_search_hard_prune", "insearch_filter"])
+@pytest.mark.parametrize("name", ["graph_search_bridge", "graph_search_hard_prune", "insearch_filter", "hnsw_insearch"])
 def test_walk_recall(spark, sf_dir, name):
     found = {(r.qid, r.id) for r in catalogue.QUERIES[name](spark, sf_dir).collect()}
     want = {(r.qid, r.id) for r in catalogue.exact_topk(spark, sf_dir).collect()}
     assert len(found & want) >= 0.9 * len(want)
 
 
+def test_layered_recall(spark, sf_dir):
+    from veldra.operators import evaluate, exact
+    from veldra.plans.fixtures import base, queries
+
+    wanted = queries(spark, sf_dir)
+    truth = exact.exact_topk(base(spark, sf_dir), wanted, 10)
+    got = [r.recall for r in evaluate.recall(catalogue.hnsw_topk(spark, sf_dir), truth, wanted, 10).collect()]
+    assert sum(got) >= 0.9 * len(got)
+
+
 def test_static_buckets_stay_in_their_ranges(spark, sf_dir):
     rows = catalogue.static_range_buckets(spark, sf_dir).collect()
     assert rows and all(r.l <= r.id <= r.r for r in rows)

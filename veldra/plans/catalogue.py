@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import vectors
-from veldra.operators import evaluate, exact, graph, overlay, ranks, routing, search, strategies, workload
+from veldra.operators import evaluate, exact, graph, hnsw, overlay, ranks, routing, search, strategies, workload
 from veldra.plans import fixtures
 from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
 from veldra.session import stored
@@ -373,6 +373,33 @@ def insearch_filter(spark, sf_dir):
     return _one_graph(spark, sf_dir, F.col("bounds"), F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = hnsw.sharded(base(spark, sf_dir), 500)
+    return rows, stored(hnsw.build(rows), "links")
+
+
+@registered()
+def hnsw_topk(spark, sf_dir):
+    rows, links = layered(spark, sf_dir)
+    return hnsw.search(rows, links, queries(spark, sf_dir), K, 64)
+
+
+@registered()
+def hnsw_insearch(spark, sf_dir):
+    rows, links = layered(spark, sf_dir)
+    return hnsw.search(rows, links, queries(spark, sf_dir), K, 64, ATTRIBUTES)
+
+
+@registered()
+def hnsw_postfilter(spark, sf_dir):
+    """The 64 nearest rows of the index, and of these the nearest that pass."""
+    rows, links = layered(spark, sf_dir)
+    wanted = queries(spark, sf_dir)
+    legal = strategies.range_filter(rows, wanted, ATTRIBUTES)
+    near = hnsw.search(rows, links, wanted, 64, 128).drop("rank").join(legal, ["qid", "id"], "left_semi")
+    return exact.ranked(near, K).select("qid", "rank", "id", "dist")
+
+
 # Evaluation
 
 
