@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +26,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="veldra-")) / "veldra.zip"
+    folder = tempfile.mkdtemp(prefix="veldra-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "veldra.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(_PACKAGE.rglob("*.py")):
             archive.write(file, os.path.join(_PACKAGE.name, file.relative_to(_PACKAGE)))
@@ -47,6 +51,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="veldra-shared-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root
