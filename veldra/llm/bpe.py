@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import id_text, text_chunks
+from veldra.llm.common import Generations, id_text, text_chunks
 from veldra.session import ship_package
 
-#: Pre-tokens a worker keeps encoded between chunks; the cache is emptied when it holds more.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens in each of the two generations that a worker keeps encoded.
+CACHE_ENTRIES = 300_000
 
 #: The byte-level pre-tokenisation pattern that the vocabulary is published with (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -68,6 +68,8 @@ class PairIndexCodec:
             self.ranks[x << 32 | y] = rank
         if any(max(made.get(x, -1), made.get(y, -1)) >= rank for rank, (x, y) in enumerate(zip(self.left, self.right))):
             raise ValueError("a merge uses a symbol that a later merge makes")
+        self.byte_table = np.array(self.byte_ids, dtype=np.int64)
+        self.byte_pairs = np.array([self.ranks.get(x << 32 | y, -1) if x >= 0 <= y else -1 for x in self.byte_ids for y in self.byte_ids], dtype=np.int64)
         size = max([*vocab.values(), *self.specials.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -78,7 +80,7 @@ class PairIndexCodec:
         self.library.no_truncation()
         self.library.no_padding()
         self.back = back
-        self.cache: dict[str, bytes] = {}
+        self.cache = Generations(CACHE_ENTRIES)
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text that holds no special token."""
@@ -88,31 +90,29 @@ class PairIndexCodec:
 
     def merge_all(self, words: list[str]) -> list[bytes]:
         """The ids of each word as native 32-bit integers; one pair occurrence index serves all of them."""
-        byte_ids, ranks = self.byte_ids, self.ranks
-        sym: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        index: dict[int, list[int]] = {}
-        for word in words:
-            at = len(sym)
-            starts.append(at)
-            own = [byte_ids[b] for b in word.encode()]
-            if -1 in own:
-                raise ValueError("a byte is missing from the vocabulary")
-            n = len(own)
-            sym += own
-            after += range(at + 1, at + n + 1)
-            before += range(at - 1, at + n - 1)
-            before[at] = -1
-            after[-1] = -1
-            for i in range(n - 1):
-                rank = ranks.get(own[i] << 32 | own[i + 1])
-                if rank is not None:
-                    if rank in index:
-                        index[rank].append(at + i)
-                    else:
-                        index[rank] = [at + i]
+        if not words:
+            return []
+        ranks = self.ranks
+        raw = [word.encode() for word in words]
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        starts = np.concatenate([[0], ends[:-1]])
+        octets = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+        symbols = self.byte_table[octets]
+        if (symbols < 0).any():
+            raise ValueError("a byte is missing from the vocabulary")
+        following, previous = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        following[ends - 1] = previous[starts] = -1
+        # The index at first: positions of every pair of bytes that merges, by rank.
+        pair_ranks = np.append(self.byte_pairs[octets[:-1] << 8 | octets[1:]], -1)
+        pair_ranks[ends - 1] = -1
+        held = np.flatnonzero(pair_ranks >= 0)
+        held = held[np.argsort(pair_ranks[held], kind="stable")]
+        own = pair_ranks[held]
+        cuts = np.flatnonzero(np.diff(own, prepend=-1))
+        held_list, firsts = held.tolist(), cuts.tolist()
+        index = {rank: held_list[x:y] for rank, x, y in zip(own[cuts].tolist(), firsts, [*firsts[1:], len(held_list)])}
+        sym, after, before = symbols.tolist(), following.tolist(), previous.tolist()
+        rank_of, known = ranks.get, index.get
         active = sorted(index)  # a sorted list is a heap
         while active:
             rank = heappop(active)
@@ -130,31 +130,31 @@ class PairIndexCodec:
                 after[i] = k
                 if k >= 0:
                     before[k] = i
-                    new = ranks.get(made << 32 | sym[k])
+                    new = rank_of(made << 32 | sym[k])
                     if new is not None:
-                        if new in index:
-                            index[new].append(i)
-                        else:
+                        own = known(new)
+                        if own is None:
                             index[new] = [i]
                             heappush(active, new)
+                        else:
+                            own.append(i)
                 if h >= 0:
-                    new = ranks.get(sym[h] << 32 | made)
+                    new = rank_of(sym[h] << 32 | made)
                     if new is not None:
-                        if new in index:
-                            index[new].append(h)
-                        else:
+                        own = known(new)
+                        if own is None:
                             index[new] = [h]
                             heappush(active, new)
-        out = []
-        for at, end in zip(starts, [*starts[1:], len(sym)]):
-            out.append(array("i", [s for s in sym[at:end] if s >= 0]).tobytes())
-        return out
+                        else:
+                            own.append(h)
+        final = np.array(sym, dtype=np.int32)
+        left = final >= 0
+        counts = np.concatenate([[0], np.cumsum(left)])
+        flat = final[left].tobytes()
+        return [flat[x:y] for x, y in zip((4 * counts[starts]).tolist(), (4 * counts[ends]).tolist())]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts, as the library gives them without added special tokens."""
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
         parts: list[list[str]] = []
         mixed: dict[int, list[tuple[int, int]]] = {}
         for text in texts:
@@ -169,9 +169,8 @@ class PairIndexCodec:
                 parts.append(own + (self.cut(text[at:]) if at < len(text) else []))
             else:
                 parts.append(self.cut(text) if text else [])
-        new = list({w for own in parts for w in own if w not in cache})
-        cache.update(zip(new, self.merge_all(new)))
-        get = cache.__getitem__
+        self.cache.provide(set().union(*parts), self.merge_all)
+        get = self.cache.young.__getitem__
         out = []
         for row, own in enumerate(parts):
             made = list(map(get, own))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -40,3 +40,26 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
             size += length or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+class Generations:
+    """A bounded cache of what is made of words: a word that is used stays, one that a whole generation did not use goes."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def provide(self, words: Iterable[str], make: Callable[[list[str]], list[bytes]]) -> None:
+        """After this the young generation has all the words; those that neither has are made together."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        new = []
+        for w in missing:
+            if w in old:
+                young[w] = old[w]
+            else:
+                new.append(w)
+        young.update(zip(new, make(new)))
