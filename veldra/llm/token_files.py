@@ -62,7 +62,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
         "parquet.enable.dictionary": "false",
         "parquet.enable.dictionary#tokens.list.element": "true",
         "maxRecordsPerFile": 0,
-        "compression": "zstd",
+        "compression": "snappy",
     }
     for key, value in settings.items():
         writer = writer.option(key, value)

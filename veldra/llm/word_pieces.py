@@ -16,11 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pre-tokens and runs a worker keeps the pieces of; the cache is emptied when it holds more.
-CACHE_ENTRIES = 600_000
+from veldra.llm.common import Generations
+
+#: Runs and pre-tokens in each of the two generations that a worker keeps the pieces of.
+CACHE_ENTRIES = 260_000
 
 #: Bytes of text that share a dictionary of runs.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 #: Characters for which lower case, composition and classes are the same everywhere.
 UNSTABLE = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]|<\|startoftext\|>|<\|endoftext\|>"
@@ -39,19 +41,32 @@ class WordPieces:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True  # a pre-token's last piece is marked
-        self.cache: dict[str, bytes] = {}
+        self.cache = Generations(CACHE_ENTRIES)
 
-    def encode_new(self, words: list[str]) -> None:
-        """Encode new distinct pre-tokens, together; the cache then has the ids of each as native 32-bit integers."""
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        """The ids of new distinct pre-tokens as native 32-bit integers; they are encoded together."""
+        out: list[bytes] = []
         for at in range(0, len(words), 5000):
             some = words[at : at + 5000]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             held = ids.tobytes()
             if len(cuts) == len(some) + 1:
-                self.cache.update((w, held[x:y]) for w, x, y in zip(some, cuts, cuts[1:]))
+                out += [held[x:y] for x, y in zip(cuts, cuts[1:])]
             else:  # a word that isn't one pre-token when it stands alone
-                self.cache.update((w, self.whole(w).tobytes()) for w in some)
+                out += [self.whole(w).tobytes() for w in some]
+        return out
+
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of new runs: each is cut into its pre-tokens, and each that isn't known, as a run or part of one, is encoded once."""
+        cut = [(w,) if w.isalpha() else PRETOKEN.findall(w) for w in runs]
+        young, old = self.cache.young, self.cache.old
+        parts = {p for own in cut for p in own if p not in young}
+        known = {p: old[p] for p in parts if p in old}
+        new = [p for p in parts if p not in known]
+        known.update(zip(new, self.encode_new(new)))
+        young.update(known)
+        return [young[own[0]] if len(own) == 1 else b"".join([young[p] for p in own]) for own in cut]
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Codes of the runs between white space of all stable texts, each text's bounds in them, the ids of each distinct run, and which texts are not stable.
@@ -65,26 +80,21 @@ class WordPieces:
         coded = parted.flatten().dictionary_encode()
         runs = coded.dictionary.to_pylist()
         bounds = np.asarray(parted.offsets, dtype=np.int64)
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        new = [w for w in runs if w not in cache]
-        plain = [w for w in new if w.isalpha()]
-        cut = {w: PRETOKEN.findall(w) for w in new if not w.isalpha()}
-        self.encode_new(list({p for own in cut.values() for p in own if p not in cache}.union(plain)))
-        for w, own in cut.items():
-            cache[w] = b"".join([cache[p] for p in own])
-        return np.asarray(coded.indices, dtype=np.int64), bounds - bounds[0], [cache[w] for w in runs], np.asarray(unstable, dtype=bool)
+        self.cache.provide(runs, self.encode_runs)
+        known = self.cache.young
+        return np.asarray(coded.indices, dtype=np.int64), bounds - bounds[0], [known[w] for w in runs], np.asarray(unstable, dtype=bool)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in order, and how many each text has."""
         codes, bounds, pieces, unstable = self.split(texts)
         flat = np.frombuffer(b"".join(pieces), dtype=np.int32)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) >> 2
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) >> 2
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         per = sizes[codes]
-        running = np.concatenate([[0], np.cumsum(per)])
-        ids = flat[np.repeat(starts[codes] - running[:-1], per) + np.arange(running[-1])]
+        running = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
+        place = np.repeat(starts[codes] - running[:-1].astype(np.int32), per)  # 32 bits: a chunk has fewer tokens than bytes
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
         counts = running[bounds[1:]] - running[bounds[:-1]]
         if not unstable.any():
             return ids, counts
