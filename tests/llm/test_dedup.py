@@ -60,6 +60,21 @@ def test_joins_beyond_the_broadcast_bound(spark, docs_of):
     assert deduped(docs) == deduped(docs, broadcast_hashes=0)
 
 
+def test_variants_of_a_template_go_with_it(spark, docs_of):
+    passage = "the quick report of this week was sent to all of the members by post"
+    near, far = passage.replace("members", "readers"), "the quick report that nobody ever saw has been lost on its way home again"
+    general = [f"we are glad that {n} could come to this great event" for n in "ann bob cid dan eve fay".split()]
+    alone = "we are glad that gus could come to this small event"
+    texts = [f"{passage}\n{general[i]}" for i in range(6)] + [near, alone, far]
+    for settings in ({}, {"broadcast_hashes": 0}):
+        rows = deduped(docs_of(texts), **settings)
+        assert rows[0] == (texts[0], 2, 0) and all(rows[i][2] == 2 for i in range(1, 6))
+        assert rows[6] == rows[7] == ("", 1, 1) and rows[8] == (far, 1, 0)
+        assert deduped(docs_of(texts), variants=False, **settings)[6] == (near, 1, 0)
+    first = deduped(docs_of([f"{passage}\n{near}", *[passage] * 5]))
+    assert first[0] == (f"{passage}\n{near}", 2, 0)  # the template's own first document
+
+
 # SimHash
 
 
