@@ -75,6 +75,15 @@ def test_variants_of_a_template_go_with_it(spark, docs_of):
     assert first[0] == (f"{passage}\n{near}", 2, 0)  # the template's own first document
 
 
+def test_a_common_opening_is_no_template(spark, docs_of):
+    ends = "day night trip book film game song walk talk meal".split()
+    texts = [f"It was a {kind} {end}." if i % 2 else f"Here is the {end}" for i, (kind, end) in enumerate(zip(["good", "bad", "long", "odd", "new"] * 2, ends))]
+    texts += [f"it was a good {end}" for end in ends]
+    rows = deduped(docs_of(texts), min_docs=5)
+    assert all(rows[i] == (t, 1, 0) for i, t in enumerate(texts))
+    assert sum(n for _, _, n in deduped(docs_of(texts), min_docs=5, variants=False, whole_line=True).values()) > 0
+
+
 # SimHash
 
 

@@ -61,7 +61,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), variants=False)  # as OP6_SQL states
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), variants=False, whole_line=True)  # as OP6_SQL states
     return rows.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
