@@ -107,6 +107,17 @@ def test_planted_passages_of_the_tables(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, sf_dir).collect()} >= want
 
 
+def test_any_white_space_parts_words(spark, docs_of):
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    items = [f"how large is the town{c}? it was{c}measured in the spring. the answer is{c}twelve miles wide number {i}" for i, c in enumerate(spaces)]
+    plain = [" ".join(t.split()) for t in items]
+    assert all(set(c) <= {" "} | set(decontam.MARKS) for c in spaces)
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    for texts in (items, plain):
+        found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of([f"before it {t} after it" for t in texts]), bench).collect()}
+        assert found >= {(i, i) for i in range(len(items))}
+
+
 def test_question_and_answer():
     assert decontam.question_answer("What is it?\n\nA thing.") == ("What is it?", "A thing.")
     assert decontam.question_answer("One two. Three four.") == ("One two.", " Three four.")

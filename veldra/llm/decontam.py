@@ -42,8 +42,8 @@ INDEX_BYTES = 32 << 20
 #: Terms in more than this share of the items count as frequent.
 FREQUENT = 0.1
 
-#: Characters that part words (besides white space), as text.
-MARKS = "\t\n\x0b\f\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—·"
+#: White space besides the plain space, and characters that part words like it, as text.
+MARKS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" "\t\n\x0b\f\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—·"
 
 
 def normalised(text: Column) -> Column:
@@ -51,6 +51,15 @@ def normalised(text: Column) -> Column:
     return F.lower(F.translate(F.coalesce(text.cast("string"), F.lit("")), MARKS, " " * len(MARKS)))
 
 
+def parted(texts: pa.Array) -> pa.Array:
+    """The words of normalised texts, of documents and items alike."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in parted(pa.array([text]))[0].as_py() if w]
+
+
 def question_answer(text: str) -> tuple[str, str]:
     """An item's question and answer: its last line, else its last sentence, else its last third, is the answer."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -211,20 +220,20 @@ def build_indexes(rows: list[tuple[int, str, str, str]]) -> list[BlockMaxIndex]:
     """An index for each class of item lengths (64 words, then twice as many each); rows hold normalised texts, questions, answers."""
     classes: dict[int, list] = {}
     for item, text, question, answer in rows:
-        words = text.split()
+        words = words_of(text)
         if words:
             stride = 64
             while stride < len(words):
                 stride *= 2
-            classes.setdefault(stride, []).append((item, words, question.split(), answer.split()))
+            classes.setdefault(stride, []).append((item, words, words_of(question), words_of(answer)))
     return [BlockMaxIndex(own, stride) for stride, own in sorted(classes.items())]
 
 
 def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, float, float, float]]:
     """Row, item's place, score and overlaps of all that the passages of a chunk retrieve; one of the best passage per pair."""
-    parted = pc.ascii_split_whitespace(texts)
-    flat = parted.flatten()
-    bounds = np.asarray(parted.offsets, dtype=np.int64)
+    lists = parted(texts)
+    flat = lists.flatten()
+    bounds = np.asarray(lists.offsets, dtype=np.int64)
     bounds = bounds - bounds[0]
     lengths = np.diff(bounds)
     codes = np.asarray(pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1), dtype=np.int64)
