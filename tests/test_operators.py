@@ -159,6 +159,15 @@ def test_cell_neighbours_beyond_the_exact_bound(spark):
     assert len(cells) > 1000 and len(exactly & cells) > 0.4 * len(exactly)
 
 
+def test_neighbours_are_exact_beyond_the_bound(spark):
+    rows = [(i, generated(i)[0]) for i in range(300)] + [(300 + i, generated(7)[0]) for i in range(300)]
+    base = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    v = np.array([x for _, x in rows], dtype=np.float32).astype(float)
+    want = {(i, k, int(j)) for i in range(600) for k, j in enumerate([j for j in np.lexsort((np.arange(600), ((v - v[i]) ** 2).sum(axis=1))) if j != i][:5])}
+    for exact_rows in (1000, 250):
+        assert {(r.src, r.pos, r.dst) for r in graph.neighbours(base, 5, exact_rows=exact_rows).collect()} == want
+
+
 def test_graph_edits_keep_edges_valid(spark):
     base = spark.createDataFrame([(i, generated(i)[0]) for i in range(60)], "id long, v array<float>")
     old = base.where("id < 58")

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
 from veldra.operators.exact import candidates, ranked
-from veldra.session import ship_package
+from veldra.session import ship_package, stored
 
-#: Rows up to which all rows are queries of an exact search (a broadcast of vectors); beyond it cells are searched.
+#: Rows that are queries of one exact search (a broadcast of vectors); more are searched in several, each stored.
 EXACT_ROWS = 50_000
-#: Cells that a row is filed under, rows of a cell's block, and the largest number of cell centres (a bounded sample).
-CELL_COPIES, CELL_BLOCK, MOST_CELLS = 3, 2000, 4096
 #: The share of rows that a short edge spans; such edges are kept first.
 SHORT_SHARE = 50
 #: Of this many edges of a node one is pruned.
@@ -33,55 +31,29 @@ EDGE = "src long, dst long, ll long, lu long, rl long, ru long"
 def neighbours(base: DataFrame, count: int, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """``src``, ``pos`` (from 0), ``dst``, ``dist``: the nearest other rows of every row, ties by id.
 
-    Exact up to ``exact_rows`` rows, checked by a count. Beyond it every row is
-    filed under its nearest cells and compared within blocks of them, so the
-    work grows with the rows; what lies in no common block is missed.
+    Exact at any size: blocks of about ``exact_rows`` rows, by the hash of the
+    id, are the queries of an exact search each. The work grows with the square
+    of the rows; what is shuffled and stored is ``count`` rows a row.
     """
     rows = base.select("id", "v")
     if rows.limit(exact_rows + 1).count() <= exact_rows:
-        near = candidates(rows, rows.select(F.col("id").alias("qid"), F.col("v").alias("qv")), count + 1)
-    else:
-        near = _cell_neighbours(rows, count)
+        return _nearest(rows, rows, count)
+    rows = stored(rows, "rows")
+    blocks = -(-rows.count() // exact_rows)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    out: DataFrame | None = None
+    for b in range(blocks):
+        found = stored(_nearest(rows, rows.where(block == b), count), "neighbours")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest(rows: DataFrame, own: DataFrame, count: int) -> DataFrame:
+    near = candidates(rows, own.select(F.col("id").alias("qid"), F.col("v").alias("qv")), count + 1)
     found = near.where("qid <> id").withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
     return ranked(found, count).select(F.col("qid").alias("src"), (F.col("rank") - 1).alias("pos"), F.col("id").alias("dst"), "dist")
 
 
-def _cell_neighbours(rows: DataFrame, count: int) -> DataFrame:
-    """Candidate pairs within blocks of cells; each task holds one block of a cell."""
-    spark = rows.sparkSession
-    ship_package(spark)
-    n = rows.count()
-    cells = int(min(MOST_CELLS, max(1, n**0.5)))
-    centres = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()], dtype=np.float64)
-    shared = spark.sparkContext.broadcast(centres)
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        norms = (centres**2).sum(axis=1)
-        for batch in batches:
-            v = np.asarray(batch.column("v").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            order = np.argpartition(norms[None, :] - 2 * v @ centres.T, min(CELL_COPIES, len(centres)) - 1, axis=1)[:, :CELL_COPIES]
-            which = np.repeat(np.arange(batch.num_rows), order.shape[1])
-            taken = batch.take(pa.array(which))
-            yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("v"), pa.array(order.ravel().astype(np.int32))], ["id", "v", "cell"])
-
-    filed = rows.mapInArrow(file, "id long, v array<float>, cell int")
-    sizes = filed.groupBy("cell").agg(F.count("*").alias("n"))
-    blocks = filed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CELL_BLOCK).cast("long")))
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids = np.asarray(group.column("id").combine_chunks(), dtype=np.int64)
-        v = np.asarray(group.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
-        keep = min(count + 1, len(ids))
-        square = (v**2).sum(axis=1)
-        near = np.argpartition(square[None, :] - 2 * v @ v.T, keep - 1, axis=1)[:, :keep]
-        which = np.repeat(np.arange(len(ids)), keep)
-        lists = group.column("v").combine_chunks()
-        return pa.table({"qid": pa.array(ids[which]), "id": pa.array(ids[near.ravel()]), "v": lists.take(pa.array(near.ravel())), "qv": lists.take(pa.array(which))})
-
-    return blocks.groupBy("cell", "block").applyInArrow(compare, "qid long, id long, v array<float>, qv array<float>").dropDuplicates(["qid", "id"])
-
-
 def compress_node(center: int, labels: np.ndarray, dists: np.ndarray, vectors: np.ndarray, n: int, most: int, alpha: float = 1.0) -> list[tuple[int, int, int, int, int]]:
     """Kept candidates of a node, each with its envelope (dst, ll, lu, rl, ru).
 
