@@ -22,6 +22,11 @@ from veldra.llm.common import id_text, text_chunks
 from veldra.llm.word_pieces import CHUNK_BYTES, word_pieces
 from veldra.session import ship_package
 
+#: Bytes of text that one file holds at most, besides a longer document: more text makes more ranges of ids.
+RANGE_BYTES = 256 << 20
+#: Characters of a text that order, and part, the rows of one id.
+LEAD = 16
+
 #: Writer settings of the format.
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 256
@@ -34,11 +39,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
     """Encode every text, append ``end_id``, and write the files under ``path``.
 
     One shuffle deals whole texts out by ranges of ids; they are encoded after
-    it, so that the sampling pass that finds the ranges reads nothing but ids.
+    it. There are as many ranges as the session's shuffle partitions, and more
+    if a range would pass RANGE_BYTES of text, which a first pass adds up.
+
     Null or empty texts have the end id alone. Null ids come first; rows of one
-    id stand in the order of their texts. An empty table writes no rows.
+    id stand in the order of their texts' first LEAD characters, and if they
+    are too many for one file they go on in the next. A text of any length is
+    encoded whole. Repeated rows are written as often as they come, other
+    columns are ignored whatever their names, an empty table writes no rows.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_pieces(vocabulary)
@@ -52,7 +63,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(before + ends - counts), pa.array(counts), tokens], ["doc_id", "file_start", "n_tokens", "tokens"])
             before += int(ends[-1])
 
-    ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = id_text(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges, usual = -(-size // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["doc_id", "lead", "nth"]  # the last parts an id with too many rows of one beginning
+    keyed = rows.withColumns({"lead": F.left("text", F.lit(LEAD)), "nth": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(ranges, *keys) if ranges > usual else keyed.repartitionByRange(*keys)
+    ordered = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     writer = ordered.mapInArrow(kernel, SCHEMA).write.mode("errorifexists")
     settings = {
         "parquet.writer.version": "PARQUET_2_0",
@@ -73,7 +90,7 @@ def file_offsets(spark: SparkSession, path: str) -> DataFrame:
     """``file`` and ``offset`` (tokens of all files before it): one row per file, from the metadata columns alone."""
     files = spark.read.parquet(path).select(F.input_file_name().alias("file"), "doc_id", "n_tokens")
     sizes = files.groupBy("file").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n_tokens").alias("tokens"))
-    order = Window.orderBy(F.col("least").asc_nulls_first(), F.col("most").asc_nulls_first(), "file")
+    order = Window.orderBy(F.col("least").asc_nulls_first(), F.col("most").asc_nulls_first(), F.length("file"), "file")  # files of one id are numbered
     return sizes.select("file", (F.sum("tokens").over(order) - F.col("tokens")).alias("offset"))
 
 

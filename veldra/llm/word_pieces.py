@@ -1,14 +1,16 @@
-"""Pieces of distinct pre-tokens of a word-level BPE vocabulary, shared by token files and token counts.
-
-A chunk of texts becomes codes into a dictionary of its distinct runs between
-white space, in Arrow's native code. A new run is cut into pre-tokens once, and
-the tokenizers library encodes each distinct pre-token once. Texts with characters whose handling could depend on the
-Unicode version, or with a special token's string, are encoded whole by the
-library, so that every row has the library's ids.
+"""Pre-tokens of a word-level BPE vocabulary and their pieces, shared by token files and token counts.
+
+A chunk of texts becomes codes into a dictionary of its distinct pre-tokens, in
+Arrow's native code. The tokenizers library then encodes each distinct
+pre-token that a worker does not know yet, once. Texts with characters whose
+handling could depend on the Unicode version, or with a special token's
+string, are cut by the library's own normaliser and pre-tokenizer instead; their
+pre-tokens join the same dictionary.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -16,97 +18,178 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from veldra.llm.common import Generations
+from veldra.llm.bpe import byte_alphabet
 
-#: Runs and pre-tokens in each of the two generations that a worker keeps the pieces of.
-CACHE_ENTRIES = 260_000
+#: Distinct pre-tokens that a worker keeps the pieces of; beyond it the half that is used least goes.
+CACHE_ENTRIES = 600_000
 
-#: Bytes of text that share a dictionary of runs.
-CHUNK_BYTES = 6 << 20
+#: Bytes of text that share a dictionary of pre-tokens.
+CHUNK_BYTES = 8 << 20
 
-#: Characters for which lower case, composition and classes are the same everywhere.
-UNSTABLE = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]|<\|startoftext\|>|<\|endoftext\|>"
+#: Characters outside those for which lower case, composition and classes are the same everywhere.
+UNSTABLE = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
 
 #: The pre-tokenisation pattern that the vocabulary is published with (fixed value).
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: What of a text without white space is not a run of letters: by the pattern above, a pre-token of its own.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def _check(spec: dict) -> None:
+    """Refuse a file whose texts are handled otherwise than this module does."""
+    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
+    pattern = parts[0].get("pattern", {}).get("Regex") if parts else None
+    model = spec["model"]
+    right = kinds == ["NFC", "Replace", "Lowercase"] and pattern == PRETOKEN and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and [p["type"] for p in parts[1:]] == ["ByteLevel"]
+    if not right or model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout"):
+        raise ValueError("the vocabulary's normaliser, pre-tokenizer or model is not of the kind that this operator reads")
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+        raise ValueError("an added token is matched otherwise than by its plain string")
+
+
+class PreTokens:
+    """Cuts texts, and encodes distinct pre-tokens by the library."""
 
-class WordPieces:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        _check(spec)
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        strings = [regex.escape(s, special_only=True) for s in sorted(self.specials, key=len, reverse=True)]
+        self.special = regex.compile("|".join(strings)) if strings else None
+        self.unstable = "|".join([UNSTABLE, *strings])
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.back = {c: b for b, c in byte_alphabet().items()}
+        # The same library and model for strings that are pre-tokens already, parted by spaces.
+        bare = spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *spec["pre_tokenizer"]["pretokenizers"][1:]]}
+        self.model = Tokenizer.from_str(json.dumps(bare))
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True  # a pre-token's last piece is marked
-        self.cache = Generations(CACHE_ENTRIES)
 
-    def encode_new(self, words: list[str]) -> list[bytes]:
-        """The ids of new distinct pre-tokens as native 32-bit integers; they are encoded together."""
-        out: list[bytes] = []
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of any text by the library's own parts; a special token's string is one of them."""
+        out: list[str] = []
+        at = 0
+        for found in [*(self.special.finditer(text) if self.special else ()), None]:
+            part = text[at : found.start() if found else len(text)]
+            if part:
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                out += [bytes(self.back[c] for c in piece).decode() for piece, _ in pieces]
+            if found:
+                out.append(found.group())
+                at = found.end()
+        return out
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Codes of all pre-tokens in order, each text's bounds in them, and the distinct pre-tokens."""
+        unstable = pc.match_substring_regex(texts, self.unstable)
+        stable = pc.utf8_lower(pc.if_else(unstable, pa.scalar("", texts.type), texts))
+        spaced = pc.replace_substring_regex(stable, APART, r" \0 ")
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+        flat, bounds = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
+        bounds = bounds - bounds[0]
+        odd = np.flatnonzero(np.asarray(unstable, dtype=bool))
+        if len(odd):
+            pieces, sizes = [], np.diff(bounds)
+            for row, before in zip(odd.tolist(), [0, *(odd[:-1] + 1).tolist()]):
+                own = pa.array(self.cut(texts[row].as_py()), flat.type)
+                pieces += [flat.slice(bounds[before], bounds[row] - bounds[before]), own]
+                sizes[row] = len(own)
+            flat = pa.concat_arrays([*pieces, flat.slice(bounds[odd[-1] + 1])])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+        coded = flat.dictionary_encode()
+        codes, words = np.asarray(coded.indices), coded.dictionary
+        return codes, bounds, words
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many pieces each of the distinct pre-tokens has, and the ids of all; an empty string has none."""
+        sizes, ids = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for at in range(0, len(words), 5000):
             some = words[at : at + 5000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            held = ids.tobytes()
-            if len(cuts) == len(some) + 1:
-                out += [held[x:y] for x, y in zip(cuts, cuts[1:])]
-            else:  # a word that isn't one pre-token when it stands alone
-                out += [self.whole(w).tobytes() for w in some]
-        return out
+            own = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.flatnonzero(self.ends[own]) + 1
+            if len(ends) == len(some) and not any(w in self.specials for w in some):
+                own_sizes = np.diff(ends, prepend=0)
+            else:
+                lists = [[self.specials[w]] if w in self.specials else self.model.encode(w, add_special_tokens=False).ids for w in some]
+                own_sizes, own = np.array([len(x) for x in lists]), np.array([i for x in lists for i in x], dtype=np.int32)
+            sizes.append(own_sizes.astype(np.int32)), ids.append(own)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+
+class Known:
+    """A bounded table of what a worker knows of pre-tokens: the number of pieces and, if kept, their ids."""
+
+    def __init__(self, pre: PreTokens, keep_ids: bool, most: int):
+        self.pre, self.keep_ids, self.most = pre, keep_ids, most
+        self.words = pa.array([], pa.string())
+        self.sizes = self.uses = self.ids = np.empty(0, dtype=np.int32)
+        self.starts = np.empty(0, dtype=np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct pre-tokens stand in the table; those that it lacks are encoded together and added."""
+        if len(self.words) > self.most:
+            self._shrink()
+        if len(self.words):
+            found = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1))
+        else:
+            found = np.full(len(words), -1, dtype=np.int32)
+        found = found.astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            added = words.take(pa.array(new))
+            sizes, ids = self.pre.encode(added.to_pylist())
+            found[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, added])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int32)])
+            if self.keep_ids:
+                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
+                self.ids = np.concatenate([self.ids, ids])
+        self.uses[found] += 1
+        return found
+
+    def _shrink(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
+        self.words, self.uses, sizes = self.words.take(pa.array(stay)), self.uses[stay] >> 1, self.sizes[stay]
+        if self.keep_ids:
+            ends = np.cumsum(sizes, dtype=np.int64)
+            self.ids = self.ids[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            self.starts = ends - sizes
+        self.sizes = sizes
 
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        """The ids of new runs: each is cut into its pre-tokens, and each that isn't known, as a run or part of one, is encoded once."""
-        cut = [(w,) if w.isalpha() else PRETOKEN.findall(w) for w in runs]
-        young, old = self.cache.young, self.cache.old
-        parts = {p for own in cut for p in own if p not in young}
-        known = {p: old[p] for p in parts if p in old}
-        new = [p for p in parts if p not in known]
-        known.update(zip(new, self.encode_new(new)))
-        young.update(known)
-        return [young[own[0]] if len(own) == 1 else b"".join([young[p] for p in own]) for own in cut]
-
-    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Codes of the runs between white space of all stable texts, each text's bounds in them, the ids of each distinct run, and which texts are not stable.
-
-        Pre-tokens never reach over white space; a new distinct run is cut into
-        its pre-tokens once, and each new distinct pre-token is encoded once.
-        """
-        unstable = pc.match_substring_regex(texts, UNSTABLE)
-        lowered = pc.utf8_lower(pc.if_else(unstable, pa.scalar("", texts.type), texts))
-        parted = pc.ascii_split_whitespace(lowered)
-        coded = parted.flatten().dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        bounds = np.asarray(parted.offsets, dtype=np.int64)
-        self.cache.provide(runs, self.encode_runs)
-        known = self.cache.young
-        return np.asarray(coded.indices, dtype=np.int64), bounds - bounds[0], [known[w] for w in runs], np.asarray(unstable, dtype=bool)
+
+class WordPieces:
+    def __init__(self, path: str):
+        self.pre = PreTokens(path)
+        self.pieces, self.counts = Known(self.pre, True, CACHE_ENTRIES), Known(self.pre, False, CACHE_ENTRIES)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in order, and how many each text has."""
-        codes, bounds, pieces, unstable = self.split(texts)
-        flat = np.frombuffer(b"".join(pieces), dtype=np.int32)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) >> 2
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        per = sizes[codes]
-        running = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
-        place = np.repeat(starts[codes] - running[:-1].astype(np.int32), per)  # 32 bits: a chunk has fewer tokens than bytes
-        place += np.arange(len(place), dtype=np.int32)
-        ids = flat[place]
-        counts = running[bounds[1:]] - running[bounds[:-1]]
-        if not unstable.any():
-            return ids, counts
-        ends = running[bounds]
-        parts = []
-        for row in range(len(texts)):
-            parts.append(self.whole(texts[row].as_py()) if unstable[row] else ids[ends[row] : ends[row + 1]])
-            counts[row] = len(parts[-1])
-        return np.concatenate(parts), counts
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        codes, bounds, words = self.pre.split(texts)
+        at = self.pieces.places(words)
+        per = self.pieces.sizes[at][codes]
+        ends = np.cumsum(per, dtype=np.int64)
+        place = np.repeat(self.pieces.starts[at][codes] - ends + per, per)
+        place += np.arange(len(place))
+        running = np.concatenate([[0], ends])
+        return self.pieces.ids[place], running[bounds[1:]] - running[bounds[:-1]]
+
+    def count_texts(self, texts: pa.Array) -> np.ndarray:
+        """How many pieces each text has: its pre-tokens' frequencies, joined to their counts of pieces, summed."""
+        codes, bounds, words = self.pre.split(texts)
+        at = self.counts.places(words)
+        counts = self.counts.sizes[at].astype(np.int64)
+        rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        pairs, frequency = np.unique(rows * max(1, len(words)) + codes, return_counts=True)
+        row, code = np.divmod(pairs, max(1, len(words)))
+        return np.bincount(row, weights=frequency * counts[code], minlength=len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
