@@ -148,3 +148,67 @@ def test_registered_queries(spark, sf_dir, libraries):
         start += len(ids)
         assert tuple(counts.loc[doc, ["n_bytes", "n_tokens", "over_limit"]]) == (len(text.encode()), len(w), len(w) > 2048)
         assert tuple(digests.loc[doc, ["n_tokens", "ids_sha256", "decoded_sha256"]]) == (len(b), hashlib.sha256(",".join(map(str, b)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_pieces_are_known_once_and_repeated_chunks_agree(libraries):
+    from veldra.llm import word_pieces as module
+
+    own = module.WordPieces(WORD)
+    texts = pa.array(["one two two, three!", "", "two THREE don't 42", "x  　y <|endoftext|>two", " "] * 2, pa.string())
+    for _ in range(2):
+        counts = own.count_texts(texts)
+        assert counts.tolist() == [len(e.ids) for e in libraries[1].encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    words = own.counts.words.to_pylist()
+    assert len(words) == len(set(words)) and "two" in words and "two," not in words
+    assert not len(own.counts.ids) and not len(own.pieces.words)  # no ids are made or kept
+    codes, bounds, distinct = own.pre.split(texts)
+    for row, text in enumerate(texts.to_pylist()):
+        assert [w for c in codes[bounds[row] : bounds[row + 1]] if (w := distinct[int(c)].as_py())] == own.pre.cut(text)
+
+
+def test_files_that_are_handled_otherwise_are_refused(tmp_path):
+    import json
+
+    from veldra.llm import word_pieces as module
+
+    changes = {
+        BYTE: [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("ignore_merges", True), ("lstrip", True)],
+        WORD: [("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("end_of_word_suffix", None), ("single_word", True)],
+    }
+    for path, own in changes.items():
+        for key, value in own:
+            with open(path) as file:
+                spec = json.load(file)
+            holder = spec if key in spec else spec["model"] if key in ("ignore_merges", "end_of_word_suffix") else spec["added_tokens"][0]
+            holder[key] = value
+            (tmp_path / "v.json").write_text(json.dumps(spec))
+            with pytest.raises(ValueError, match="reads|plain string"):
+                bpe.PairIndexCodec(str(tmp_path / "v.json")) if path == BYTE else module.PreTokens(str(tmp_path / "v.json"))
+
+
+def test_special_tokens_of_any_form(tmp_path):
+    import json
+
+    with open(BYTE) as file:
+        spec = json.load(file)
+    spec["added_tokens"] += [{**spec["added_tokens"][0], "content": "[unk]", "id": 50_257}]
+    path = str(tmp_path / "v.json")
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    library = tokenizers.Tokenizer.from_file(path)
+    for text in ("a [unk] b", "[unk]", "no <|endoftext|>[unk]x", "none"):
+        assert bpe.PairIndexCodec(path).encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_one_id_goes_over_many_files(spark, docs_of, libraries, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 200)
+    texts = ["the same text of one id"] * 200 + [f"text {i:03d} of it" for i in range(100)]
+    docs = docs_of([*((7, t) for t in texts), (None, "no id"), (3, "before"), (9, "after")])
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs, WORD, path, end_id=2)
+    rows = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert len(list((tmp_path / "t").glob("part-*"))) > 10
+    start = 0
+    for row, text in zip(rows, ["no id", "before", *sorted(texts), "after"], strict=True):
+        want = [*libraries[1].encode(text, add_special_tokens=False).ids, 2]
+        assert (row.start, list(row.tokens)) == (start, want)
+        start += len(want)

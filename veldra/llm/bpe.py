@@ -11,6 +11,7 @@ one, and no pair is searched for.
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,16 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _check(spec: dict) -> None:
+    """Refuse a file whose texts are handled otherwise than this module does."""
+    cutter = spec.get("pre_tokenizer") or {}
+    right = spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+    if not right or spec["model"].get("type", "BPE") != "BPE" or any(spec["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        raise ValueError("the vocabulary's normaliser, pre-tokenizer or model is not of the kind that this operator reads")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t.get("content") for t in spec["added_tokens"]):
+        raise ValueError("an added token is matched otherwise than by its plain string")
+
+
 class PairIndexCodec:
     """Encoder and decoder of one byte-level BPE vocabulary file (tokenizers' JSON)."""
 
@@ -51,11 +62,13 @@ class PairIndexCodec:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
+        _check(spec)
         vocab: dict[str, int] = model["vocab"]
         alphabet = byte_alphabet()
         back = {c: b for b, c in alphabet.items()}
         self.byte_ids = [vocab.get(alphabet[b], -1) for b in range(256)]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_start = os.path.commonprefix(list(self.specials))  # a text without it has no special token
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.left, self.right, self.merged = [], [], []
         self.ranks: dict[int, int] = {}
@@ -158,7 +171,7 @@ class PairIndexCodec:
         parts: list[list[str]] = []
         mixed: dict[int, list[tuple[int, int]]] = {}
         for text in texts:
-            if self.special_pattern is not None and "<|" in text and self.special_pattern.search(text):
+            if self.special_pattern is not None and self.special_start in text and self.special_pattern.search(text):
                 own: list[str] = []
                 at = 0
                 places = mixed[len(parts)] = []
