@@ -246,3 +246,26 @@ def test_one_host_and_no_rows(spark, docs_of):
     docs = docs_of(["short", " ".join(f"v{i}" for i in range(30))])
     assert {r.row.doc_id: r.kept for r in quality_rules.quality_rules(docs, max_host_rate=0.6).collect()} == {0: False, 1: True}
     assert quality_rules.quality_rules(docs.where("false")).count() == 0
+
+
+def sql_rows(rows, sql):
+    """What the SQL gives for (doc_id, text) rows of ``documents``."""
+    import duckdb
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    return {d: (text, n, dropped) for d, n, dropped, text in duckdb.sql(f"SELECT doc_id, n_lines, n_dropped, text FROM ({sql})").fetchall()}
+
+
+@pytest.mark.parametrize("settings", [{}, {"broadcast_hashes": 0}, {"broadcast_hashes": 1}])
+def test_copies_of_a_document_count_once(spark, docs_of, settings):
+    line, other = "the line that all of them have in common", "one more line for {} of these people"
+    shared = [(i, f"own words of document {i} {chr(97 + i) * 4}\n{line}\n{other.format(chr(97 + i))}") for i in range(6)]
+    few = [(20 + i, f"held by two documents only my friend\nrow {chr(97 + i)} of it") for i in range(2)]
+    rows = [*shared, *few]
+    repeated = [*rows, *[few[0]] * 4, *[shared[2]] * 3]
+    want = sql_rows(rows, queries.OP6_SQL)
+    found = line_dedup.line_dedup(docs_of(repeated), variants=False, whole_line=True, **settings).collect()
+    assert len(found) == len(repeated) and want[20][2] == want[21][2] == 0 < want[2][2]
+    assert all((r.text, r.n_lines, r.n_dropped) == want[r.row.doc_id] for r in found)
+    again = line_dedup.line_dedup(docs_of(repeated), **settings).collect()
+    assert {r.row.doc_id: r.n_dropped for r in again if r.row.doc_id >= 20} == {20: 0, 21: 0}
