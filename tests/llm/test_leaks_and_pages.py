@@ -228,3 +228,87 @@ def test_an_empty_corpus(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), "empty")
     assert docs.count() == 0
+
+
+def brute_pairs(docs, items):
+    """All (doc, item) pairs at or above the threshold with their best measures, by the plain BM25 sum over every passage."""
+    norm = lambda t: decontam.words_of("".join(" " if c in decontam.MARKS else c for c in t or "").lower())
+    words = [norm(t) for _, t in items]
+    filled = [w for w in words if w]
+    n, average = len(filled), sum(map(len, filled)) / max(1, len(filled))
+    df = {t: sum(t in w for w in map(set, filled)) for w in filled for t in w}
+
+    def impact(t, own):
+        tf = own.count(t)
+        return math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (decontam.K1 + 1) / (tf + decontam.K1 * (1 - decontam.B + decontam.B * len(own) / average))
+
+    out = {}
+    for d, text in docs:
+        own = norm(text)
+        for (item, raw), w in zip(items, words):
+            if not w:
+                continue
+            stride = 64
+            while stride < len(w):
+                stride *= 2
+            full = sum(impact(t, w) for t in set(w))
+            parts = [norm(p) for p in decontam.question_answer(raw)]
+            for start in range(0, max(1, len(own)), stride):
+                score = sum(impact(t, w) for t in set(own[start : start + 2 * stride]) & set(w)) / full
+                if score < decontam.THRESHOLD - 1e-9:
+                    continue
+                near = own[max(0, start - len(w)) : start + 2 * stride + len(w)]
+                grams = lambda x, k: [tuple(x[i : i + k]) for i in range(len(x) - k + 1)] if k else []
+                both, shares, hit, total = parts[0] + parts[1], [], 0, 0
+                k = min(5, len(both))
+                across = {i + j for i, g in enumerate(grams(both, k)) if g in set(grams(near, k)) for j in range(k)}
+                for p, offset in ((parts[0], 0), (parts[1], len(parts[0]))):
+                    k = min(5, len(p))
+                    there = set(grams(near, k))
+                    seen = {i + j for i, g in enumerate(grams(p, k)) if g in there for j in range(k)} | {i - offset for i in across if offset <= i < offset + len(p)}
+                    shares.append(len(seen) / len(p) if p else 1.0)
+                    hit, total = hit + len(set(grams(p, k)) & there), total + len(set(grams(p, k)))
+                found = (min(shares) >= decontam.PART_OVERLAP, hit / total, *shares, score)
+                out[d, item] = max(out.get((d, item), found), found)
+    return out
+
+
+def leaky(rnd):
+    words = [f"w{i}" for i in range(400)] + ["the", "of", "is"] * 30
+    items = [(i, ". ".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 20))) for _ in range(2))) for i in range(30)]
+    items += [(30, "long " + " ".join(rnd.choice(words) for _ in range(150)) + "\nthe answer"), (None, " ".join(rnd.choice(words) for _ in range(20))), (-1, " ".join(rnd.choice(words) for _ in range(20))), (50, None), (51, "")]
+    docs = []
+    for i in range(60):
+        own = [rnd.choice(words) for _ in range(rnd.randint(0, 400))]
+        for _, text in rnd.sample(items[:33], rnd.randint(0, 2)):
+            part = text.split()
+            for _ in range(rnd.randint(0, 3)):
+                part[rnd.randrange(len(part))] = "changed"
+            at = rnd.randint(0, len(own))
+            own[at:at] = part[: rnd.choice([len(part), len(part), len(part) // 2 + 1])]
+        docs.append((i, " ".join(own)))
+    return docs, items
+
+
+def test_query_pairs_equal_brute_force_however_many_indexes(spark, docs_of, monkeypatch):
+    docs, items = leaky(random.Random(17))
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    want = brute_pairs(docs, items)
+    sure = {k for k, (ok, overlap, *_) in want.items() if ok and overlap >= decontam.OVERLAP}
+    assert sure and len(sure) < len(want)
+    for most in (decontam.INDEX_BYTES, 1500, 200):
+        monkeypatch.setattr(decontam, "INDEX_BYTES", most)
+        got = {(r.doc_id, r.item_id): (r.overlap, r.question_overlap, r.answer_overlap, r.score) for r in decontam.retrieve(docs_of(docs), bench).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k][1:]) for k in want)
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(docs), bench).collect()} == sure
+
+
+def test_a_question_without_its_answer_is_no_leak(spark, docs_of):
+    rnd = random.Random(4)
+    question = " ".join(f"q{rnd.randrange(900)}" for _ in range(60)) + "?"
+    items = [(0, f"{question}\nthe answer is forty two"), (1, f"{' '.join(f'z{rnd.randrange(900)}' for _ in range(50))}.\nblue")]
+    texts = [f"so {question} and nobody knows", f"so {items[0][1]} they say", items[1][1], items[1][1].replace("blue", "green")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in decontam.retrieve(docs_of(texts), bench).collect()}
+    assert rows[0, 0].question_overlap == 1 and rows[0, 0].answer_overlap == 0 and rows[0, 0].overlap > 0.8
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(texts), bench).collect()} == {(1, 0), (2, 1)}

@@ -7,7 +7,12 @@ Every document is cut into passages that overlap by half, as wide as two of
 the longest items of the index; each passage is a query, and all items at or
 above the threshold are retrieved. What is retrieved is verified by the
 5-word shingles of the item's question and of its answer that the passage and
-its surroundings hold: 0.8 of all of them.
+its surroundings hold: 0.8 of all of them, and shingles found must cover half
+of the words of the question and half of those of the answer.
+
+Inverse document frequencies and the mean length are those of all items,
+counted in Spark, however many indexes and passage widths the items make: a
+pair has the same score in any of them.
 
 Most passages can't reach the threshold for any item. For a whole chunk of
 text at once, the impacts of the rarer terms are summed by passage and item,
@@ -19,6 +24,7 @@ is above the threshold is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.llm.common import text_chunks, text_hash
-from veldra.session import ship_package
+from veldra.session import Scratch, ship_package
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own BM25 score at which it is retrieved.
@@ -35,6 +41,9 @@ THRESHOLD = 0.5
 #: Words of a shingle, and the least overlap with question and answer together.
 SHINGLE = 5
 OVERLAP = 0.8
+#: Least share of the words of the question, and of the answer, that shingles found cover. A changed word takes up to
+#: five shingles, most of a short answer's, and so parts are measured by the words covered.
+PART_OVERLAP = 0.5
 #: Postings of a block.
 BLOCK = 16
 #: Bytes of test items in one broadcast index; more items are indexed in several, one pass over the documents each.
@@ -82,18 +91,41 @@ def shingles(words: list[str], width: int = SHINGLE) -> set[str]:
     return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
+def covered(words: list[str], found: set[str], width: int) -> list[bool]:
+    """Which words lie in a shingle of ``width`` words that was found."""
+    out = [False] * len(words)
+    for i in range(len(words) - width + 1 if width else 0):
+        if " ".join(words[i : i + width]) in found:
+            out[i : i + width] = [True] * width
+    return out
+
+
+@dataclass
+class Statistics:
+    """Of all items that have words: how many, their mean length, and in how many each term is."""
+
+    count: int
+    average: float
+    frequency: dict[str, int]
+
+
+def statistics_of(texts: list[list[str]]) -> Statistics:
+    frequency: dict[str, int] = {}
+    for words in texts:
+        for w in set(words):
+            frequency[w] = frequency.get(w, 0) + 1
+    return Statistics(len(texts), sum(map(len, texts)) / max(1, len(texts)), frequency)
+
+
 class BlockMaxIndex:
     """Postings of test items whose lengths share a passage width."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], stride: int):
+    def __init__(self, items: list[tuple[int | None, list[str], list[str], list[str]]], stride: int, every: Statistics):
         self.stride = stride
         self.ids = [item for item, *_ in items]
-        self.question = [shingles(q) for _, _, q, _ in items]
-        self.answer = [shingles(a) for _, _, _, a in items]
-        self.short = [min(SHINGLE, len(q)) for _, _, q, _ in items], [min(SHINGLE, len(a)) for _, _, _, a in items]
+        self.parts = [(q, a) for _, _, q, a in items]
         self.lengths = [len(words) for _, words, _, _ in items]
         count = len(items)
-        average = sum(self.lengths) / count
         postings: dict[str, list[tuple[int, int]]] = {}
         for d, (_, words, _, _) in enumerate(items):
             tf: dict[str, int] = {}
@@ -107,8 +139,9 @@ class BlockMaxIndex:
         for t in self.terms:
             ds = np.array([d for d, _ in postings[t]])
             tf = np.array([n for _, n in postings[t]], dtype=float)
-            idf = np.log(1 + (count - len(ds) + 0.5) / (len(ds) + 0.5))
-            norm = K1 * (1 - B + B * np.array(self.lengths)[ds] / average)
+            own_n = every.frequency[t]
+            idf = np.log(1 + (every.count - own_n + 0.5) / (own_n + 0.5))
+            norm = K1 * (1 - B + B * np.array(self.lengths)[ds] / every.average)
             impact = idf * tf * (K1 + 1) / (tf + norm)
             own[ds] += impact
             raw.append((ds, impact))
@@ -207,26 +240,40 @@ class BlockMaxIndex:
         return found
 
     def overlaps(self, item: int, words: list[str]) -> tuple[float, float, float]:
-        """Shares of the item's question, answer and all its shingles that the words have."""
+        """Shares of the question's and of the answer's words that shingles found cover, and the share of all their shingles that is found.
+
+        A word is covered by a shingle of its part, or by one of question and answer read on.
+        """
+        question, answer = self.parts[item]
+        whole = question + answer
+        wide = min(SHINGLE, len(whole))
+        have = {width: {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} for width in {wide, min(SHINGLE, len(question)), min(SHINGLE, len(answer))} if width}
+        across = covered(whole, have[wide], wide) if wide else []
         out, found, every = [], 0, 0
-        for part, width in ((self.question[item], self.short[0][item]), (self.answer[item], self.short[1][item])):
-            have = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
-            out.append(len(part & have) / len(part) if part else 1.0)
-            found, every = found + len(part & have), every + len(part)
+        for part, both in ((question, across[: len(question)]), (answer, across[len(question) :])):
+            width = min(SHINGLE, len(part))
+            own = shingles(part)
+            there = own & have[width] if width else own
+            seen = [x or y for x, y in zip(covered(part, there, width), both)]
+            out.append(sum(seen) / len(part) if part else 1.0)
+            found, every = found + len(there), every + len(own)
         return out[0], out[1], found / every if every else 0.0
 
 
-def build_indexes(rows: list[tuple[int, str, str, str]]) -> list[BlockMaxIndex]:
-    """An index for each class of item lengths (64 words, then twice as many each); rows hold normalised texts, questions, answers."""
+def build_indexes(rows: list[tuple[int | None, str, str, str]], every: Statistics | None = None) -> list[BlockMaxIndex]:
+    """An index for each class of item lengths (64 words, then twice as many each); rows hold normalised texts, questions, answers.
+
+    ``every`` are the statistics of all items; without it those of the rows.
+    """
+    items = [(item, words, words_of(question), words_of(answer)) for item, text, question, answer in rows if (words := words_of(text))]
+    every = every or statistics_of([words for _, words, _, _ in items])
     classes: dict[int, list] = {}
-    for item, text, question, answer in rows:
-        words = words_of(text)
-        if words:
-            stride = 64
-            while stride < len(words):
-                stride *= 2
-            classes.setdefault(stride, []).append((item, words, words_of(question), words_of(answer)))
-    return [BlockMaxIndex(own, stride) for stride, own in sorted(classes.items())]
+    for own in items:
+        stride = 64
+        while stride < len(own[1]):
+            stride *= 2
+        classes.setdefault(stride, []).append(own)
+    return [BlockMaxIndex(own, stride, every) for stride, own in sorted(classes.items())]
 
 
 def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, float, float, float]]:
@@ -243,7 +290,7 @@ def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, th
     segment = np.repeat(first[:-1], lengths) + inside // index.stride
     last = np.zeros(first[-1], dtype=bool)
     last[first[1:] - 1] = True
-    best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+    best: dict[tuple[int, int], tuple[bool, float, float, float, float]] = {}
     for s in index.candidates(codes, segment, last, threshold).tolist():
         row = int(np.searchsorted(first, s, side="right")) - 1
         start = int(bounds[row] + (s - first[row]) * index.stride)
@@ -253,48 +300,65 @@ def search_chunk(index: BlockMaxIndex, vocabulary: pa.Array, texts: pa.Array, th
             reach = index.lengths[item]
             words = flat.slice(max(start - reach, int(bounds[row])), min(end + reach, int(bounds[row + 1])) - max(start - reach, int(bounds[row]))).to_pylist()
             question, answer, overlap = index.overlaps(item, words)
-            found = (overlap, question, answer, score)
+            found = (min(question, answer) >= PART_OVERLAP, overlap, question, answer, score)
             if (row, item) not in best or found > best[row, item]:
                 best[row, item] = found
-    for (row, item), (overlap, question, answer, score) in best.items():
+    for (row, item), (_, overlap, question, answer, score) in best.items():
         yield row, item, score, question, answer, overlap
 
 
 def retrieve(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``hash`` (of the text), ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``, ``overlap`` of every document and item above the threshold.
 
-    Null or empty texts and items match nothing; an empty benchmark gives no
-    row. Repeated documents or items give repeated rows. Items are read by the
-    driver in parts of about ``INDEX_BYTES``; each part is a pass over ``docs``.
+    Null or empty texts and items match nothing; an empty table gives no row.
+    Texts of any length are searched whole. Repeated documents or items give
+    repeated rows, an item without an id a null ``item_id``; other columns are
+    ignored, whatever their names. Items are read by the driver in parts of
+    about ``INDEX_BYTES``, with the terms that a part has of the table of
+    document frequencies; each part is a pass over ``docs``.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    split = F.udf(question_answer, "struct<q:string,a:string>", useArrow=False)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))
-    items = items.select("item_id", "t", split("t").alias("qa")).select("item_id", "t", normalised(F.col("t")).alias("n"), normalised(F.col("qa.q")).alias("q"), normalised(F.col("qa.a")).alias("a"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-size // INDEX_BYTES))
-    passages = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("hash"), normalised(F.col(text_col)).alias("text"))
+    raw = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("t"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [question_answer(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("t"), pa.array([q for q, _ in pairs], pa.string()), pa.array([a for _, a in pairs], pa.string())], ["item_id", "t", "q", "a"])
+
+    passages = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("hash"), normalised(F.col(f"`{text_col}`")).alias("text"))
     schema = "doc_id long, hash long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
+    types = dict(zip(("doc_id", "hash", "item_id", "score", "question_overlap", "answer_overlap", "overlap"), [pa.int64()] * 3 + [pa.float64()] * 4))
     out: DataFrame | None = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("t", "item_id"), F.lit(parts)) == part) if parts > 1 else items
-        rows = sorted((r.item_id if r.item_id is not None else -1, r.n, r.q, r.a) for r in own.collect())
-        shared = spark.sparkContext.broadcast(build_indexes(rows))
-
-        def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = [(x, pa.array(x.terms)) for x in shared.value]
-            for chunk in text_chunks(batches):
-                ids, hashes = chunk.column("doc_id"), chunk.column("hash")
-                found = [(ids[row].as_py(), hashes[row].as_py(), index.ids[item], *measured) for index, terms in indexes for row, item, *measured in search_chunk(index, terms, chunk.column("text"), threshold)]
-                columns = list(zip(*found)) if found else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "hash", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
-
-        found = passages.mapInArrow(kernel, schema)
-        out = found if out is None else out.unionByName(found)
+    with Scratch(spark) as work:
+        parsed = raw.mapInArrow(split, "item_id long, t string, q string, a string")
+        items = work.store(parsed.select("item_id", "t", normalised(F.col("t")).alias("n"), normalised(F.col("q")).alias("q"), normalised(F.col("a")).alias("a")), "items")
+        words = F.filter(F.split("n", " "), lambda w: w != "")
+        size = items.agg(F.sum(F.octet_length("t")).alias("size"), F.count_if(F.size(words) > 0).alias("n"), F.sum(F.size(words)).alias("words")).first()
+        parts = max(1, -(-(size["size"] or 0) // INDEX_BYTES))
+        part_of = F.pmod(F.xxhash64("t", "item_id"), F.lit(parts)).alias("part")
+        terms = items.select(part_of, F.explode(F.array_distinct(words)).alias("word"))
+        frequency = work.store(terms.groupBy("word").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")), "item-terms")
+        for part in range(parts):
+            rows = sorted(((r.item_id, r.n, r.q, r.a) for r in items.where(part_of == part).collect()), key=lambda r: (r[0] is None, r))
+            own = frequency.where(F.array_contains("parts", F.lit(part).cast("long"))).select("word", "n").collect()
+            every = Statistics(size["n"], (size["words"] or 0) / max(1, size["n"]), {r.word: r.n for r in own})
+            shared = spark.sparkContext.broadcast(build_indexes(rows, every))
+
+            def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                indexes = [(x, pa.array(x.terms)) for x in shared.value]
+                for chunk in text_chunks(batches):
+                    ids, hashes = chunk.column("doc_id"), chunk.column("hash")
+                    found = [(ids[row].as_py(), hashes[row].as_py(), index.ids[item], *measured) for index, terms in indexes for row, item, *measured in search_chunk(index, terms, chunk.column("text"), threshold)]
+                    columns = list(zip(*found)) if found else [()] * len(types)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+
+            found = passages.mapInArrow(kernel, schema)
+            out = found if out is None else out.unionByName(found)
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, **settings) -> DataFrame:
-    """The retrieved pairs of which the shingles of question and answer together are verified; overlaps by part are columns."""
-    return retrieve(docs, benchmark, **settings).where(F.col("overlap") >= overlap)
+def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part_overlap: float = PART_OVERLAP, **settings) -> DataFrame:
+    """The retrieved pairs that are verified: the share of the shingles of question and answer together, and of the words of each."""
+    sure = (F.col("overlap") >= overlap) & (F.col("question_overlap") >= part_overlap) & (F.col("answer_overlap") >= part_overlap)
+    return retrieve(docs, benchmark, **settings).where(sure)
