@@ -312,3 +312,57 @@ def test_a_question_without_its_answer_is_no_leak(spark, docs_of):
     rows = {(r.doc_id, r.item_id): r for r in decontam.retrieve(docs_of(texts), bench).collect()}
     assert rows[0, 0].question_overlap == 1 and rows[0, 0].answer_overlap == 0 and rows[0, 0].overlap > 0.8
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(texts), bench).collect()} == {(1, 0), (2, 1)}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>First</p><svg/><p>Second</p>", ["First", "Second"]),
+        ("<p>First</p><svg viewBox='0 0 1 1'><path d='M0'/><text>drawn</text><p>Second</p>", ["First", "Second"]),
+        ("<p>a</p><svg><title>no<p>Second</p>", ["a", "Second"]),
+        ("<p>one <svg><g><title>x</title><style>p{}</style></g></svg>word</p>", ["one word"]),
+        ("<p>a</p><svg><foreignObject><p>in it</p></foreignObject><svg/><svg></svg></svg><p>b</p>", ["a", "b"]),
+        ("<div>a<svg><path></div><p>b</p>", ["a", "b"]),
+        ("<p>First</p><iframe src=x><p>Second</p>", ["First", "Second"]),
+        ("<p>First</p><iframe src=x><p>not shown</p></iframe><p>Second</p>", ["First", "Second"]),
+        ("<p>a</p><object data=x><param name=y><p>prose instead</p></object><p>b</p>", ["a", "prose instead", "b"]),
+        ("<p>a</p><canvas>instead</canvas>", ["a", "instead"]),
+        ("<p>a</p><noscript><p>without scripts</p></noscript>b", ["a", "without scripts", "b"]),
+        ("<p>a</p><template><p>x</p><template>y</template>z</template><p>b</p>", ["a", "b"]),
+        ("<p>a</p><template><p>x</p>", ["a", "x"]),
+        ("<p>a</p><script>if (a</b) '<p>'</SCRIPT ><p>b", ["a", "b"]),
+        ("<p>a</p><script>x", ["a"]),
+        ("<?xml version='1.0'?><html><p>a</p><script src='x'/><p>b</p>", ["a", "b"]),
+        ("<p>a</p><textarea>typed <p></textarea><p>b</p>", ["a", "b"]),
+        ("<p>x</p><math><mi>y</mi></math>", ["x", "y"]),
+        ("<p>a</p>" + "<svg><iframe><template>" * 3000 + "<p>b</p>", ["a", "b"]),
+    ],
+)
+def test_no_text_is_lost_to_odd_elements(page, want):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == want
+
+
+#: Pages written by hand in layouts that the generator of training pages doesn't make; ``[[..]]`` marks the main text.
+OTHER_LAYOUTS = [
+    """<html><head><title>Harbour notes - The Quay</title></head><body class="single postid-12"><div id="page" class="hfeed site"><header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">The Quay</a></p></div>
+    <nav id="site-navigation"><div class="menu"><ul><li><a href="/">Home</a></li><li><a href="/about">About us</a></li></ul></div></nav></header><div id="content" class="site-content"><div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-12" class="post hentry"><header class="entry-header"><h1 class="entry-title">[[How the harbour was rebuilt]]</h1></header>
+    <div class="entry-content"><p>[[The old harbour wall had stood for two hundred years before the storm of last winter broke it in three places.]]</p><h2>[[What the town decided]]</h2><p>[[After four meetings the council chose to build a new wall of local stone, twelve metres further out.]]</p><ul><li>[[The work takes two summers.]]</li><li>[[Boats use the northern pier until then.]]</li></ul><blockquote><p>[[We have never been so sure of a plan, said the harbour master.]]</p></blockquote></div></article>
+    <div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts on this</h2><ol class="comment-list"><li class="comment"><div class="comment-body"><p>I remember the storm very well, it took our roof away.</p></div></li></ol><div id="respond"><h3>Leave a reply</h3><form><p><label>Name</label></p><button>Post</button></form></div></div></main></div>
+    <aside id="secondary" class="widget-area"><section class="widget"><h2 class="widget-title">Recent posts</h2><ul><li><a href="/1">A ferry for the island</a></li></ul></section></aside></div><footer id="colophon" class="site-footer"><div class="site-info">&copy; The Quay. All rights reserved.</div></footer></div></body></html>""",
+    """<!doctype html><body><div class="gdpr-consent" role="dialog"><p>We and our partners store data on your device.</p><button>Accept</button></div><div class="topbar"><a href="/login">Sign in</a></div><div class="breadcrumbs"><a href="/">News</a><a href="/w">Weather</a></div>
+    <main role="main"><div class="story-body"><h1>[[Snow closes the mountain pass for a third day]]</h1><p>[[Drivers were told to turn back at the valley station on Tuesday morning as the wind picked up again.]]</p><div class="ad-slot"><p>Advertisement</p></div><p>[[The road service hopes to open one lane by Thursday, but more snow is expected in the night.]]</p><figure><img src=a><figcaption>[[Ploughs at work near the tunnel]]</figcaption></figure><p>[["It is the most we have seen since 1999," said a spokesman.]]</p></div></main>
+    <div class="related-stories"><h3>More on this</h3><ul><li><a href="/2">Why snow is white</a></li><li><a href="/3">The longest winter</a></li></ul></div><div class="newsletter-signup"><p>Get the news by mail every morning.</p><form><input><button>Subscribe</button></form></div><footer><ul><li><a href="/c">Contact</a></li><li><a href="/t">Terms</a></li></ul><p>Copyright 2023 Daily Valley</p></footer></body>""",
+    """<html><body><table width="100%"><tr><td class="header" colspan=2>Old Software Page</td></tr><tr><td class="menu"><a href="a.html">Start</a><br><a href="b.html">Files</a></td><td class="content"><h2>[[Installing the program]]</h2><p>[[Unpack the archive into a folder of your choice and run the setup file from there.]]</p><pre>[[tar xf program.tar]]</pre><p>[[If a library is missing, the setup names it and ends without changing anything.]]</p></td></tr><tr><td colspan=2 class="footer">Last changed in 2003</td></tr></table></body></html>""",
+    """<body><nav class="sidebar toc"><ul><li><a href="#a">Overview</a></li><li><a href="#b">Options</a></li></ul></nav><div class="document"><div class="body"><section id="a"><h1>[[Overview]]</h1><p>[[The scheduler takes a list of tasks and gives each of them to the first worker that is free.]]</p></section><section id="b"><h2>[[Options]]</h2><dl><dt>[[retries]]</dt><dd>[[How often a failed task is tried again before it counts as lost.]]</dd></dl></section></div></div><div class="footer">Built with a generator.</div></body>""",
+    """<body><header><div class="logo">Cook well</div><form class="search"><input><button>Search</button></form></header><article class="recipe"><h1>[[Lentil soup]]</h1><p>[[A warm soup for four people that is ready in forty minutes.]]</p><h2>[[Ingredients]]</h2><ul><li>[[300 grams of red lentils]]</li><li>[[two carrots and an onion]]</li></ul><h2>[[Method]]</h2><ol><li>[[Fry the onion until it is soft, then add the carrots.]]</li><li>[[Add the lentils and water and let it cook for half an hour.]]</li></ol><div class="social-share"><a href="/f">Share</a><a href="/t">Pin</a></div></article><section class="discussion"><h3>Reviews</h3><div class="reply"><p>My children loved it, thank you for this recipe!</p></div></section><footer><p>Cook well is a family business.</p></footer></body>""",
+]
+
+
+def test_layouts_that_training_pages_do_not_have(model):
+    wrong = total = 0
+    for page in OTHER_LAYOUTS:
+        truth = [int(b.text.startswith("[[")) for b in html_extract.leaf_blocks(page)]
+        blocks = html_extract.leaf_blocks(page.replace("[[", "").replace("]]", ""))
+        assert len(blocks) == len(truth) and sum(truth) == page.count("[[")
+        wrong, total = wrong + sum(a != b for a, b in zip(model.decode(blocks), truth)), total + len(blocks)
+    assert wrong <= 0.05 * total

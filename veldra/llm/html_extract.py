@@ -32,10 +32,19 @@ TRAINING_SEED = 7
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+    "head header hgroup hr html label legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea svg iframe object canvas noframes".split())
+#: Elements whose content is no markup: up to the end tag, or to the end of the page without one.
+RAW_TAGS = frozenset("script style textarea".split())
+#: Elements whose content a page doesn't show: up to the end tag; without one the start tag stands alone.
+UNSHOWN_TAGS = frozenset("iframe noframes template".split())
+#: Parts of a drawing that hold ordinary markup, and tags that end a drawing in which they stand.
+DRAWING_PARTS = frozenset("foreignobject desc title".split())
+DRAWING_ENDS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var "
+    "article section main aside nav header footer form".split()
+)
 #: Open elements that the start of the key's element ends.
 ENDED_BY = {
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"),
@@ -46,6 +55,7 @@ SCOPES = frozenset("ul ol dl table select menu body html article section div nav
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_XML = re.compile(r"<\?xml|XHTML|<html[^>]*\sxmlns=", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -88,13 +98,38 @@ def _hints(attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW_TAGS | UNSHOWN_TAGS | {"svg"}}
+_TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+
+
+def _after(page: str, tag: str, at: int, endless: set[str]) -> int:
+    """Where an element whose start tag ends at ``at`` is over; templates may lie in templates. ``endless`` gathers the tags without a further end tag."""
+    if tag not in endless:
+        if tag == "template":
+            depth = 1
+            for found in _TEMPLATE.finditer(page, at):
+                depth += -1 if found.group(1) else 1
+                if not depth:
+                    return found.end()
+        elif over := _ENDS[tag].search(page, at):
+            return over.end()
+        endless.add(tag)
+    return len(page) if tag in RAW_TAGS else at
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The runs of text between the borders of block elements, in page order, with their block ancestors.
 
-    Scripts, styles, comments and other raw elements have no text. Character
-    references are decoded after the markup is cut, white space becomes one
-    space, and empty blocks are left out. Any string is a page.
+    Scripts, styles, typed text, templates, frames, drawings and comments have
+    no text; what stands in for an object or a canvas, or where scripts don't
+    run, has. A drawing ends at its end tag, at ``/>``, or before markup that
+    can't stand in it; a template or frame without an end tag holds nothing.
+    Character references are decoded after the markup is cut, white space
+    becomes one space, and empty blocks are left out. Any string is a page.
     """
+    xml = _XML.search(page, 0, 1000) is not None
+    drawings = parts = 0
+    endless: set[str] = set()
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     pieces: list[str] = []
@@ -115,7 +150,7 @@ def leaf_blocks(page: str) -> list[Block]:
     while at < size:
         found = _TOKEN.search(page, at)
         end = found.start() if found else size
-        if end > at:
+        if end > at and not drawings:
             pieces.append(page[at:end])
             if in_link:
                 link_chars += end - at
@@ -124,11 +159,25 @@ def leaf_blocks(page: str) -> list[Block]:
         at = max(found.end(), end + 1)
         tag = found.group(2) or found.group(5)
         if not tag:
-            if page.startswith("<![CDATA[", end):
+            if page.startswith("<![CDATA[", end) and not drawings:
                 pieces.append(page[end + 9 : at - 3 if page.endswith("]]>", end, at) else at])
             continue
         tag = tag.lower()
-        if found.group(1) or found.group(4):
+        attributes = found.group(3) or found.group(6) or ""
+        closing, alone = found.group(1) or found.group(4), attributes.endswith("/")
+        if drawings:
+            if tag == "svg" and (closing or not alone):
+                drawings += -1 if closing else 1
+                parts = parts if drawings else 0
+                continue
+            if tag in DRAWING_PARTS and (closing or not alone) and "svg" not in endless:
+                parts = max(0, parts + (-1 if closing else 1))
+            if closing and tag not in BLOCK_TAGS or parts or tag not in DRAWING_ENDS:
+                continue
+            if closing and not any(tag == name for name, _ in stack):
+                continue
+            drawings = 0
+        if closing:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCK_TAGS:
@@ -139,9 +188,13 @@ def leaf_blocks(page: str) -> list[Block]:
                         in_link = 0
                         break
             continue
-        if tag in RAW_TAGS:
-            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = over.end() if over else size
+        if tag in RAW_TAGS or tag in UNSHOWN_TAGS:
+            if not (alone and xml):
+                at = _after(page, tag, at, endless)
+        elif tag == "svg":
+            drawings = 0 if alone else 1
+            if "svg" not in endless and not _ENDS["svg"].search(page, at):
+                endless.add("svg")
         elif tag == "br":
             pieces.append(" ")
         elif tag == "a":
@@ -157,7 +210,6 @@ def leaf_blocks(page: str) -> list[Block]:
                     del stack[depth:]
                 elif name in SCOPES:
                     break
-            attributes = found.group(3) or found.group(6) or ""
             if attributes not in hints:
                 hints[attributes] = _hints(attributes)
             stack.append((tag, hints[attributes]))
@@ -269,7 +321,7 @@ def fit(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 120, rate:
 
 def labelled_pages(count: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> list[tuple[str, list[int]]]:
     """Pages of many layouts, each with the labels of its leaf blocks (1: content)."""
-    rnd = random.Random(seed)
+    rnd, quirks = random.Random(seed), random.Random(seed + 1)
 
     def words(least: int, most: int, end: str = ".") -> str:
         return " ".join("".join(rnd.choice("abdefgiklmnoprstu") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(least, most))).capitalize() + end
@@ -293,6 +345,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> li
 
     def article() -> list[tuple[str, list[int]]]:
         parts = [put("h1", words(2, 10, ""), 1)] if rnd.random() < 0.85 else []
+        if parts and quirks.random() < 0.1:
+            parts = [wrap(parts, "header", quirks.choice(("", ' class="entry-header"', ' class="post-header"')))]
         for _ in range(rnd.randint(1, 12)):
             kind = rnd.random()
             if kind < 0.7:
@@ -305,6 +359,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> li
                 parts.append(wrap([prose(1)], "blockquote"))
             elif kind < 0.95:
                 parts.append(put("pre", words(3, 20, ""), 1))
+            elif kind < 0.96:
+                parts.append(wrap([put(tag, words(1, 12, ""), 1) for tag in ("dt", "dd", "dt", "dd")], "dl"))
             elif kind < 0.97:
                 parts.append(wrap([wrap([put("td", words(1, 5, ""), 1) for _ in range(3)], "tr") for _ in range(2)], "table"))
             else:
@@ -361,6 +417,16 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> li
             after.append(comments())
         foot = [wrap([prose(0) if rnd.random() < 0.5 else put("p", "&copy; " + words(1, 6), 0), *(links() if rnd.random() < 0.5 else [])], *rnd.choice((("footer", ""), ("footer", ""), ("div", named("footer", "site-footer", "copyright")))))] if rnd.random() < 0.85 else []
         page, labels = wrap([*top, *before, main, *after, *foot], "body")
+        if quirks.random() < 0.08:  # cells of a table as the parts of a page
+            cell = lambda own, *names: wrap(own, "td", f' {quirks.choice(("class", "id"))}="{quirks.choice(names)}"')
+            rows = [wrap([cell([put("p", words(1, 5, ""), 0)] if quirks.random() < 0.5 else [(words(1, 5, ""), [0])], "header", "banner", "top")], "tr")]
+            rows.append(wrap([cell(links("p"), "menu", "nav", "sidebar"), cell(article(), "content", "main", "text")], "tr"))
+            rows.append(wrap([cell([(words(2, 9, ""), [0])], "footer", "bottom", "copyright")], "tr"))
+            out.append((f"<html><head><title>{words(2, 8, '')}</title></head><body>{wrap(rows, 'table')[0]}</body></html>", [0, *(x for _, own in rows for x in own)]))
+            continue
+        if quirks.random() < 0.1:
+            top.insert(0, wrap([put("p", words(4, 12), 0)], "noscript"))
+            page, labels = wrap([*top, *before, main, *after, *foot], "body")
         if rnd.random() < 0.15:  # a bare article, as feeds and archives have it
             page, labels = wrap([main], "body") if rnd.random() < 0.7 else main
             out.append((page, labels))
@@ -384,8 +450,10 @@ def main_text(page: str, model: Chain) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Chain | None = None) -> DataFrame:
     """``page_id``, ``url`` and the main ``text`` of every row, in one pass without a shuffle.
 
-    A null or empty page has the empty text. The model is some kilobytes and
-    travels with the kernel. Rows may repeat; other columns are ignored.
+    A null or empty page has the empty text; a page of any length is read
+    whole. The model is some kilobytes and travels with the kernel. Rows may
+    repeat, ids and urls may be null; other columns are ignored, whatever their
+    names. An empty table gives no rows.
     """
     ship_package(pages.sparkSession)
     model = model or trained()
