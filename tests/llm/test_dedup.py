@@ -1,5 +1,6 @@
 """Line dedup, SimHash and quality rules against SQL and brute force."""
 
+import pathlib
 import random
 import re
 
@@ -269,3 +270,13 @@ def test_copies_of_a_document_count_once(spark, docs_of, settings):
     assert all((r.text, r.n_lines, r.n_dropped) == want[r.row.doc_id] for r in found)
     again = line_dedup.line_dedup(docs_of(repeated), **settings).collect()
     assert {r.row.doc_id: r.n_dropped for r in again if r.row.doc_id >= 20} == {20: 0, 21: 0}
+
+
+def test_only_what_the_result_reads_is_left(spark, docs_of):
+    from veldra import session
+
+    root = pathlib.Path(session.checkpoint_root(spark))
+    before = set(root.iterdir())
+    rows = simhash.simhash_components(docs_of([f"text number {i} of them" for i in range(30)]))
+    assert rows.count() == 30
+    assert sorted(p.name.split("-")[0] for p in set(root.iterdir()) - before) == ["classes", "fingerprints"]

@@ -104,8 +104,9 @@ def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "te
     """Rows (``row`` struct of the input columns ``keep``, all if None, ``base`` measures, ``host_rate``, ``kept``) for every input row.
 
     The struct keeps input columns apart from the results, whatever their
-    names. A null host is a host of its own kind (all such rows together); an
-    empty table gives no rows. Measured rows are written once to the shared
+    names. A null host is a host of its own kind (all such rows together); a
+    null text has no word, one of any length is measured whole; repeated rows
+    each count and each give a row; an empty table gives no rows. Measured rows are written once to the shared
     folder, so that texts are measured once and never shuffled.
     """
     spark = docs.sparkSession

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.llm.common import id_text, text_chunks, text_hash
-from veldra.session import scratch, ship_package
+from veldra.session import Scratch, ship_package, stored
 
 #: Distinct fingerprints that one bucket may hold before it is dealt out again.
 BUCKET = 1024
@@ -200,15 +200,14 @@ def refined_masks(mask: Column, radius: int) -> Column:
     return F.array(*map(part, range(radius + 1)))
 
 
-def star_edges(spark: SparkSession, distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Edges (``a``, ``b``) whose components are those of all links between distinct fingerprints."""
+def star_edges(spark: SparkSession, distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, work: Scratch | None = None) -> DataFrame:
+    """Edges (``a``, ``b``) whose components are those of all links between distinct fingerprints; they read frames that ``work`` stores."""
+    work = work or Scratch(spark)
     rows = _probes(distinct, plan_masks(distinct, radius))
     found: DataFrame | None = None
     while True:
         sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-        path = scratch(spark, "buckets")
-        sizes.write.parquet(path)
-        sizes = spark.read.parquet(path)
+        sizes = work.store(sizes, "buckets")
         edges = sizes.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
         shared = rows.join(sizes.where("n > 2").select("mask", "value", "n"), ["mask", "value"])
         small = (F.col("n") <= bucket) | (F.bit_count("mask") >= 64 - FREE_BITS)
@@ -217,21 +216,19 @@ def star_edges(spark: SparkSession, distinct: DataFrame, radius: int = 2, bucket
         found = edges if found is None else found.unionByName(edges)
         if not sizes.where(~small).limit(1).count():
             return found.distinct()
-        path = scratch(spark, "refined")
-        shared.where(~small).select("fp", F.explode(refined_masks(F.col("mask"), radius)).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).distinct().write.parquet(path)
-        rows = spark.read.parquet(path)
+        finer = shared.where(~small).select("fp", F.explode(refined_masks(F.col("mask"), radius)).alias("mask"))
+        rows = work.store(finer.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).distinct(), "refined")
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the least node it reaches) of every node with an edge, by alternating large and small stars."""
+def components(spark: SparkSession, edges: DataFrame, work: Scratch | None = None) -> DataFrame:
+    """``node`` and ``root`` (the least node it reaches) of every node with an edge, by alternating large and small stars, each stored by ``work``."""
+    work = work or Scratch(spark)
 
-    def stored(frame: DataFrame) -> tuple[DataFrame, tuple]:
-        path = scratch(spark, "stars")
-        frame.write.parquet(path)
-        frame = spark.read.parquet(path)
+    def kept(frame: DataFrame) -> tuple[DataFrame, tuple]:
+        frame = work.store(frame, "stars")
         return frame, tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    pairs, state = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -239,7 +236,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs, now = stored(small)
+        pairs, now = kept(small)
         if now == state:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
@@ -250,19 +247,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts share fingerprint 0 and link like any other. A row
     without an id takes part, but names no component; a component of such rows
-    alone has a null ``component_id``. Repeated rows give repeated results.
+    alone has a null ``component_id``. Repeated rows give repeated results,
+    texts of any length are hashed whole, other columns are ignored, whatever
+    their names, and an empty table gives no rows. The result reads two stored
+    frames, one row a row and one a fingerprint; the others are deleted.
     """
     spark = docs.sparkSession
-    path = scratch(spark, "fingerprints")
-    fingerprints(docs, id_col, text_col, width).write.parquet(path)
-    marked = spark.read.parquet(path)
-    path = scratch(spark, "distinct")
-    marked.groupBy("fp").agg(F.min("doc_id").alias("least")).write.parquet(path)
-    distinct = spark.read.parquet(path)
-    roots = components(spark, star_edges(spark, distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "root", "component_id")
+    marked = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    with Scratch(spark) as work:
+        distinct = work.store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = components(spark, star_edges(spark, distinct.select("fp"), radius, work=work), work)
+        rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = work.keep(rooted.join(names, "root").select("fp", "root", "component_id"), "classes")
     return marked.join(classes, "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
