@@ -1,4 +1,10 @@
-"""A corpus pipeline in stages; each works on all rows that the one before it kept."""
+"""A corpus pipeline in stages; each works on all rows that the one before it kept.
+
+In every stage a null text is empty, texts of any length are read whole, rows
+without an id take part, an empty table gives an empty one, and extra columns of
+any name are kept as they are up to the last stage. Repeated rows count as one
+document in line dedup, of which SimHash keeps one.
+"""
 
 from __future__ import annotations
 
@@ -31,10 +37,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = stored(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id"), F.col("hash").alias("leak_hash")).distinct(), "leaks")
+    """Documents that hold no benchmark item; input columns stay apart from the verdicts, whatever their names."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    leaks = stored(found.select(F.col("doc_id").alias("leak_id"), F.col("hash").alias("leak_hash")).distinct(), "leaks")
     few = leaks.limit(BROADCAST_LEAKS + 1).count() <= BROADCAST_LEAKS
-    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (text_hash(F.col("text")) == F.col("leak_hash")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash(F.col("text")).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("leak_id")) & (F.col("own_hash") == F.col("leak_hash"))
+    return rows.join(F.broadcast(leaks) if few else leaks, same, "left_anti").select("row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,20 +36,22 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is the one named by ``spark.checkpoint.dir``; only where that
-    setting is absent (tests on one machine) a local folder is chosen and set.
-    """
+    """A new path in the folder that driver and executors share, the one named by ``spark.checkpoint.dir``."""
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder, also set as the checkpoint directory of the context."""
+    """The shared folder, also set as the checkpoint directory of the context.
+
+    A session without one is refused, unless it runs in this process alone
+    (a local master), where a folder that is deleted at exit serves.
+    """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="veldra-shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     if not context.getCheckpointDir():
