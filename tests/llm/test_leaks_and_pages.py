@@ -366,3 +366,36 @@ def test_layouts_that_training_pages_do_not_have(model):
         assert len(blocks) == len(truth) and sum(truth) == page.count("[[")
         wrong, total = wrong + sum(a != b for a, b in zip(model.decode(blocks), truth)), total + len(blocks)
     assert wrong <= 0.05 * total
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = [(None, "no id " + " ".join(f"word{i}" for i in range(60)), "en", "s", 1), (900_001, None, "en", None, 0), (900_002, "", None, "s", 0), (900_003, " ".join(f"long{i}" for i in range(30_000)), "en", "s", 9)]
+    names = ["leak_id", "leak_hash", "own_id", "own_hash", "row", "hash", "owner", "drops", "fp", "root", "stay_id", "kept", "base", "host", "line", "masked", "n_lines", "n_dropped"]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(3))
+    docs = docs.withColumns({n: F.lit(f"x{n}") for n in names})
+    frame = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        frame = corpus_pipeline.stored(stage(spark, frame, sf_dir), "odd-stage")
+        if k < 4:
+            assert frame.columns == docs.columns
+            assert all(r[n] == f"x{n}" for r in frame.collect() for n in names)
+    ids = [r.doc_id for r in frame.collect()]
+    assert None in ids and 900_003 in ids and 900_001 not in ids and len(ids) == len(set(ids)) > 10
+
+
+def test_tokens_of_the_pipeline_are_the_library_s(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    frame = corpus_pipeline.drop_templates(spark, docs, sf_dir)
+    lines = {r.doc_id: r.text.split("\n") for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    for i, text in texts.items():  # what is left are lines of the document, in order
+        rest = iter(lines[i])
+        assert text == "" or all(line in rest for line in text.split("\n"))
+    rows = corpus_pipeline.to_tokens(spark, corpus_pipeline.stored(frame, "deduped"), sf_dir).collect()
+    assert all(list(r.ids) == library.encode(texts[r.doc_id], add_special_tokens=False).ids for r in rows) and len(rows) == len(texts)
