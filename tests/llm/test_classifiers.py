@@ -99,3 +99,59 @@ def test_linear_time_score_equals_all_pairs():
         f, x = features[bounds[row] : bounds[row + 1]], values[bounds[row] : bounds[row + 1]]
         want = 0.3 + (machine.weight[f] * x).sum() + sum((machine.factor[f[i]] @ machine.factor[f[j]]) * x[i] * x[j] for i in range(len(f)) for j in range(i))
         assert got[row] == pytest.approx(want)
+
+
+def test_held_out_toxic_documents_are_found_and_told_apart(spark):
+    rows = queries.op1_toxicity(spark, LARGER).toPandas().merge(pd.read_parquet(f"{LARGER}/labels.parquet"), on="doc_id")
+    judged = rows[rows.held_out]
+    toxic, clean = judged[judged.toxic == 1], judged[judged.toxic == 0]
+    assert toxic.predicted.mean() >= 0.7 and clean.predicted.mean() <= 0.02
+    auc = ((toxic.score.to_numpy()[:, None] > clean.score.to_numpy()[None, :]) + 0.5 * (toxic.score.to_numpy()[:, None] == clean.score.to_numpy()[None, :])).mean()
+    assert auc >= 0.97
+
+
+def features_by_hand(text, lexicon):
+    """Some of the features of one text, token by token."""
+    tokens = text.split()
+    own = [toxicity.Features(lexicon).attributes(t) for t in tokens]
+    hits = [a[1] > 0 for a in own]
+    near = sum(h and any(own[j][4] for j in range(max(0, i - 5), min(len(own), i + 6))) for i, h in enumerate(hits))
+    words = max(1, len(tokens))
+    return sum(hits) / words, max([a[1] for a in own], default=0), near / words, sum(a[4] for a in own) / words, sum(a[10] for a in own) / words, np.log1p(len(tokens))
+
+
+def test_features_equal_a_count_by_hand_in_any_blocks(monkeypatch):
+    from veldra.llm import token_table
+
+    rnd = random.Random(6)
+    words = ["you", "YOUR", "scum", "sc.um", "$cum", "id10t", "calm", "Day!", "a", "soooo", "42", "#"]
+    texts = ["", *(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) for _ in range(40))]
+    lexicon = {"scum": 4.0, "idiot": 5.0}
+    names = ("lexicon_density", "lexicon_weight", "near_density", "second_person", "obfuscated", "log_words")
+    for block in (token_table.TOKEN_BLOCK, 7):
+        monkeypatch.setattr(token_table, "TOKEN_BLOCK", block)
+        x = toxicity.Features(lexicon)(pa.array(texts))
+        got = np.stack([x[:, toxicity.NAMES.index(n)] for n in names], axis=1)
+        assert got == pytest.approx(np.array([features_by_hand(t, lexicon) for t in texts]))
+
+
+def test_scores_equal_trees_walked_by_hand():
+    rnd = np.random.default_rng(3)
+    x = rnd.random((400, 4))
+    y = (x[:, 0] + 0.3 * rnd.random(400) > 0.6).astype(float)
+    trees = toxicity.fit_trees(x, y)
+    for row in x[:50]:
+        total = trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf):
+            node = 0
+            for _ in range(toxicity.DEPTH):
+                node = 2 * node + 1 + (row[feature[node]] > cut[node])
+            total += leaf[node - (2**toxicity.DEPTH - 1)]
+        assert trees(row[None, :])[0] == pytest.approx(total)
+
+
+def test_scores_of_one_step_keep_the_order_of_margins():
+    model = toxicity.Model({}, lambda x: x[:, 0], toxicity.Isotonic(np.array([-1.0, 1.0]), np.array([0.0, 1.0])), 0.5)
+    model.features = lambda texts: np.array([[float(t)] for t in texts.to_pylist()])
+    scores = model.score(pa.array(["-3", "-2", "0", "2", "3"]))
+    assert (np.diff(scores) > 0).all() and 0 < scores[0] < 0.01 and 0.98 < scores[-1] < 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from veldra.llm.common import id_text, text_chunks
-from veldra.llm.token_table import coded_tokens, sums
+from veldra.llm.token_table import attribute_sums, coded_tokens
 from veldra.session import ship_package
 
 #: Most labelled documents that the model is fitted on.
@@ -81,11 +81,11 @@ class Vectors:
         there = filled[codes] if len(codes) else np.zeros(0, dtype=bool)
         codes, rows = codes[there], rows[there]
         bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
-        per = table[codes] if len(codes) else np.zeros((0, 11))
-        total = sums(per, bounds)
+        total = attribute_sums(table, codes, bounds)
+        bucket = table[:, 0].astype(np.int64) if len(table) else np.zeros(1, dtype=np.int64)
         n = np.diff(bounds).astype(float)
         words, chars = np.maximum(n, 1), np.maximum(total[:, 1], 1)
-        pairs, counts = np.unique(rows * BUCKETS + per[:, 0].astype(np.int64), return_counts=True)
+        pairs, counts = np.unique(rows * BUCKETS + bucket[codes], return_counts=True)
         owner = pairs // BUCKETS
         different = np.bincount(owner, minlength=len(texts))
         most = np.zeros(len(texts))
@@ -191,7 +191,9 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """``doc_id`` and ``score`` (0 to 1) of every row, null and empty texts included, in one pass over whole texts.
 
     The machine has FEATURES x (RANK + 1) numbers, 2.4 MB, whatever the table
-    holds. Other columns are ignored, repeated rows score alike.
+    holds. Other columns are ignored, whatever their names, repeated rows score
+    alike, an empty table gives no rows. A text longer than a chunk is read
+    alone and whole; memory is then a few times its size.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)

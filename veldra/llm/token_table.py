@@ -8,6 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens whose attributes are laid out at once.
+TOKEN_BLOCK = 1 << 17
+
 
 def coded_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Codes of all tokens in order, each text's bounds in them, and the distinct tokens (the empty one stands for no token)."""
@@ -26,6 +29,17 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def attribute_sums(table: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each text's sums of its tokens' rows of ``table``, a block of tokens at a time: memory doesn't grow with a text's length times the columns."""
+    out = np.zeros((len(bounds) - 1, table.shape[1]))
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for at in range(0, len(codes), TOKEN_BLOCK):
+        own = rows[at : at + TOKEN_BLOCK]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[starts]] += np.add.reduceat(table[codes[at : at + TOKEN_BLOCK]], starts, axis=0)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``text`` and ``label`` of at most ``limit`` labelled documents, those whose hashed ids come first.
 

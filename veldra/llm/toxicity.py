@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.llm.common import id_text, text_chunks
-from veldra.llm.token_table import coded_tokens, sums
+from veldra.llm.token_table import attribute_sums, coded_tokens, sums
 from veldra.session import ship_package
 
 #: Most labelled documents that the model is fitted on.
@@ -32,6 +32,8 @@ LEXICON_ENTRIES = 4000
 LEXICON_MIN_DOCS = 5
 #: Every such labelled document, by crc32 of its id, calibrates.
 CALIBRATION_PART = 4
+#: Share of the trees' own probability in a score: it tells documents of one step of the isotonic map apart.
+OWN_SHARE = 0.02
 #: Tokens a worker keeps the attributes of.
 CACHE_ENTRIES = 300_000
 #: Bytes of text that share a table of tokens.
@@ -143,11 +145,13 @@ class Features:
                 cache[t] = self.attributes(t)
         table = np.array([cache[t] for t in distinct]).reshape(-1, 15)
         real = np.array([bool(t) for t in distinct])
-        per = table[codes] if len(codes) else np.zeros((0, 15))
-        total = sums(per, bounds)
-        n = sums(real[codes].astype(float) if len(codes) else np.zeros(0), bounds)
-        hits = (per[:, 1] > 0).astype(float)
-        you = np.concatenate([[0], np.cumsum(per[:, 4])])
+        total = attribute_sums(table, codes, bounds)
+        real = real if len(real) else np.zeros(1, dtype=bool)
+        table = table if len(table) else np.zeros((1, 15))
+        n = sums(real[codes].astype(float), bounds)
+        weight = table[:, 1][codes]
+        hits = (weight > 0).astype(float)
+        you = np.concatenate([[0], np.cumsum(table[:, 4][codes])])
         place = np.arange(len(codes))
         lengths = np.diff(bounds)
         low, high = np.repeat(bounds[:-1], lengths), np.repeat(bounds[1:], lengths)
@@ -156,7 +160,7 @@ class Features:
         most = np.zeros(len(texts))
         filled = lengths > 0
         if len(codes):
-            most[filled] = np.maximum.reduceat(per[:, 1], bounds[:-1][filled])
+            most[filled] = np.maximum.reduceat(weight, bounds[:-1][filled])
         words, chars = np.maximum(n, 1), np.maximum(total[:, 14] + total[:, 13] + total[:, 9], 1)
         letters = np.maximum(total[:, 14], 1)
         columns = (
@@ -265,7 +269,8 @@ class Model:
             return np.full(len(texts), self.constant)
         self.features = self.features or Features(self.lexicon)
         margins = self.trees(self.features(texts))
-        return np.clip(self.calibrated(margins), 0.0, 1.0) if self.calibrated is not None else 1 / (1 + np.exp(-margins))
+        own = 1 / (1 + np.exp(-margins))
+        return np.clip((1 - OWN_SHARE) * self.calibrated(margins) + OWN_SHARE * own, 0.0, 1.0) if self.calibrated is not None else own
 
 
 def fit(sample: DataFrame) -> Model:
@@ -301,7 +306,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id`` and ``score`` (0 to 1) of every row, null and empty texts included, in one pass over whole texts.
 
     The model has at most LEXICON_ENTRIES words and TREES trees and travels
-    with the kernel. Other columns are ignored, repeated rows score alike.
+    with the kernel. Other columns are ignored, whatever their names, repeated
+    rows score alike, an empty table gives no rows. A text longer than a chunk
+    is read alone and whole; memory is then a few times its size.
     """
     ship_package(docs.sparkSession)
 
