@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -23,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import Generations, id_text, text_chunks
+from veldra.llm.common import Known, id_text, text_chunks
 from veldra.session import ship_package
 
-#: Pre-tokens in each of the two generations that a worker keeps encoded.
-CACHE_ENTRIES = 300_000
+#: Distinct pre-tokens that a worker keeps encoded; beyond it the half that is used least goes.
+CACHE_ENTRIES = 400_000
 
 #: The byte-level pre-tokenisation pattern that the vocabulary is published with (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -93,7 +92,10 @@ class PairIndexCodec:
         self.library.no_truncation()
         self.library.no_padding()
         self.back = back
-        self.cache = Generations(CACHE_ENTRIES)
+        self.token_sizes = np.array([len(b) for b in self.token_bytes], dtype=np.int32)
+        self.token_starts = np.cumsum(self.token_sizes, dtype=np.int64) - self.token_sizes
+        self.token_flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
+        self.cache = Known(self.encode_new, True, CACHE_ENTRIES)
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text that holds no special token."""
@@ -101,10 +103,19 @@ class PairIndexCodec:
             return PATTERN.findall(text)
         return [bytes(self.back[c] for c in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def merge_all(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as native 32-bit integers; one pair occurrence index serves all of them."""
-        if not words:
-            return []
+    def encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each distinct pre-token or special token has, and all ids."""
+        special = np.array([self.specials.get(w, -1) for w in words], dtype=np.int32)
+        sizes, ids = self.merge_all(["" if s >= 0 else w for w, s in zip(words, special.tolist())])
+        at = np.flatnonzero(special >= 0)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        sizes[at] = 1
+        return sizes, np.insert(ids, ends[at], special[at])
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all; one pair occurrence index serves all of them."""
+        if not any(words):
+            return np.zeros(len(words), dtype=np.int32), np.empty(0, dtype=np.int32)
         ranks = self.ranks
         raw = [word.encode() for word in words]
         ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
@@ -114,10 +125,11 @@ class PairIndexCodec:
         if (symbols < 0).any():
             raise ValueError("a byte is missing from the vocabulary")
         following, previous = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
-        following[ends - 1] = previous[starts] = -1
+        filled = ends > starts
+        following[ends[filled] - 1] = previous[starts[filled]] = -1
         # The index at first: positions of every pair of bytes that merges, by rank.
         pair_ranks = np.append(self.byte_pairs[octets[:-1] << 8 | octets[1:]], -1)
-        pair_ranks[ends - 1] = -1
+        pair_ranks[ends[filled] - 1] = -1
         held = np.flatnonzero(pair_ranks >= 0)
         held = held[np.argsort(pair_ranks[held], kind="stable")]
         own = pair_ranks[held]
@@ -163,39 +175,56 @@ class PairIndexCodec:
         final = np.array(sym, dtype=np.int32)
         left = final >= 0
         counts = np.concatenate([[0], np.cumsum(left)])
-        flat = final[left].tobytes()
-        return [flat[x:y] for x, y in zip((4 * counts[starts]).tolist(), (4 * counts[ends]).tolist())]
+        return (counts[ends] - counts[starts]).astype(np.int32), final[left]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of whole texts, as the library gives them without added special tokens."""
-        parts: list[list[str]] = []
-        mixed: dict[int, list[tuple[int, int]]] = {}
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of whole texts in order, as the library gives them without added special tokens, and each text's bounds in them."""
+        words: list[str] = []
+        bounds = [0]
         for text in texts:
             if self.special_pattern is not None and self.special_start in text and self.special_pattern.search(text):
-                own: list[str] = []
                 at = 0
-                places = mixed[len(parts)] = []
                 for found in self.special_pattern.finditer(text):
-                    own += self.cut(text[at : found.start()]) if found.start() > at else []
-                    places.append((len(own), self.specials[found.group()]))
+                    words += self.cut(text[at : found.start()]) if found.start() > at else []
+                    words.append(found.group())
                     at = found.end()
-                parts.append(own + (self.cut(text[at:]) if at < len(text) else []))
-            else:
-                parts.append(self.cut(text) if text else [])
-        self.cache.provide(set().union(*parts), self.merge_all)
-        get = self.cache.young.__getitem__
-        out = []
-        for row, own in enumerate(parts):
-            made = list(map(get, own))
-            for place, special in reversed(mixed.get(row, ())):
-                made.insert(place, array("i", [special]).tobytes())
-            out.append(np.frombuffer(b"".join(made), dtype=np.int32))
-        return out
+                text = text[at:]
+            if text:
+                words += self.cut(text)
+            bounds.append(len(words))
+        if not words:
+            return np.empty(0, dtype=np.int32), np.zeros(len(bounds), dtype=np.int64)
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        del words
+        ids, ends = self.cache.gather(self.cache.places(coded.dictionary), np.asarray(coded.indices))
+        return ids, np.concatenate([[0], ends])[bounds]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, bounds = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def decode_flat(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of lists of ids, special tokens included; ids outside the vocabulary give nothing, bytes that are no UTF-8 the replacement character."""
+        known = (ids >= 0) & (ids < len(self.token_sizes))
+        safe = np.where(known, ids, 0)
+        sizes = np.where(known, self.token_sizes[safe], 0)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        place = np.repeat(self.token_starts[safe] - ends + sizes, sizes)
+        place += np.arange(len(place))
+        octets = self.token_flat[place]
+        cuts = np.concatenate([[0], ends])[bounds]
+        if len(octets) < 1 << 31:
+            texts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(octets))
+            try:
+                texts.validate(full=True)
+                return texts
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([octets[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of the ids, special tokens included; ids outside the vocabulary give nothing."""
-        table = self.token_bytes
-        return b"".join([table[i] for i in ids.tolist() if 0 <= i < len(table)]).decode("utf-8", "replace")
+        return self.decode_flat(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -204,15 +233,14 @@ def codec(path: str) -> PairIndexCodec:
     return PairIndexCodec(path)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)))
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids array<int>`` of every row, in one pass and without a shuffle.
 
-    A null or empty text has no ids. Rows, ids and columns besides the two read
+    A null or empty text has no ids, one of any length is encoded whole. Rows, ids and columns besides the two read
     may repeat, be null or clash with the result's names: every row gives one row.
     """
     ship_package(docs.sparkSession)
@@ -220,7 +248,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for chunk in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), _lists(own.encode_batch(chunk.column("text").to_pylist()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), _lists(*own.encode_flat(chunk.column("text").to_pylist()))], ["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(kernel, "doc_id long, ids array<int>")
 
@@ -232,8 +260,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = [own.decode(np.array(x or [], dtype=np.int64)) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+            lists = batch.column("ids").fill_null([])
+            bounds = np.asarray(lists.offsets, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own.decode_flat(np.asarray(lists.flatten().fill_null(-1)), bounds - bounds[0])], ["doc_id", "decoded"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(kernel, "doc_id long, decoded string")
@@ -246,7 +275,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for chunk in text_chunks(batches):
-            ids = own.encode_batch(chunk.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), _lists(ids), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            ids, bounds = own.encode_flat(chunk.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), _lists(ids, bounds), own.decode_flat(ids, bounds)], ["doc_id", "ids", "decoded"])
 
     return id_text(docs, id_col, text_col).mapInArrow(kernel, "doc_id long, ids array<int>, decoded string")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
     """Slices of the batches that hold about ``most`` bytes of text each, a longer row alone."""
     for batch in batches:
         start, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for row, length in enumerate(lengths):
             if size and size + (length or 0) > most:
                 yield batch.slice(start, row - start)
@@ -42,24 +43,55 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(start)
 
 
-class Generations:
-    """A bounded cache of what is made of words: a word that is used stays, one that a whole generation did not use goes."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def provide(self, words: Iterable[str], make: Callable[[list[str]], list[bytes]]) -> None:
-        """After this the young generation has all the words; those that neither has are made together."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = [w for w in words if w not in young]
-        new = []
-        for w in missing:
-            if w in old:
-                young[w] = old[w]
-            else:
-                new.append(w)
-        young.update(zip(new, make(new)))
+class Known:
+    """A bounded table of what a worker knows of pre-tokens: the number of pieces and, if kept, their ids.
+
+    ``make`` gives both for new ones. Beyond ``most`` entries the half that is
+    used least goes. Strings lie in an Arrow array and numbers in NumPy's.
+    """
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep_ids: bool, most: int):
+        self.make, self.keep_ids, self.most = make, keep_ids, most
+        self.words = pa.array([], pa.string())
+        self.sizes = self.uses = self.ids = np.empty(0, dtype=np.int32)
+        self.starts = np.empty(0, dtype=np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct pre-tokens stand in the table; those that it lacks are encoded together and added."""
+        if len(self.words) > self.most:
+            self._shrink()
+        if len(self.words):
+            found = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1))
+        else:
+            found = np.full(len(words), -1, dtype=np.int32)
+        found = found.astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            added = words.take(pa.array(new))
+            sizes, ids = self.make(added.to_pylist())
+            found[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, added])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int32)])
+            if self.keep_ids:
+                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
+                self.ids = np.concatenate([self.ids, ids])
+        self.uses[found] += 1
+        return found
+
+    def gather(self, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens in order, given by codes into places, and where each one's ids end."""
+        per = self.sizes[at][codes]
+        ends = np.cumsum(per, dtype=np.int64)
+        place = np.repeat(self.starts[at][codes] - ends + per, per)
+        place += np.arange(len(place))
+        return self.ids[place], ends
+
+    def _shrink(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
+        self.words, self.uses, sizes = self.words.take(pa.array(stay)), self.uses[stay] >> 1, self.sizes[stay]
+        if self.keep_ids:
+            ends = np.cumsum(sizes, dtype=np.int64)
+            self.ids = self.ids[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            self.starts = ends - sizes
+        self.sizes = sizes

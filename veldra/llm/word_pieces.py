@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import regex
 
 from veldra.llm.bpe import byte_alphabet
+from veldra.llm.common import Known
 
 #: Distinct pre-tokens that a worker keeps the pieces of; beyond it the half that is used least goes.
 CACHE_ENTRIES = 600_000
@@ -123,63 +124,17 @@ class PreTokens:
         return np.concatenate(sizes), np.concatenate(ids)
 
 
-class Known:
-    """A bounded table of what a worker knows of pre-tokens: the number of pieces and, if kept, their ids."""
-
-    def __init__(self, pre: PreTokens, keep_ids: bool, most: int):
-        self.pre, self.keep_ids, self.most = pre, keep_ids, most
-        self.words = pa.array([], pa.string())
-        self.sizes = self.uses = self.ids = np.empty(0, dtype=np.int32)
-        self.starts = np.empty(0, dtype=np.int64)
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """Where the distinct pre-tokens stand in the table; those that it lacks are encoded together and added."""
-        if len(self.words) > self.most:
-            self._shrink()
-        if len(self.words):
-            found = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1))
-        else:
-            found = np.full(len(words), -1, dtype=np.int32)
-        found = found.astype(np.int64)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            added = words.take(pa.array(new))
-            sizes, ids = self.pre.encode(added.to_pylist())
-            found[new] = len(self.words) + np.arange(len(new))
-            self.words = pa.concat_arrays([self.words, added])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int32)])
-            if self.keep_ids:
-                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
-                self.ids = np.concatenate([self.ids, ids])
-        self.uses[found] += 1
-        return found
-
-    def _shrink(self) -> None:
-        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
-        self.words, self.uses, sizes = self.words.take(pa.array(stay)), self.uses[stay] >> 1, self.sizes[stay]
-        if self.keep_ids:
-            ends = np.cumsum(sizes, dtype=np.int64)
-            self.ids = self.ids[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(ends[-1])]
-            self.starts = ends - sizes
-        self.sizes = sizes
-
-
 class WordPieces:
     def __init__(self, path: str):
         self.pre = PreTokens(path)
-        self.pieces, self.counts = Known(self.pre, True, CACHE_ENTRIES), Known(self.pre, False, CACHE_ENTRIES)
+        self.pieces, self.counts = Known(self.pre.encode, True, CACHE_ENTRIES), Known(self.pre.encode, False, CACHE_ENTRIES)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in order, and how many each text has."""
         codes, bounds, words = self.pre.split(texts)
-        at = self.pieces.places(words)
-        per = self.pieces.sizes[at][codes]
-        ends = np.cumsum(per, dtype=np.int64)
-        place = np.repeat(self.pieces.starts[at][codes] - ends + per, per)
-        place += np.arange(len(place))
+        ids, ends = self.pieces.gather(self.pieces.places(words), codes)
         running = np.concatenate([[0], ends])
-        return self.pieces.ids[place], running[bounds[1:]] - running[bounds[:-1]]
+        return ids, running[bounds[1:]] - running[bounds[:-1]]
 
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         """How many pieces each text has: its pre-tokens' frequencies, joined to their counts of pieces, summed."""
