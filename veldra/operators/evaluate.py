@@ -109,3 +109,20 @@ def parse_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
     line = F.trim(column)
     pairs = F.filter(F.split(line, r"\s+"), lambda x: x.contains("="))
     return lines.where(line.rlike(r"^\S+(\s+\S+=\S+)+$")).select(F.substring_index(line, " ", 1).alias("name"), F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", "")))).alias("metrics"))
+
+
+def work_metrics(per_query: DataFrame) -> DataFrame:
+    """``profile_metrics`` with the means of ``hops``, ``distances``, ``pruned`` and the number of ``insufficient`` queries (a flag)."""
+    rolled = per_query.rollup("profile").agg(
+        F.grouping("profile").alias("g"), F.count("*").alias("queries"), F.avg("recall").alias("mean_recall"), F.avg("ms").alias("mean_ms"), (1000.0 * F.count("*") / F.sum("ms")).alias("qps"),
+        *[F.avg(c).alias(f"mean_{c}") for c in ("hops", "distances", "pruned")], F.count_if("insufficient").alias("insufficient"),
+    )
+    return rolled.select(F.when(F.col("g") == 1, "total").otherwise(F.col("profile")).alias("profile"), *rolled.columns[2:])
+
+
+def insufficient(results: DataFrame, truth: DataFrame, legal_counts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``qid`` and three flags of too few results: ``of_graph`` (fewer than k although k exist), ``of_index`` (fewer than k), ``of_evaluator`` (fewer than min(k, legal rows))."""
+    count = lambda rows, name: rows.select("qid", "id").distinct().groupBy("qid").agg(F.count("*").alias(name))
+    per = queries.select("qid").join(count(results, "got"), "qid", "left").join(count(truth, "best"), "qid", "left").join(legal_counts.select("qid", "legal_n"), "qid", "left").na.fill(0)
+    short = F.col("got") < k
+    return per.select("qid", (short & (F.col("best") >= k)).alias("of_graph"), short.alias("of_index"), (F.col("got") < F.least(F.lit(k), F.col("legal_n"))).alias("of_evaluator"))

@@ -7,6 +7,7 @@ relational; the compression of a node's candidates is a bounded kernel per node.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import candidates, ranked
+from veldra.operators.exact import PAIR_QUERIES, candidates, ranked
 from veldra.session import ship_package, stored
 
 #: Rows that are queries of one exact search (a broadcast of vectors); more are searched in several, each stored.
 EXACT_ROWS = 50_000
+#: Nodes of a shard are numbered from a multiple of this, in the order of their ranks.
+SHARD_SPAN = 1 << 32
 #: The share of rows that a short edge spans; such edges are kept first.
 SHORT_SHARE = 50
 #: Of this many edges of a node one is pruned.
@@ -67,16 +70,21 @@ def compress_node(center: int, labels: np.ndarray, dists: np.ndarray, vectors: n
     """
     square = (vectors**2).sum(axis=1)
     apart = np.maximum(square[:, None] + square[None, :] - 2 * vectors @ vectors.T, 0)
-    shadowed = apart < (dists / alpha)[None, :]  # [member, candidate]
-    count = len(labels)
+    shadowed = np.packbits(apart < (dists / alpha)[None, :], axis=1, bitorder="little")  # [member, candidate]
+    shadows = [int.from_bytes(row.tobytes(), "little") for row in shadowed]
     ranks = labels.tolist()
+    order = sorted(range(len(ranks)), key=ranks.__getitem__)
+    placed = [ranks[i] for i in order]
+    upto = [0]  # sets of the candidates of the least ranks, as bits
+    for i in order:
+        upto.append(upto[-1] | 1 << i)
     boxes: dict[int, list[int]] = {}
-    # One frame per depth: next candidate, open range, caps, candidates that the chain so far dominates.
-    frames = [[0, 0, n - 1, center, center, np.zeros(count, dtype=bool)]]
+    # One frame per depth: candidates still to be looked at, open range, caps, candidates that the chain so far dominates.
+    frames = [[upto[-1], 0, n - 1, center, center, 0]]
     chain: list[int] = []
     while frames:
         frame = frames[-1]
-        i, left, right, cap_left, cap_right, dark = frame
+        ahead, left, right, cap_left, cap_right, dark = frame
         if len(chain) > len(frames) - 1:  # back from the chain that ended in the last one taken
             taken = ranks[chain.pop()]
             if taken < cap_left:
@@ -86,38 +94,44 @@ def compress_node(center: int, labels: np.ndarray, dists: np.ndarray, vectors: n
             else:
                 frames.pop()
                 continue
-        if len(chain) >= most:
+        open_now = ahead & ~dark & upto[bisect_right(placed, right)] & ~upto[bisect_left(placed, left)] if len(chain) < most else 0
+        if not open_now:
             frames.pop()
             continue
-        while i < count and (dark[i] or not left <= ranks[i] <= right):
-            i += 1
-        if i == count:
-            frames.pop()
-            continue
-        frame[0] = i + 1
+        bit = open_now & -open_now
+        i = bit.bit_length() - 1
+        frame[0] = ahead = ahead & -(bit << 1)
         rank = ranks[i]
         below = min(rank, cap_left) if rank < center else cap_left
         above = max(rank, cap_right) if rank > center else cap_right
         box = boxes.get(i)
         boxes[i] = [left, below, above, right] if box is None else [min(box[0], left), max(box[1], below), min(box[2], above), max(box[3], right)]
         chain.append(i)
-        frames.append([i + 1, left, right, below, above, dark | shadowed[i]])
+        frames.append([ahead, left, right, below, above, dark | shadows[i]])
     return [(ranks[i], *box) for i, box in sorted(boxes.items())]
 
 
-def compress(candidate_lists: DataFrame, vectors: DataFrame, n: int, most: int = 16, alpha: float = 1.0) -> DataFrame:
-    """Edges with envelopes from rows ``src``, ``dst``, ``dist`` of ranks; each node's bounded list is one kernel call."""
+def compress(candidate_lists: DataFrame, vectors: DataFrame, n: int | Column, most: int = 16, alpha: float = 1.0) -> DataFrame:
+    """Edges with envelopes from rows ``src``, ``dst``, ``dist`` of ranks; each node's bounded list is one kernel call.
+
+    ``n`` is the number of rows, or a column of the lists where graphs of
+    several shards are made at once; nodes are then ``node`` numbers.
+    """
     ship_package(candidate_lists.sparkSession)
-    rows = candidate_lists.join(vectors.select(F.col("id").alias("dst"), "v"), "dst")
-    lists = rows.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "v"))).alias("c"))
+    size = n if isinstance(n, Column) else F.lit(n)
+    rows = candidate_lists.withColumn("n", size.cast("long")).join(vectors.select(F.col("id").alias("dst"), "v"), "dst")
+    lists = rows.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "v"))).alias("c"), F.first("n").alias("n"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for src, own in zip(batch.column("src").to_pylist(), batch.column("c").to_pylist()):
-                labels = np.array([c["dst"] for c in own], dtype=np.int64)
-                edges = compress_node(src, labels, np.array([c["dist"] for c in own]), np.array([c["v"] for c in own], dtype=np.float64), n, most, alpha)
-                out += [(src, *e) for e in edges]
+            for src, own, count in zip(batch.column("src").to_pylist(), batch.column("c"), batch.column("n").to_pylist()):
+                fields = own.values
+                labels = np.asarray(fields.field("dst"), dtype=np.int64)
+                first = src - src % SHARD_SPAN
+                v = np.asarray(fields.field("v").flatten(), dtype=np.float64).reshape(len(labels), -1)
+                edges = compress_node(src - first, labels - first, np.asarray(fields.field("dist")), v, count, most, alpha)
+                out += [(src, first + dst, *box) for dst, *box in edges]
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["src", "dst", "ll", "lu", "rl", "ru"])
 
@@ -131,14 +145,14 @@ def symmetrised(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.min("ll").alias("ll"), F.max("lu").alias("lu"), F.min("rl").alias("rl"), F.max("ru").alias("ru"))
 
 
-def supported(edges: DataFrame, n: int) -> DataFrame:
+def supported(edges: DataFrame, n: int | Column) -> DataFrame:
     """Adds ``support`` (query ranges that the envelope admits), ``score`` (support over the edge's length) and ``protected`` (short edges)."""
     length = F.abs(F.col("dst") - F.col("src")) + 1
     support = (F.col("lu") - F.col("ll") + 1) * (F.col("ru") - F.col("rl") + 1)
-    return edges.withColumn("support", support).withColumn("score", F.expr("support div (abs(dst - src) + 1)")).withColumn("protected", length <= -(-n // SHORT_SHARE))
+    return edges.withColumn("support", support).withColumn("score", F.expr("support div (abs(dst - src) + 1)")).withColumn("protected", length <= F.ceil((n if isinstance(n, Column) else F.lit(n)) / SHORT_SHARE))
 
 
-def pruned(edges: DataFrame, n: int) -> DataFrame:
+def pruned(edges: DataFrame, n: int | Column) -> DataFrame:
     """``src``, ``dst`` of the edges that stay: a node loses one in ``PRUNE_ONE_OF`` of its edges, those of the least score, protected ones last; ties by dst."""
     own = Window.partitionBy("src")
     order = own.orderBy(F.desc("protected"), F.desc("score"), "dst")
@@ -151,7 +165,8 @@ def eligible(edges: DataFrame, query_ranges: DataFrame, n: int, small_share: flo
     inside = F.col("src").between(F.col("lo"), F.col("hi")) & F.col("dst").between(F.col("lo"), F.col("hi"))
     fits = F.col("lo").between(F.col("ll"), F.col("lu")) & F.col("hi").between(F.col("rl"), F.col("ru"))
     small = (F.col("hi") - F.col("lo") + 1) < F.lit(small_share * n)
-    return edges.join(F.broadcast(query_ranges), inside & (small | fits)).select("qid", "src", "dst")
+    few = query_ranges.limit(PAIR_QUERIES + 1).count() <= PAIR_QUERIES
+    return edges.join(F.broadcast(query_ranges) if few else query_ranges, inside & (small | fits)).select("qid", "src", "dst")
 
 
 def edge_boxes(edges: DataFrame, ranks: DataFrame, primary: int, n: int) -> DataFrame:
@@ -199,10 +214,126 @@ def inserted(edges: DataFrame, new_rows: DataFrame, vectors: DataFrame, n: int,
     return recompressed(symmetrised(edges.select("src", "dst", "ll", "lu", "rl", "ru").unionByName(own)), touched, vectors, n, most)
 
 
-def save(edges: DataFrame, path: str) -> None:
-    """Files sorted by node; the format is Parquet with one folder per attribute if there is an ``attr`` column."""
+def checked_labels(labels: DataFrame, n: int) -> None:
+    """Refuse labels ``rnk`` of a graph's rows that repeat, are null or lie outside 0 .. n - 1."""
+    seen = labels.agg(F.count("*").alias("n"), F.count_distinct("rnk").alias("d"), F.min("rnk").alias("lo"), F.max("rnk").alias("hi")).first()
+    if seen.n != seen.d or seen.n and (seen.lo < 0 or seen.hi >= n):
+        raise ValueError("labels must be unique and lie in the range of the rows")
+
+
+def build_static(base: DataFrame, ranks: DataFrame, attribute: int, k: int = 16, ef_max: int = 400, alpha: float = 1.0) -> DataFrame:
+    """The graph of one attribute with the published settings, after its labels are checked."""
+    n = base.count()
+    checked_labels(ranks.where(F.col("attr") == attribute), n)
+    return build(base, ranks, attribute, n, ef_max, k, alpha)
+
+
+#: The form of stored graphs.
+GRAPH_VERSION = 1
+
+
+def save(edges: DataFrame, path: str, n: int | None = None, **settings: str) -> None:
+    """Files sorted by node under ``edges``, one folder per attribute if there is an ``attr`` column, and one row under ``meta``.
+
+    The row holds the form's version, the number of rows of the table and of
+    edges, and settings of the build; it is written last, so that a folder
+    without it is no graph.
+    """
+    spark = edges.sparkSession
     rows = edges.repartitionByRange("src").sortWithinPartitions("src", "dst")
-    (rows.write.partitionBy("attr") if "attr" in edges.columns else rows.write).mode("errorifexists").parquet(path)
+    (rows.write.partitionBy("attr") if "attr" in edges.columns else rows.write).mode("errorifexists").parquet(f"{path}/edges")
+    count = spark.read.parquet(f"{path}/edges").count()
+    meta = [(GRAPH_VERSION, -1 if n is None else n, count, {k: str(v) for k, v in settings.items()})]
+    spark.createDataFrame(meta, "version int, rows long, edges long, settings map<string,string>").coalesce(1).write.parquet(f"{path}/meta")
+
+
+def load(spark, path: str, n: int | None = None) -> tuple[DataFrame, dict]:
+    """The edges of a stored graph and its row of ``meta``; refused if the version, the table's size or the number of edges differs."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    edges = spark.read.parquet(f"{path}/edges")
+    if meta.version != GRAPH_VERSION:
+        raise ValueError(f"the graph has form {meta.version}, not {GRAPH_VERSION}")
+    if n is not None and meta["rows"] != n:
+        raise ValueError(f"the graph is of {meta['rows']} rows, the table has {n}")
+    if edges.count() != meta["edges"]:
+        raise ValueError("edges of the graph are missing")
+    return edges, meta.asDict()
+
+
+def insertion_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: nodes ``inserted``, ``edges_added``, ``edges_removed`` and nodes ``touched`` between two edge tables."""
+    a, b = before.select("src", "dst", F.lit(1).alias("x")), after.select("src", "dst", F.lit(1).alias("y"))
+    both = a.join(b, ["src", "dst"], "full")
+    known = before.select("src").distinct()
+    new = after.select("src").distinct().join(known, "src", "left_anti").agg(F.count("*").alias("inserted"))
+    counts = both.agg(F.count_if(F.col("x").isNull()).alias("edges_added"), F.count_if(F.col("y").isNull()).alias("edges_removed"), F.count_distinct(F.when(F.col("x").isNull() | F.col("y").isNull(), F.col("src"))).alias("touched"))
+    return new.crossJoin(counts)
+
+
+def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row of counts over a graph of ``nodes`` (``id``): self loops, repeated edges, edges to or from no node, nodes that no edge reaches."""
+    own = nodes.select("id").distinct()
+    loops = edges.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_loops"))
+    repeated = edges.groupBy("src", "dst").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("repeated"))
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    dangling = ends.join(own, "id", "left_anti").agg(F.count("*").alias("dangling"))
+    unreached = own.join(edges.where("src <> dst").select(F.col("dst").alias("id")).distinct(), "id", "left_anti").agg(F.count("*").alias("unreached"))
+    return loops.crossJoin(repeated).crossJoin(dangling).crossJoin(unreached)
+
+
+def sharded_nodes(base: DataFrame, attributes: list[str], indexed: list[int], shard_rows: int) -> DataFrame:
+    """``attr``, ``shard``, ``n`` (rows of the shard), ``node``, ``id``, ``v`` and the attributes: each shard's rows numbered by (value, id) of each indexed attribute.
+
+    Shards are dealt by a hash of the id, about ``shard_rows`` rows each.
+    """
+    shards = max(1, -(-base.count() // shard_rows))
+    dealt = base.select("id", "v", *[F.col(a).cast("float").alias(a) for a in attributes], F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(attributes[i]).alias("value")) for i in indexed]))
+    rows = dealt.withColumn("x", each).select("shard", "x.attr", "x.value", "id", "v", *attributes)
+    own = Window.partitionBy("attr", "shard")
+    numbered = rows.withColumns({"rnk": F.row_number().over(own.orderBy("value", "id")) - 1, "n": F.count("*").over(own)})
+    node = (F.col("attr").cast("long") * shards + F.col("shard")) * SHARD_SPAN + F.col("rnk")
+    return numbered.select("attr", "shard", "n", node.alias("node"), "id", "v", *attributes)
+
+
+def shard_neighbours(nodes: DataFrame, count: int) -> DataFrame:
+    """``src``, ``dst``, ``dist``, ``n``: the nearest other rows of every row within its shard, exact, ties by node; one task a shard and attribute."""
+    ship_package(nodes.sparkSession)
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node = np.asarray(table.column("node").combine_chunks(), dtype=np.int64)
+        v = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(node), -1)
+        square = (v**2).sum(axis=1)
+        k = min(count, len(node) - 1)
+        src, dst, dist = [], [], []
+        for at in range(0, len(node) if k > 0 else 0, 512):
+            some = slice(at, at + 512)
+            near = square[some, None] - 2 * v[some] @ v.T + square[None, :]
+            near[np.arange(len(near)), at + np.arange(len(near))] = np.inf
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-6 * (square[some] + square.max() + 1e-30)
+            for i, (row, most) in enumerate(zip(near, limit)):
+                own = np.flatnonzero(row <= most)
+                exactly = ((v[own] - v[at + i]) ** 2).sum(axis=1)
+                first = np.lexsort((own, exactly))[:k]
+                src.append(np.full(k, node[at + i])), dst.append(node[own[first]]), dist.append(exactly[first])
+        join = lambda x, t: np.concatenate([*x, np.empty(0, t)]).astype(t)
+        total = k * len(node) if k > 0 else 0
+        return pa.table({"src": pa.array(join(src, np.int64)), "dst": pa.array(join(dst, np.int64)), "dist": pa.array(join(dist, np.float64)), "n": pa.array(np.full(total, len(node)), pa.int64())})
+
+    return nodes.groupBy("attr", "shard").applyInArrow(lambda t: kernel(t), "src long, dst long, dist double, n long")
+
+
+def build_sharded(nodes: DataFrame, ef: int = 64, most: int = 16, alpha: float = 1.0) -> DataFrame:
+    """``attr``, ``shard`` and edges of ``node`` numbers: graphs of all shards and indexed attributes of ``sharded_nodes`` at once.
+
+    No step holds more than one shard's rows or one node's list in a task, and nothing passes the driver.
+    """
+    rows = nodes.select(F.col("node").alias("id"), "v")
+    merged = symmetrised(compress(shard_neighbours(nodes, ef), rows, F.col("n"), most, alpha))
+    own = nodes.select(F.col("node").alias("src"), "attr", "shard", "n")
+    kept = pruned(merged.join(own.select("src", "n"), "src"), F.col("n"))
+    return kept.join(own.select("src", "attr", "shard"), "src").select("attr", "shard", "src", "dst", "ll", "lu", "rl", "ru")
 
 
 def valid_condition(n: int) -> Column:

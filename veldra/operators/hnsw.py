@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import ranked
+from veldra.operators.exact import _bounds, query_blocks, ranked, with_queries
 from veldra.session import ship_package
 
 #: Rows of a shard; the number of shards follows from a count.
@@ -100,6 +100,27 @@ class Layers:
                 self.levels.append({node: []})
             self.entry = node
 
+    def within(self, query: np.ndarray, radius: float, least: int, most: int, admits: Callable[[int], bool] | None = None) -> list[int]:
+        """Admitted nodes within a squared distance, ``most`` at most: the walk goes on beyond the radius until it has met ``least`` of any distance."""
+        if self.entry < 0 or most < 1:
+            return []
+        at = self.descend(query, 0)
+        (first,) = self.gaps(query, [at])
+        frontier, seen = [(first, at)], {at}
+        found = [(-first, at)] if admits is None or admits(at) else []
+        while frontier:
+            gap, node = heappop(frontier)
+            if len(found) >= most and gap > -found[0][0] or gap > radius and len(found) >= least:
+                break
+            fresh = [x for x in self.levels[0].get(node, ()) if x not in seen]
+            seen.update(fresh)
+            for g, x in zip(self.gaps(query, fresh) if fresh else (), fresh):
+                if len(found) < most or g < -found[0][0]:
+                    heappush(frontier, (g, x))
+                    if admits is None or admits(x):
+                        heappush(found, (-g, x)) if len(found) < most else heapreplace(found, (-g, x))
+        return [x for g, x in sorted((-g, x) for g, x in found) if g <= radius]
+
     def search(self, query: np.ndarray, k: int, ef: int, admits: Callable[[int], bool] | None = None) -> list[int]:
         if self.entry < 0:
             return []
@@ -138,25 +159,31 @@ def build(rows: DataFrame, m: int = M) -> DataFrame:
     return hashed.groupBy("shard").applyInArrow(shard_links, LINKS)
 
 
-def search(rows: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef: int, attributes: list[str] | None = None) -> DataFrame:
-    """``qid``, ``rank``, ``id``, ``dist`` of stated queries ``qid``, ``qv`` and, with attributes, ``bounds``.
-
-    With attributes the walk passes through rows outside the ranges but keeps
-    only rows inside them; without, it is a plain nearest-row search whose
-    results a caller may filter afterwards. Rows that must not be found are
-    taken out of ``rows`` by an anti join; their links are then skipped.
-    """
+def _walked(rows: DataFrame, links: DataFrame, queries: DataFrame, attributes: list[str] | None, pick: Callable[..., list[int]]) -> DataFrame:
+    """``qid``, ``id``, ``dist`` of the nodes that ``pick(layers, query, admits)`` gives in every shard; blocks of queries are walked one after the other."""
     spark = rows.sparkSession
     ship_package(spark)
     names = attributes or []
-    wanted = [(r.qid, np.array(r.qv, dtype=np.float64), [(b.low, b.high) for b in r.bounds] if names else []) for r in queries.select("qid", "qv", *(["bounds"] if names else [])).collect()]
-    shared = spark.sparkContext.broadcast(wanted)
-
-    def shard_results(table: pa.Table, own: pa.Table) -> pa.Table:
+    left = rows.select("shard", F.col("id").cast("long").alias("id"), "v", *[F.col(a).cast("float").alias(a) for a in names])
+    out: DataFrame | None = None
+    for block in query_blocks(queries.select("qid", "qv", *(["bounds"] if names else []))):
+        low, high = _bounds(block, names, [False] * len(names))
+        shared = spark.sparkContext.broadcast(([r.qid for r in block], np.array([r.qv for r in block], dtype=np.float64), low, high))
+        found = left.groupBy("shard").cogroup(links.groupBy("shard")).applyInArrow(_shard_results(shared, names, pick), "qid long, id long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "qid long, id long, dist double")
+    measured = with_queries(out.join(rows.select("id", "v"), "id"), queries.select("qid", "qv"))
+    return measured.select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
+
+
+def _shard_results(shared, names: list[str], pick: Callable[..., list[int]]):
+    def results(table: pa.Table, own: pa.Table) -> pa.Table:
         qids, found = [], []
         if table.num_rows and own.num_rows:
-            ids, vectors = _arrays(table.sort_by("id"))
-            values = np.stack([np.asarray(table.sort_by("id").column(a).combine_chunks(), dtype=np.float64) for a in names], axis=1) if names else None
+            table = table.sort_by("id")
+            ids, vectors = _arrays(table)
+            values = [np.asarray(table.column(a), dtype=np.float32) for a in names]
             graph = Layers(vectors)
             level = np.asarray(own.column("level").combine_chunks())
             ends = [np.asarray(own.column(c).combine_chunks(), dtype=np.int64) for c in ("src", "dst")]
@@ -169,16 +196,59 @@ def search(rows: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef: in
                 if a != b:
                     near.append(b)
             graph.entry = min(graph.levels[-1]) if graph.levels else -1
-            for qid, query, bounds in shared.value:
+            wanted, vectors_of, low, high = shared.value
+            for q, qid in enumerate(wanted):
+                admits = None
                 if names:
-                    low, high = np.array(bounds).T
-                    inside = ((values >= low) & (values <= high)).all(axis=1)
-                near = graph.search(query, k, ef, (lambda x, inside=inside: bool(inside[x])) if names else None)
+                    inside = np.logical_and.reduce([(x >= lo[q]) & (x <= hi[q]) for x, lo, hi in zip(values, low, high)])
+                    admits = lambda x, inside=inside: bool(inside[x])
+                near = pick(graph, vectors_of[q], admits)
                 qids += [qid] * len(near)
                 found += ids[near].tolist()
         return pa.table({"qid": pa.array(qids, pa.int64()), "id": pa.array(found, pa.int64())})
 
-    left = rows.select("shard", F.col("id").cast("long").alias("id"), "v", *[F.col(a).cast("float").alias(a) for a in names])
-    proposed = left.groupBy("shard").cogroup(links.groupBy("shard")).applyInArrow(shard_results, "qid long, id long")
-    measured = proposed.join(rows.select("id", "v"), "id").join(F.broadcast(queries.select("qid", "qv")), "qid").withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
-    return ranked(measured, k).select("qid", "rank", "id", "dist")
+    return results
+
+
+def search(rows: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef: int, attributes: list[str] | None = None) -> DataFrame:
+    """``qid``, ``rank``, ``id``, ``dist`` of stated queries ``qid``, ``qv`` and, with attributes, ``bounds``.
+
+    With attributes the walk passes through rows outside the ranges but keeps
+    only rows inside them; without, it is a plain nearest-row search whose
+    results a caller may filter afterwards. Rows that must not be found are
+    taken out of ``rows`` (``unmarked``); their links are then skipped. With
+    ``k`` equal to ``ef`` all that a walk keeps is returned.
+    """
+    return ranked(_walked(rows, links, queries, attributes, lambda graph, query, admits: graph.search(query, k, ef, admits)), k).select("qid", "rank", "id", "dist")
+
+
+def within(rows: DataFrame, links: DataFrame, queries: DataFrame, radius: float, least: int, most: int, attributes: list[str] | None = None) -> DataFrame:
+    """``qid``, ``id``, ``dist`` of rows that walks find within a squared distance, the ``most`` nearest; a walk goes on until it has met ``least`` rows of any distance."""
+    near = _walked(rows, links, queries, attributes, lambda graph, query, admits: graph.within(query, radius, least, most, admits))
+    return ranked(near.where(F.col("dist") <= radius), most).select("qid", "id", "dist")
+
+
+def unmarked(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows without those marked as deleted (``id``); a row comes back as soon as its mark is gone, as links stay."""
+    return rows.join(deleted.select("id"), "id", "left_anti")
+
+
+def updated(rows: DataFrame, links: DataFrame, changed: DataFrame) -> DataFrame:
+    """Links after rows of ``changed`` (``shard``) were added, replaced or taken out: their shards are built anew, the others stay."""
+    shards = changed.select("shard").distinct()
+    return links.join(shards, "shard", "left_anti").select("shard", "level", "src", "dst").unionByName(build(rows.join(shards, "shard", "left_semi")))
+
+
+def save(links: DataFrame, path: str, **settings: str) -> None:
+    """The links by shard, and one row of their number and settings, written last."""
+    links.repartition("shard").sortWithinPartitions("shard", "level", "src", "dst").write.mode("errorifexists").parquet(f"{path}/links")
+    count = links.sparkSession.read.parquet(f"{path}/links").count()
+    links.sparkSession.createDataFrame([(count, {k: str(v) for k, v in settings.items()})], "links long, settings map<string,string>").coalesce(1).write.parquet(f"{path}/meta")
+
+
+def load(spark, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """Stored links and settings; refused if links are missing."""
+    meta, links = spark.read.parquet(f"{path}/meta").first(), spark.read.parquet(f"{path}/links")
+    if links.count() != meta.links:
+        raise ValueError("links of the index are missing")
+    return links, dict(meta.settings)

@@ -13,14 +13,14 @@ from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import ranked
+from veldra.operators.exact import exact_topk, query_blocks, ranked, with_queries
 from veldra.session import ship_package
 
-#: Bytes of a graph and its vectors that are sent to every worker; a larger one must be cut into shards first.
+#: Bytes of a graph and its vectors that ``load`` sends to every worker; ``walk_shards`` has no such bound.
 GRAPH_BYTES = 1 << 30
 #: Share of rows below which an interval's edges are not tested by their envelopes.
 SMALL_SHARE = 0.02
@@ -154,5 +154,76 @@ def navigate(base: DataFrame, queries: DataFrame, graphs: dict[int, Graph], k: i
 
     dealt = queries.select("qid", "qv", F.col("nav_attr").cast("int").alias("nav_attr"), "lo", "hi", "bounds").repartition("nav_attr", "qid")
     proposed = dealt.mapInArrow(kernel, "qid long, id long, distances long, hops long")
-    measured = base.select("id", "v").join(F.broadcast(proposed), "id").join(F.broadcast(queries.select("qid", "qv")), "qid").withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
+    measured = with_queries(base.select("id", "v").join(proposed, "id"), queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
     return ranked(measured, k).select("qid", "rank", "id", "dist", "distances", "hops")
+
+
+def _two(kernel):
+    """A function of two tables, as a cogroup asks for."""
+    return lambda rows, own: kernel(rows, own)
+
+
+def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], k: int, ef: int, hard_prune: bool = False, whole: bool = False) -> DataFrame:
+    """``qid``, ``rank``, ``id``, ``dist``, ``distances``, ``hops`` of stated queries ``qid``, ``qv``, ``nav_attr``, ``bounds``.
+
+    ``nodes`` and ``edges`` come from ``graph.sharded_nodes`` and
+    ``graph.build_sharded``. Every shard walks the queries that its attribute
+    navigates, within the ranks that the query's range has there (all ranks if
+    ``whole``), and the shards' results are merged; work is summed over shards.
+    Queries without ``nav_attr`` have no rows here: see ``with_fallback``.
+    """
+    spark = nodes.sparkSession
+    ship_package(spark)
+    out: DataFrame | None = None
+    for block in query_blocks(queries.select("qid", "qv", "nav_attr", "bounds").where("nav_attr IS NOT NULL")):
+        wanted: dict[int, list] = {}
+        for r in block:
+            low = np.array([-np.inf if b.low is None else b.low for b in r.bounds], dtype=np.float32)
+            high = np.array([np.inf if b.high is None else b.high for b in r.bounds], dtype=np.float32)
+            wanted.setdefault(r.nav_attr, []).append((r.qid, np.array(r.qv, dtype=np.float64), low, high))
+        shared = spark.sparkContext.broadcast(wanted)
+
+        def kernel(rows: pa.Table, own: pa.Table, shared=shared) -> pa.Table:
+            found: list[tuple[int, int, int, int]] = []
+            if rows.num_rows:
+                rows = rows.sort_by("node")
+                attr = rows.column("attr")[0].as_py()
+                first = rows.column("node")[0].as_py()
+                vectors = np.asarray(rows.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
+                values = np.stack([np.asarray(rows.column(a), dtype=np.float32) for a in attributes], axis=1)
+                table = np.stack([np.asarray(own.column(c), dtype=np.int64) for c in ("src", "dst", "ll", "lu", "rl", "ru")], axis=1)
+                table[:, :2] -= first
+                graph = Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, values, table)
+                for qid, query, low, high in shared.value.get(attr, ()):
+                    left = 0 if whole else int(np.searchsorted(values[:, attr], low[attr], side="left"))
+                    right = rows.num_rows - 1 if whole else int(np.searchsorted(values[:, attr], high[attr], side="right")) - 1
+                    near, distances, hops = graph.walk(query, left, right, low, high, k, ef, hard_prune)
+                    found += [(qid, int(graph.ids[r]), distances, hops) for r in near]
+            columns = list(zip(*found)) if found else [()] * 4
+            return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("qid", "id", "distances", "hops"), columns)})
+
+        found = nodes.groupBy("attr", "shard").cogroup(edges.groupBy("attr", "shard")).applyInArrow(_two(kernel), "qid long, id long, distances long, hops long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "qid long, rank int, id long, dist double, distances long, hops long")
+    rows = nodes.where(F.col("attr") == nodes.select(F.min("attr")).first()[0]).select("id", "v")
+    measured = with_queries(out.join(rows, "id"), queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
+    work = Window.partitionBy("qid")
+    per_shard = F.sum("distances").over(work), F.sum("hops").over(work)
+    return ranked(measured.select("qid", "id", "dist", per_shard[0].alias("distances"), per_shard[1].alias("hops")), k).select("qid", "rank", "id", "dist", "distances", "hops")
+
+
+def with_fallback(walked: DataFrame, base: DataFrame, queries: DataFrame, k: int, attributes: list[str]) -> DataFrame:
+    """``qid``, ``rank``, ``id``, ``dist``, ``fallback``: walked results, and an exact scan for the queries that no indexed attribute navigates."""
+    lost = queries.where("nav_attr IS NULL")
+    scanned = exact_topk(base, lost, k, attributes).select("qid", "rank", "id", "dist", F.lit(True).alias("fallback"))
+    return walked.select("qid", "rank", "id", "dist", F.lit(False).alias("fallback")).unionByName(scanned)
+
+
+def hybrid(walked: DataFrame, base: DataFrame, choices: DataFrame, queries: DataFrame, k: int, attributes: list[str]) -> DataFrame:
+    """``qid``, ``choice``, ``rank``, ``id``, ``dist``: each query's rows by the strategy that ``choices`` (``qid``, ``choice``) names."""
+    few = queries.join(choices.where("choice = 'prefilter'"), "qid", "left_semi")
+    scanned = exact_topk(base, few, k, attributes).withColumn("choice", F.lit("prefilter"))
+    others = walked.join(choices.where("choice = 'graph'").select("qid", "choice"), "qid")
+    columns = ["qid", "choice", "rank", "id", "dist"]
+    return scanned.select(*columns).unionByName(others.select(*columns))

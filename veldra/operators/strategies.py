@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions.predicates import in_ranges
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import candidates, exact_topk, pairs, ranked
+from veldra.operators.exact import candidates, pairs, ranked, with_queries
 
 
 def range_filter(base: DataFrame, queries: DataFrame, attributes: list[str], masked: bool = False) -> DataFrame:
@@ -24,23 +24,34 @@ def legal_counts(base: DataFrame, queries: DataFrame, attributes: list[str]) ->
 
 
 def prefilter(base: DataFrame, queries: DataFrame, primary: DataFrame, attributes: list[str], k: int) -> DataFrame:
-    """``qid``, ``scanned`` (in the primary range), ``passed`` (in all ranges), ``rank``, ``id``; a query without rows has one row of nulls."""
+    """``qid``, ``scanned`` (in the primary range), ``passed`` (in all ranges), ``rank``, ``id``; a query without rows has one row of nulls.
+
+    The primary slice comes first; only rows of it that pass are measured.
+    """
     wanted = queries.select("qid", "bounds").join(primary, "qid").select("qid", "bounds", "primary_attr")
     value = F.get(F.array(*[F.col(a).cast("float") for a in attributes]), F.col("primary_attr"))
     own = F.get("bounds", F.col("primary_attr"))
     passes = in_ranges([F.col(a) for a in attributes], F.col("bounds"))
-    slices = pairs(base.select("id", *attributes), wanted, value.between(own["low"], own["high"]))
-    counts = slices.groupBy("qid").agg(F.count("*").alias("scanned"), F.count_if(passes).alias("passed"))
-    top = exact_topk(base, queries, k, attributes).select("qid", "rank", "id")
+    in_slice = value.between(own["low"], own["high"])
+    counts = pairs(base.select("id", *attributes), wanted, in_slice).groupBy("qid").agg(F.count("*").alias("scanned"), F.count_if(passes).alias("passed"))
+    sliced = pairs(base.select("id", "v", *attributes), wanted, in_slice).where(passes).select("qid", "id", "v")
+    measured = with_queries(sliced, queries.select("qid", "qv")).select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
+    top = ranked(measured, k).select("qid", "rank", "id")
     counted = queries.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.coalesce("passed", F.lit(0)).alias("passed"))
     return counted.join(top, "qid", "left")
 
 
+def sliced_files(spark, path: str, attribute: str, low: float, high: float) -> DataFrame:
+    """The slice of files that ``ranks.rank_ordered`` laid out: row groups outside the range are not read."""
+    return spark.read.parquet(path).where(F.col(attribute).between(low, high))
+
+
 def postfilter(base: DataFrame, queries: DataFrame, attributes: list[str], candidate_k: int, k: int) -> DataFrame:
     """``qid``, ``raw_n``, ``passed_n``, ``rank``, ``id``: the nearest ``candidate_k`` rows first, their predicates after."""
     near = candidates(base, queries, candidate_k).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
     raw = ranked(near, candidate_k).select("qid", "id", "dist")
-    judged = raw.join(base.select("id", *attributes), "id").join(F.broadcast(queries.select("qid", "bounds")), "qid").withColumn("ok", in_ranges([F.col(a) for a in attributes], F.col("bounds")))
+    judged = raw.join(base.select("id", *attributes), "id")
+    judged = with_queries(judged, queries.select("qid", "bounds")).withColumn("ok", in_ranges([F.col(a) for a in attributes], F.col("bounds")))
     counts = judged.groupBy("qid").agg(F.count("*").alias("raw_n"), F.count_if("ok").alias("passed_n"))
     kept = ranked(judged.where("ok"), k).select("qid", "rank", "id")
     counted = queries.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("raw_n", F.lit(0)).alias("raw_n"), F.coalesce("passed_n", F.lit(0)).alias("passed_n"))

@@ -30,6 +30,57 @@ def selectivity_ratios(attributes: int, shares: list[float]) -> list[tuple[str,
     return [(f"sel_{s:g}", [s ** (1 / attributes)] * attributes) for s in shares]
 
 
+#: The eight total selectivities of the published workload (fixed values).
+SELECTIVITIES = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+
+
+def independent_attributes(rows: DataFrame, count: int, seed: int = 2029) -> DataFrame:
+    """``attr``, ``id``, ``value``: for each attribute a permutation of 0 .. n - 1, in the order of a hash of seed, attribute and id."""
+    mixed = rows.select("id", F.explode(F.array(*map(F.lit, range(count)))).alias("attr")).withColumn("key", F.xxhash64(F.lit(seed), "attr", "id"))
+    return row_numbers(mixed, ["key", "id"], "value", ["attr"]).select("attr", "id", "value")
+
+
+def mixed_attributes(measures: DataFrame, count: int, seed: int = 2029) -> DataFrame:
+    """``attr``, ``id``, ``value``: ranks of ``norm2`` and of ``proj``, then hashed permutations, of rows ``id``, ``norm2``, ``proj``."""
+    named = measures.select("id", F.posexplode(F.array("norm2", "proj")).alias("attr", "key"))
+    own = row_numbers(named, ["key", "id"], "value", ["attr"]).select("attr", "id", "value")
+    rest = independent_attributes(measures.select("id"), count - 2, seed).withColumn("attr", F.col("attr") + 2) if count > 2 else own.where("false")
+    return own.unionByName(rest)
+
+
+def single_attribute_queries(ranges: DataFrame, n: int, every: int = 5) -> DataFrame:
+    """Ranges ``qid``, ``attr``, ``low``, ``high`` of which every ``every``-th query keeps one attribute's, in turn, and is open in the others."""
+    attributes = ranges.agg(F.max("attr") + 1).first()[0] or 1
+    kept = (F.pmod("qid", F.lit(every)) != 0) | (F.col("attr") == F.pmod(F.floor(F.col("qid") / every), F.lit(attributes)))
+    return ranges.withColumns({"low": F.when(kept, F.col("low")).otherwise(F.lit(0)).cast("long"), "high": F.when(kept, F.col("high")).otherwise(F.lit(n - 1)).cast("long")})
+
+
+def noisy_queries(anchors: DataFrame, seed: int = 2029, spread: float = 0.01) -> DataFrame:
+    """``qid``, ``qv``: anchors ``qid``, ``v`` with hashed noise, uniform between -spread and spread, on every dimension."""
+    noise = lambda x, d: (x + spread * (F.pmod(F.xxhash64(F.lit(seed), "qid", d), F.lit(2_000_001)) / 1_000_000.0 - 1)).cast("float")
+    return anchors.select("qid", F.transform("v", noise).alias("qv"))
+
+
+def smoke_ranges(spark, attributes: int) -> DataFrame:
+    """``qid``, ``profile``, ``bounds``: an empty range, an equality, infinite ends, and a range that nearly all rows pass."""
+    inf = float("inf")
+    first = {"empty": (1e9, 2e9), "equality": (3.0, 3.0), "infinite": (-inf, inf), "high_cardinality": (-1.0, 1e9)}
+    rows = [(i, name, [own, *[(-inf, inf)] * (attributes - 1)]) for i, (name, own) in enumerate(first.items())]
+    return spark.createDataFrame(rows, "qid long, profile string, bounds array<struct<low:float,high:float>>")
+
+
+def schedule(spark, methods: list[str], repetitions: int, seed: int = 2029) -> DataFrame:
+    """``repetition``, ``pos``, ``method``: all methods once in each repetition, in an order of its own."""
+    import random
+
+    rows = []
+    for r in range(repetitions):
+        own = sorted(methods)
+        random.Random(seed + r).shuffle(own)
+        rows += [(r, i, m) for i, m in enumerate(own)]
+    return spark.createDataFrame(rows, "repetition int, pos int, method string")
+
+
 def centred_ranges(anchors: DataFrame, n: int, profiles: list[tuple[str, list[float]]], one_anchor: bool = False) -> DataFrame:
     """``qid``, ``profile``, ``attr``, ``low``, ``high`` around anchors ``qid``, ``attr``, ``value`` (ranks).
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import vectors
-from veldra.operators import evaluate, exact, graph, hnsw, overlay, ranks, routing, search, strategies, workload
+from veldra.operators import dynamic, evaluate, exact, graph, hnsw, overlay, ranks, routing, search, strategies, summaries, workload
 from veldra.plans import fixtures
 from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
-from veldra.session import stored
+from veldra.session import scratch, stored
 
 K = 10
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,9 +122,9 @@ def exact_topk(spark, sf_dir):
 @registered(f"""SELECT qid, pos, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist DESC, id DESC) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM
   (SELECT q.qid, b.id, {dist_sql()} AS dist FROM base b, q WHERE b.id BETWEEN q.qid // 2 AND q.qid // 2 + 200)) WHERE rank <= 10)""")
 def exact_topk_desc_range(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("a", F.col("id").cast("float"))
-    half = F.expr("qid div 2").cast("float")
-    wanted = queries(spark, sf_dir).withColumn("bounds", F.array(F.struct(half.alias("low"), (half + 200).cast("float").alias("high"))))
+    rows = base(spark, sf_dir).withColumn("a", F.col("id"))
+    half = F.expr("qid div 2")
+    wanted = queries(spark, sf_dir).withColumn("bounds", F.array(F.struct(half.alias("low"), (half + 200).alias("high"))))
     near = exact.exact_topk(rows, wanted, K, ["a"])
     last = Window.partitionBy("qid").orderBy(F.desc("dist"), F.desc("id"))
     return near.select("qid", F.row_number().over(last).alias("pos"), "id")
@@ -331,46 +331,87 @@ def graph_compress(spark, sf_dir):
     return graph.compress(graph.neighbours(rows, 32), rows, n)
 
 
-def _searched(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    rows, order, graphs, _ = built(spark, sf_dir, [0, 1, 2])
+#: Rows of a shard of the range-aware graphs.
+SHARD_ROWS = 20_000
+
+
+def sharded_graphs(spark: SparkSession, sf_dir: str, indexed: list[int]) -> tuple[DataFrame, DataFrame]:
+    nodes = stored(graph.sharded_nodes(base(spark, sf_dir), ATTRIBUTES, indexed, SHARD_ROWS), "nodes")
+    return nodes, stored(graph.build_sharded(nodes), "graph")
+
+
+def routed(spark: SparkSession, sf_dir: str, indexed: list[int]) -> DataFrame:
     wanted = queries(spark, sf_dir)
-    own = spans(spark, sf_dir)
-    route = routing.choose_navigation(own, wanted, [0, 1, 2]).select("qid", "nav_attr")
-    placed = wanted.join(route, "qid").join(own.select("qid", F.col("attr").alias("nav_attr"), "lo", "hi"), ["qid", "nav_attr"])
-    loaded = {a: search.load(rows, ATTRIBUTES, e, order.where(F.col("attr") == a)) for a, e in graphs.items()}
-    return search.navigate(rows, placed, loaded, K, 128, **how).select("qid", "rank", "id", "dist")
+    return wanted.join(routing.choose_navigation(spans(spark, sf_dir), wanted, indexed).select("qid", "nav_attr"), "qid")
+
+
+def _searched(spark: SparkSession, sf_dir: str, indexed: tuple[int, ...] = (0, 1, 2), **how) -> DataFrame:
+    nodes, edges = sharded_graphs(spark, sf_dir, list(indexed))
+    wanted = routed(spark, sf_dir, list(indexed))
+    walked = search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128, **how)
+    return search.with_fallback(walked, base(spark, sf_dir), wanted, K, ATTRIBUTES)
 
 
 @registered()
 def graph_search_bridge(spark, sf_dir):
-    return _searched(spark, sf_dir)
+    return _searched(spark, sf_dir).select("qid", "rank", "id", "dist")
 
 
 @registered()
 def graph_search_hard_prune(spark, sf_dir):
-    return _searched(spark, sf_dir, hard_prune=True)
+    return _searched(spark, sf_dir, hard_prune=True).select("qid", "rank", "id", "dist")
 
 
-def _one_graph(spark: SparkSession, sf_dir: str, bounds: Column, lo: Column, hi: Column) -> DataFrame:
-    rows, order, graphs, _ = built(spark, sf_dir, [0])
-    loaded = {0: search.load(rows, ATTRIBUTES, graphs[0], order.where("attr = 0"))}
-    wanted = queries(spark, sf_dir).join(spans(spark, sf_dir).where("attr = 0").select("qid", "lo", "hi"), "qid")
-    placed = wanted.select("qid", "qv", F.lit(0).alias("nav_attr"), lo.alias("lo"), hi.alias("hi"), bounds.alias("bounds"))
-    return search.navigate(rows, placed, loaded, K, 128).select("qid", "rank", "id")
+@registered()
+def graph_search_partial(spark, sf_dir):
+    """Attribute 0 alone is indexed: queries that don't constrain it are scanned."""
+    return _searched(spark, sf_dir, (0,))
+
+
+@registered()
+def graph_build_static(spark, sf_dir):
+    """The graph of attribute 0 with the published settings, stored, read back and checked."""
+    rows = base(spark, sf_dir)
+    n = rows.count()
+    order = stored(attr_ranks(spark, sf_dir), "ranks")
+    path = scratch(spark, "static-graph")
+    graph.save(graph.build_static(rows, order, 0), path, n, attribute=0, k=16, ef_max=400)
+    edges, _ = graph.load(spark, path, n)
+    return edges.select("src", "dst", "ll", "lu", "rl", "ru")
+
+
+@registered(f", {SYMMETRIC} SELECT count(*) FILTER (WHERE src = dst) AS self_loops, 0::BIGINT + count(*) - count(DISTINCT (src, dst)) AS repeated, (SELECT count(*) FROM (SELECT src AS id FROM se UNION ALL SELECT dst FROM se) WHERE id NOT IN (SELECT id FROM base WHERE id % 7 <> 0)) AS dangling, (SELECT count(*) FROM base WHERE id % 7 <> 0 AND id NOT IN (SELECT dst FROM se)) AS unreached FROM se")
+def graph_integrity(spark, sf_dir):
+    """Counts over the fixed edges and the rows whose id is not divisible by seven, so that some edges dangle."""
+    return graph.integrity(graph.symmetrised(fixed_edges(spark, sf_dir)[0]), base(spark, sf_dir).where("id % 7 <> 0"))
+
+
+@registered()
+def hybrid_topk(spark, sf_dir):
+    """Each query by the strategy that its number of legal rows chooses."""
+    rows, wanted = base(spark, sf_dir), routed(spark, sf_dir, [0, 1, 2])
+    nodes, edges = sharded_graphs(spark, sf_dir, [0, 1, 2])
+    walked = search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128)
+    return search.hybrid(walked, rows, stored(hybrid_route(spark, sf_dir).select("qid", "choice"), "choices"), wanted, K, ATTRIBUTES)
+
+
+def _one_graph(spark: SparkSession, sf_dir: str, bounds: Column, whole: bool) -> DataFrame:
+    nodes, edges = sharded_graphs(spark, sf_dir, [0])
+    wanted = queries(spark, sf_dir).select("qid", "qv", F.lit(0).alias("nav_attr"), bounds.alias("bounds"))
+    return search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128, whole=whole).select("qid", "rank", "id")
 
 
 @registered()
 def graph_search_single_attr(spark, sf_dir):
     """The ranges of attribute 0 alone, by its own graph."""
     open_range = F.struct(F.lit(-1e30).cast("float").alias("low"), F.lit(1e30).cast("float").alias("high"))
-    return _one_graph(spark, sf_dir, F.array(F.get("bounds", F.lit(0)), open_range, open_range), F.col("lo"), F.col("hi"))
+    return _one_graph(spark, sf_dir, F.array(F.get("bounds", F.lit(0)), open_range, open_range), False)
 
 
 @registered()
 def insearch_filter(spark, sf_dir):
     """A walk over the whole graph in which only rows that pass all ranges are results."""
-    n = base(spark, sf_dir).count()
-    return _one_graph(spark, sf_dir, F.col("bounds"), F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    return _one_graph(spark, sf_dir, F.col("bounds"), True)
 
 
 def layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -485,8 +526,8 @@ def static_range_buckets(spark, sf_dir):
     rows = base(spark, sf_dir)
     wanted = queries(spark, sf_dir)
     ranges = workload.static_buckets(wanted, rows.count(), BUCKETS)
-    placed = rows.select("id", "v", F.col("id").cast("float").alias("p"))
-    own = ranges.join(wanted.select("qid", "qv"), "qid").select((F.col("qid") * 7 + F.col("bucket")).alias("qid"), "qv", F.array(F.struct(F.col("l").cast("float").alias("low"), F.col("r").cast("float").alias("high"))).alias("bounds"), "l", "r")
+    placed = rows.select("id", "v", F.col("id").alias("p"))
+    own = ranges.join(wanted.select("qid", "qv"), "qid").select((F.col("qid") * 7 + F.col("bucket")).alias("qid"), "qv", F.array(F.struct(F.col("l").alias("low"), F.col("r").alias("high"))).alias("bounds"), "l", "r")
     near = exact.exact_topk(placed, own.select("qid", "qv", "bounds"), K, ["p"])
     return near.join(own.select("qid", "l", "r"), "qid").select(F.pmod(F.col("qid"), F.lit(7)).cast("int").alias("bucket"), F.expr("qid div 7").alias("qid"), "l", "r", "rank", "id", "dist")
 
@@ -507,6 +548,13 @@ def insert_traces(spark, sf_dir):
     return workload.insert_traces(ranks.long_form(rows, ATTRIBUTES), rows.count()).where("trace <> 'unordered'")
 
 
+@registered()
+def unordered_insert_trace(spark, sf_dir):
+    """The trace in the order of the ids' crc32, which DuckDB doesn't have."""
+    rows = base(spark, sf_dir)
+    return workload.insert_traces(ranks.long_form(rows, ATTRIBUTES), rows.count()).where("trace = 'unordered'")
+
+
 @registered(", s AS (SELECT event_id AS qid, (event_id % 500 + 20)::INT AS length, floor(epoch(ts))::BIGINT AS time, (event_id % 5 + 1)::INT AS star FROM events) SELECT qid, [(length::FLOAT - 30)::FLOAT, (time - 2592000)::FLOAT, ([1,1,2,3,4])[star]::FLOAT] AS lows, [(length::FLOAT + 30)::FLOAT, time::FLOAT, ([2,3,4,5,5])[star]::FLOAT] AS highs FROM s")
 def app_style_filters(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), (F.col("event_id") % 500 + 20).cast("int").alias("length"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), (F.col("event_id") % 5 + 1).cast("int").alias("star"))
