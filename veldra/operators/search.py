@@ -26,6 +26,8 @@ GRAPH_BYTES = 1 << 30
 SMALL_SHARE = 0.02
 #: Steps to the right that a seed looks for a row of the graph, and rows that are tried from the left end if none is found.
 SEED_STEPS, SEED_SCAN = 64, 4096
+#: Rows spaced over a range of which the nearest start a walk, and how many do.
+PROBES, PROBE_SEEDS = 256, 8
 
 
 class Graph:
@@ -54,7 +56,7 @@ class Graph:
             out = [r for r in range(left, min(right, left + SEED_SCAN) + 1) if self.indexed(r)][:1]
         return out
 
-    def walk(self, query: np.ndarray, left: int, right: int, low: np.ndarray, high: np.ndarray, k: int, ef: int, hard_prune: bool = False) -> tuple[list[int], int, int]:
+    def walk(self, query: np.ndarray, left: int, right: int, low: np.ndarray, high: np.ndarray, k: int, ef: int, hard_prune: bool = False, probes: int = 0) -> tuple[list[int], int, int]:
         """Ranks of at most k admitted rows, nearest first, with the numbers of distances and hops.
 
         A reached row enters the exploration set if that has room or the row is
@@ -62,6 +64,9 @@ class Graph:
         exploration set and passes every range. Rows that fail a range are
         bridges, unless ``hard_prune`` keeps them out altogether. The walk ends
         when both sets are full and the next row is farther than all explored.
+        It starts at four places of the range and, with ``probes``, at the
+        nearest of so many rows spaced evenly over it: links lead to near rows
+        only, and do not join clusters that lie apart.
         """
         if left > right or k < 1:
             return [], 0, 0
@@ -100,6 +105,11 @@ class Graph:
 
         placed: dict[tuple[float, int], int] = {}
         start = np.array(self.seeds(left, right), dtype=np.int64)
+        if probes:
+            spaced = np.unique(np.linspace(left, right, min(probes, right - left + 1)).astype(np.int64))
+            gaps = ((self.vectors[spaced] - query) ** 2).sum(axis=1)
+            distances += len(spaced)
+            start = np.unique(np.concatenate([start, spaced[np.argsort(gaps, kind="stable")[:PROBE_SEEDS]]]))
         seen.update(start.tolist())
         if len(start):
             offer(start)
@@ -163,13 +173,16 @@ def _two(kernel):
     return lambda rows, own: kernel(rows, own)
 
 
-def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], k: int, ef: int, hard_prune: bool = False, whole: bool = False) -> DataFrame:
+def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], k: int, ef: int, hard_prune: bool = False, whole: bool = False, judged: DataFrame | None = None, probes: int = PROBES) -> DataFrame:
     """``qid``, ``rank``, ``id``, ``dist``, ``distances``, ``hops`` of stated queries ``qid``, ``qv``, ``nav_attr``, ``bounds``.
 
+    ``judged`` are ``nodes`` with a flag ``gone``: such rows are bridges and never results.
+
     ``nodes`` and ``edges`` come from ``graph.sharded_nodes`` and
     ``graph.build_sharded``. Every shard walks the queries that its attribute
     navigates, within the ranks that the query's range has there (all ranks if
-    ``whole``), and the shards' results are merged; work is summed over shards.
+    ``whole``), and the shards' results are merged; work is summed over the
+    shards that have results.
     Queries without ``nav_attr`` have no rows here: see ``with_fallback``.
     """
     spark = nodes.sparkSession
@@ -193,16 +206,19 @@ def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attribut
                 values = np.stack([np.asarray(rows.column(a), dtype=np.float32) for a in attributes], axis=1)
                 table = np.stack([np.asarray(own.column(c), dtype=np.int64) for c in ("src", "dst", "ll", "lu", "rl", "ru")], axis=1)
                 table[:, :2] -= first
-                graph = Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, values, table)
+                shown = values.copy()
+                if "gone" in rows.column_names:
+                    shown[np.asarray(rows.column("gone").fill_null(False), dtype=bool)] = np.nan
+                graph = Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, shown, table)
                 for qid, query, low, high in shared.value.get(attr, ()):
                     left = 0 if whole else int(np.searchsorted(values[:, attr], low[attr], side="left"))
                     right = rows.num_rows - 1 if whole else int(np.searchsorted(values[:, attr], high[attr], side="right")) - 1
-                    near, distances, hops = graph.walk(query, left, right, low, high, k, ef, hard_prune)
-                    found += [(qid, int(graph.ids[r]), distances, hops) for r in near]
+                    near, distances, hops = graph.walk(query, left, right, low, high, k, ef, hard_prune, probes)
+                    found += [(qid, int(graph.ids[r]), 0 if i else distances, 0 if i else hops) for i, r in enumerate(near)]
             columns = list(zip(*found)) if found else [()] * 4
             return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("qid", "id", "distances", "hops"), columns)})
 
-        found = nodes.groupBy("attr", "shard").cogroup(edges.groupBy("attr", "shard")).applyInArrow(_two(kernel), "qid long, id long, distances long, hops long")
+        found = (nodes if judged is None else judged).groupBy("attr", "shard").cogroup(edges.groupBy("attr", "shard")).applyInArrow(_two(kernel), "qid long, id long, distances long, hops long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "qid long, rank int, id long, dist double, distances long, hops long")

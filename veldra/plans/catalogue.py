@@ -572,3 +572,269 @@ def input_validation(spark, sf_dir):
     rows = base(spark, sf_dir)
     overlay.validate_base(rows, ATTRIBUTES)
     return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.count_if(F.col("a0").isNull() | F.isnan("a0") | (F.abs("a0") == float("inf"))).alias("bad_values"), F.count_distinct(F.size("v")).alias("dims"))
+
+
+# Checked updates, sessions and rebuilds
+
+
+@registered(""", ch AS (SELECT event_id AS change, event_id % (2 * n) AS id, [event_id % 4, user_id % 3] AS named, [(event_id % 10)::FLOAT, (user_id % 7)::FLOAT] AS x FROM events, nb),
+ok AS (SELECT ch.*, b.a0, b.a1, b.a2, b.id IS NOT NULL AND named[1] < 3 AND named[1] <> named[2] AS accepted FROM ch LEFT JOIN base b ON b.id = ch.id)
+SELECT change, id, accepted, """ + ", ".join(f"CASE WHEN accepted THEN CASE WHEN named[1] = {i} THEN x[1] WHEN named[2] = {i} THEN x[2] ELSE a{i} END END AS a{i}" for i in range(3)) + " FROM ok", mutated=True)
+def partial_updates(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    n = rows.count()
+    pair = lambda at, x: F.struct(at.cast("int").alias("attr"), x.cast("float").alias("value"))
+    fields = F.array(pair(F.col("event_id") % 4, F.col("event_id") % 10), pair(F.col("user_id") % 3, F.col("user_id") % 7))
+    changes = table(spark, sf_dir, "events").select(F.col("event_id").alias("change"), (F.col("event_id") % (2 * n)).alias("id"), F.lit(None).cast("array<float>").alias("new_v"), fields.alias("fields"))
+    return dynamic.field_updates(rows, changes, ATTRIBUTES, ["change"]).drop("v")
+
+
+@registered("SELECT event_id AS change, event_id % (2 * n) AS id, event_id % (2 * n) < n AS accepted FROM events, nb", mutated=True)
+def full_updates(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    n = rows.count()
+    return dynamic.updates(rows, table(spark, sf_dir, "events").select(F.col("event_id").alias("change"), (F.col("event_id") % (2 * n)).alias("id")))
+
+
+@registered("SELECT (SELECT n FROM nb) AS base_n, (SELECT count(*) FROM de) AS delta_n, (SELECT count(*) FROM la WHERE in_base) AS tombstone_n, (SELECT count(*) FROM live) AS live_n, count(*) AS log_n, count(*) FILTER (WHERE NOT accepted) AS rejected_n, max(version) + 1 AS next_version FROM re", mutated=True)
+def overlay_statistics(spark, sf_dir):
+    return dynamic.statistics(stored(resolved(spark, sf_dir), "log"), base(spark, sf_dir), ATTRIBUTES)
+
+
+@registered("SELECT greatest((SELECT max(id) + 1 FROM base), (SELECT max(id) + 1 FROM re WHERE accepted AND NOT erased)) AS next_id, (SELECT max(version) + 1 FROM re) AS next_version, (SELECT count(*) FROM re WHERE accepted) AS sequence, (SELECT max(sequence) FROM re) AS cut, (SELECT count(*) FROM live) AS live_n", mutated=True)
+def capture_session(spark, sf_dir):
+    """A capture is opened, read and finished."""
+    log, rows = stored(resolved(spark, sf_dir), "log"), base(spark, sf_dir)
+    own = dynamic.Capture(spark, scratch(spark, "session"))
+    token = own.begin(log, rows, ATTRIBUTES)
+    state = own.state(token)
+    live_n = own.live().count()
+    own.finish(token, log, state["cut"])
+    return spark.createDataFrame([(state["next_id"], state["next_version"], state["sequence"], state["cut"], live_n)], "next_id long, next_version long, sequence long, cut long, live_n long")
+
+
+SCENARIO = """sc AS (SELECT id + 1 AS sequence, id + n AS id, 'insert' AS op, a0, a1, a2 FROM base, nb WHERE id < 20 UNION ALL
+SELECT (id - n // 2 + n) % n + 21, (id - n // 2 + n) % n, 'attributes', a0, a1, a2 FROM base, nb WHERE (id - n // 2 + n) % n < 30 UNION ALL SELECT id - (n - 10) + 51, id, 'erase', NULL, NULL, NULL FROM base, nb WHERE id >= n - 10)"""
+
+
+@registered(f", {SCENARIO} SELECT sequence, id, op, a0, a1, a2 FROM sc", mutated=True)
+def update_scenario(spark, sf_dir):
+    log = dynamic.scenario(base(spark, sf_dir), 20, 30, 10, ATTRIBUTES)
+    return log.select("sequence", "id", "op", *[F.get("attrs", F.lit(i)).alias(a) for i, a in enumerate(ATTRIBUTES)])
+
+
+def _on_base(spark: SparkSession, sf_dir: str, gone: DataFrame, indexed: list[int]) -> DataFrame:
+    """What walks on Base find of the rows that are not suppressed; queries without an indexed attribute are scanned."""
+    rows, wanted = base(spark, sf_dir).join(gone, "id", "left_anti"), routed(spark, sf_dir, indexed)
+    nodes, edges = sharded_graphs(spark, sf_dir, indexed)
+    judged = nodes.join(gone.select("id", F.lit(True).alias("gone")), "id", "left")
+    walked = search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128, judged=judged)
+    return search.with_fallback(walked, rows, wanted, K, ATTRIBUTES).select("qid", "id", "dist")
+
+
+@registered()
+def dynamic_graph_topk(spark, sf_dir):
+    """Graphs on Base whose suppressed rows are bridges only, merged with an exact scan of Delta."""
+    log, rows = stored(resolved(spark, sf_dir), "log"), base(spark, sf_dir)
+    gone = stored(overlay.tombstones(log, rows), "gone")
+    live = overlay.live_view(log, rows, ATTRIBUTES)
+    return dynamic.dynamic_search(live.where("from_delta"), gone, _on_base(spark, sf_dir, gone, [0, 1, 2]), queries(spark, sf_dir), K, ATTRIBUTES)
+
+
+@registered()
+def rebuilt_topk(spark, sf_dir):
+    """The live view as a new Base of dense ids, its graph of attribute 1, walked; results under stable ids."""
+    live = stored(overlay.live_view(stored(resolved(spark, sf_dir), "log"), base(spark, sf_dir), ATTRIBUTES), "live")
+    rows, mapping = dynamic.rebuilt_base(live, ATTRIBUTES)
+    rows, mapping = stored(rows, "rebuilt"), stored(mapping, "mapping")
+    nodes = stored(graph.sharded_nodes(rows, ATTRIBUTES, [1], SHARD_ROWS), "nodes")
+    edges = stored(graph.build_sharded(nodes), "graph")
+    wanted = routed(spark, sf_dir, [1])
+    found = search.with_fallback(search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128), rows, wanted, K, ATTRIBUTES)
+    return dynamic.with_stable_ids(found.select("qid", "rank", "id", "dist"), mapping, K).select("qid", "rank", "id", "dist")
+
+
+# Audits over results with planted faults, of which every counter has some
+
+FAULTS = """w AS (SELECT e.qid, CASE WHEN rank = 2 THEN e.id + 1000000000 ELSE e.id END AS id, CASE WHEN rank = 1 THEN dist + 1 ELSE dist END AS dist FROM exact e WHERE rank <> 4
+  UNION ALL SELECT qid, id, dist FROM exact WHERE rank = 3 UNION ALL SELECT q.qid, b.id, 0.5::DOUBLE FROM q JOIN base b ON b.id = q.qid + 1)"""
+
+
+@registered(f""", {FAULTS}, j AS (SELECT w.*, b.id IS NOT NULL AS known, l.dist AS true_dist FROM w LEFT JOIN base b ON b.id = w.id LEFT JOIN legal l ON l.qid = w.qid AND l.id = w.id),
+v AS (SELECT q.qid, (SELECT count(DISTINCT j.id) FROM j WHERE j.qid = q.qid AND true_dist IS NOT NULL) AS valid, (SELECT count(*) FROM j WHERE j.qid = q.qid) AS returned, (SELECT count(*) FROM legal l WHERE l.qid = q.qid) AS target FROM q)
+SELECT (SELECT count(*) FROM j WHERE NOT known) AS illegal_ids, (SELECT count(*) FROM j WHERE known AND true_dist IS NULL) AS illegal, (SELECT count(*) - count(DISTINCT (qid, id)) FROM j) AS duplicates,
+(SELECT count(*) FROM j WHERE abs(dist - true_dist) > 1e-5 + 2e-5 * abs(true_dist)) AS mismatched, (SELECT count(*) FROM v WHERE valid < least(10, target)) AS insufficient, (SELECT count(*) FROM v WHERE target = 0 AND returned > 0) AS empty_errors""")
+def result_audit_faults(spark, sf_dir):
+    rows, wanted = base(spark, sf_dir), queries(spark, sf_dir)
+    found = stored(exact_topk(spark, sf_dir), "exact")
+    moved = found.where("rank <> 4").select("qid", F.when(F.col("rank") == 2, F.col("id") + 1_000_000_000).otherwise(F.col("id")).alias("id"), F.when(F.col("rank") == 1, F.col("dist") + 1).otherwise(F.col("dist")).alias("dist"))
+    planted = wanted.select("qid", (F.col("qid") + 1).alias("id"), F.lit(0.5).alias("dist")).join(rows.select("id"), "id", "left_semi").select("qid", "id", "dist")
+    faulty = moved.unionByName(found.where("rank = 3").select("qid", "id", "dist")).unionByName(planted)
+    return evaluate.audit(faulty, rows, strategies.legal_rows(rows, wanted, ATTRIBUTES), wanted, K)
+
+
+@registered(""", lost AS (SELECT id, version FROM live WHERE id % 5 <> 0), w AS (SELECT qid, id, CASE WHEN rank = 1 THEN version + 1 ELSE version END AS version FROM dtop UNION ALL SELECT qid, id, version FROM dtop WHERE rank = 2
+  UNION ALL SELECT qid, qid + 5000000000, 0 FROM q UNION ALL SELECT q.qid, d.id, 0 FROM q, (SELECT min(id) AS id FROM la WHERE erased) d),
+lo AS (SELECT id, op AS last_op, erased AS gone FROM la), j AS (SELECT w.*, lost.version AS live_version, lost.id IS NOT NULL AS alive, last_op, gone, b.id IS NOT NULL AS in_base, dl.id IS NOT NULL AS ok
+  FROM w LEFT JOIN lost ON lost.id = w.id LEFT JOIN lo ON lo.id = w.id LEFT JOIN base b ON b.id = w.id LEFT JOIN dlegal dl ON dl.qid = w.qid AND dl.id = w.id)
+SELECT count(*) FILTER (WHERE alive AND version <> live_version) AS stale_version, count(*) FILTER (WHERE coalesce(gone, false)) AS deleted_id, count(*) FILTER (WHERE alive AND NOT ok) AS predicate, count(*) FILTER (WHERE NOT in_base AND last_op IS NULL) AS invalid_id,
+count(*) FILTER (WHERE last_op = 'insert' AND NOT alive) AS inserted_invisible, count(*) FILTER (WHERE last_op IN ('upsert', 'attributes') AND NOT alive) AS updated_invisible, count(*) FILTER (WHERE last_op = 'erase' AND alive) AS deleted_visible,
+count(*) - count(DISTINCT (qid, id)) AS duplicate FROM j""", mutated=True)
+def dynamic_audit_faults(spark, sf_dir):
+    """Results with stale versions, repeated, deleted and unknown ids, against a view that lacks every fifth row."""
+    rows, wanted = base(spark, sf_dir), queries(spark, sf_dir)
+    log = stored(resolved(spark, sf_dir), "log")
+    live = stored(overlay.live_view(log, rows, ATTRIBUTES), "live")
+    near = stored(exact.exact_topk(live, wanted, K, ATTRIBUTES).join(live.select("id", "version"), "id"), "near")
+    erased = overlay.last_images(log).where("erased").agg(F.min("id").alias("id"))
+    faulty = near.select("qid", "id", F.when(F.col("rank") == 1, F.col("version") + 1).otherwise(F.col("version")).alias("version")).unionByName(near.where("rank = 2").select("qid", "id", "version"))
+    faulty = faulty.unionByName(wanted.select("qid", (F.col("qid") + 5_000_000_000).alias("id"), F.lit(0).cast("long").alias("version")))
+    faulty = faulty.unionByName(wanted.select("qid").crossJoin(F.broadcast(erased)).select("qid", "id", F.lit(0).cast("long").alias("version")))
+    return evaluate.dynamic_audit(faulty, live.where("id % 5 <> 0"), log, rows, strategies.legal_rows(live, wanted, ATTRIBUTES))
+
+
+@registered(", lost AS (SELECT id, version, a0, a1, a2 FROM live WHERE id % 5 <> 0), new AS (SELECT id, CASE WHEN id % 7 = 0 THEN version + 1 ELSE version END AS version, a0, a1, a2 FROM live) SELECT (SELECT count(*) FROM (SELECT * FROM lost EXCEPT ALL SELECT * FROM new)) AS only_old_n, (SELECT count(*) FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM lost)) AS only_new_n", mutated=True)
+def replay_differences(spark, sf_dir):
+    """Two views that differ: one lacks rows, the other has changed versions."""
+    live = stored(overlay.live_view(resolved(spark, sf_dir), base(spark, sf_dir), ATTRIBUTES).select("id", "version", *ATTRIBUTES), "live")
+    old, new = live.where("id % 5 <> 0"), live.withColumn("version", F.when(F.col("id") % 7 == 0, F.col("version") + 1).otherwise(F.col("version")))
+    return old.exceptAll(new).agg(F.count("*").alias("only_old_n")).crossJoin(new.exceptAll(old).agg(F.count("*").alias("only_new_n")))
+
+
+# More evaluation
+
+
+@registered(f""", {POST} SELECT q.qid, coalesce(g, 0) < 10 AND coalesce(b, 0) >= 10 AS of_graph, coalesce(g, 0) < 10 AS of_index, coalesce(g, 0) < least(10, coalesce(n, 0)) AS of_evaluator
+FROM q LEFT JOIN (SELECT qid, count(*) AS g FROM post GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS b FROM exact GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM legal GROUP BY qid) USING (qid)""")
+def insufficient_queries(spark, sf_dir):
+    rows, wanted = base(spark, sf_dir), queries(spark, sf_dir)
+    return evaluate.insufficient(postfilter(spark, sf_dir).where("id IS NOT NULL"), exact_topk(spark, sf_dir), strategies.legal_counts(rows, wanted, ATTRIBUTES), wanted, K)
+
+
+@registered(", p AS (SELECT event_type AS profile, (event_id % 11) / 10.0::DOUBLE AS recall, value AS ms, event_id % 50 AS hops, event_id % 900 AS distances, event_id % 70 AS pruned, event_id % 13 = 0 AS insufficient FROM events) SELECT coalesce(profile, 'total') AS profile, count(*) AS queries, avg(recall) AS mean_recall, avg(ms) AS mean_ms, 1000.0 * count(*) / sum(ms) AS qps, avg(hops) AS mean_hops, avg(distances) AS mean_distances, avg(pruned) AS mean_pruned, count(*) FILTER (WHERE insufficient) AS insufficient FROM p GROUP BY GROUPING SETS ((profile), ())")
+def work_metrics(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("profile"), ((e % 11) / F.lit(10.0)).alias("recall"), F.col("value").alias("ms"), (e % 50).alias("hops"), (e % 900).alias("distances"), (e % 70).alias("pruned"), (e % 13 == 0).alias("insufficient"))
+    return evaluate.work_metrics(rows)
+
+
+RUNS = "ru AS (SELECT event_type AS mode, (event_id % 3)::INT AS ef, (event_id % 5)::INT AS run, count(*) AS queries, avg(event_id % 11) / 10 AS recall, avg(value) AS ms, avg(event_id % 50) AS hops, avg(event_id % 900) AS distances, avg(event_id % 70) AS pruned, count(*) FILTER (WHERE event_id % 13 = 0) AS insufficient FROM events GROUP BY ALL)"
+
+
+def measured_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    keys = F.col("event_type").alias("mode"), (e % 3).cast("int").alias("ef"), (e % 5).cast("int").alias("run")
+    return table(spark, sf_dir, "events").groupBy(*keys).agg(F.count("*").alias("queries"), (F.avg(e % 11) / 10).alias("recall"), F.avg("value").alias("ms"), F.avg(e % 50).alias("hops"), F.avg(e % 900).alias("distances"), F.avg(e % 70).alias("pruned"), F.count_if(e % 13 == 0).alias("insufficient"))
+
+
+def _pooled_sql(c: str) -> str:
+    return f"sum({c} * queries) / sum(queries) AS {c}"
+
+
+@registered(f", {RUNS} SELECT mode, ef, count(*) AS runs, sum(queries)::BIGINT AS queries, {_pooled_sql('recall')}, {_pooled_sql('ms')}, coalesce(stddev_samp(ms), 0) AS ms_std, 1000.0 * sum(queries) / sum(ms * queries) AS qps, {_pooled_sql('hops')}, {_pooled_sql('distances')}, {_pooled_sql('pruned')}, max(insufficient) AS insufficient FROM ru GROUP BY mode, ef")
+def ablation_summary(spark, sf_dir):
+    return summaries.ablation(measured_runs(spark, sf_dir))
+
+
+@registered(f", {RUNS} SELECT mode, sum(queries * ms) / sum(queries) AS ms, sum(queries)::BIGINT AS queries FROM ru GROUP BY mode")
+def pooled_runs(spark, sf_dir):
+    return evaluate.weighted_mean(measured_runs(spark, sf_dir), ["mode"], "ms", "queries").withColumn("queries", F.col("queries").cast("long"))
+
+
+@registered(", va AS (SELECT event_type AS variant, 'm' || (event_id % 3) AS metric, (event_id % 5)::INT AS run, max(value) AS value FROM events WHERE NOT (event_type = 'view' AND event_id % 15 = 7) GROUP BY ALL), c2 AS (SELECT variant, metric FROM (SELECT unnest(['view', 'click', 'none']) AS variant), (SELECT unnest(['m0', 'm1', 'm2']) AS metric)) SELECT c2.variant, c2.metric, count(va.run) AS runs, avg(value) AS mean, CASE WHEN count(va.run) > 0 THEN coalesce(stddev_samp(value), 0) END AS std, min(value) AS least, max(value) AS largest, coalesce(list(run ORDER BY run) FILTER (WHERE run IS NOT NULL) = (SELECT list(DISTINCT run ORDER BY run) FROM va), false) AS complete FROM c2 LEFT JOIN va USING (variant, metric) GROUP BY c2.variant, c2.metric")
+def replay_runs(spark, sf_dir):
+    e = F.col("event_id")
+    kept = table(spark, sf_dir, "events").where(~((F.col("event_type") == "view") & (e % 15 == 7)))
+    values = kept.groupBy(F.col("event_type").alias("variant"), F.concat(F.lit("m"), (e % 3).cast("string")).alias("metric"), (e % 5).cast("int").alias("run")).agg(F.max("value").alias("value"))
+    return summaries.replay_summary(values, ["view", "click", "none"], ["m0", "m1", "m2"])
+
+
+@registered("SELECT 1::BIGINT AS missing_columns, (SELECT count(*) - count(DISTINCT (event_type, user_id)) FROM events) AS repeated_keys, 0::BIGINT + (SELECT count(*) FROM events WHERE event_type IS NULL OR user_id IS NULL) AS null_keys, (SELECT count(*) FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1)) AS clashing_sources")
+def evidence_audit(spark, sf_dir):
+    return summaries.evidence_checks(table(spark, sf_dir, "events"), ["event_type", "user_id", "absent"], ["event_type", "user_id"], "user_id", "event_type")
+
+
+@registered(f", {CURVE}, pt AS (SELECT 'w' || (ef % 2) AS workload, workload AS method, ef, recall, mean_ms AS ms FROM cu), be AS (SELECT workload, method, min(ms) AS ms FROM pt WHERE recall >= 0.3 GROUP BY ALL) SELECT workload, o.ms, x.method AS other, x.ms AS other_ms, x.ms / o.ms AS speedup FROM (SELECT workload, ms FROM be WHERE method = 'view') o FULL JOIN (SELECT workload, arg_min(method, (ms, method)) AS method, min(ms) AS ms FROM be WHERE method <> 'view' GROUP BY workload) x USING (workload)")
+def method_comparison(spark, sf_dir):
+    step = (F.col("event_id") % 7).cast("int")
+    curve = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("method"), step.alias("ef")).agg(F.max("value").alias("ms"))
+    points = curve.select(F.concat(F.lit("w"), (F.col("ef") % 2).cast("string")).alias("workload"), "method", "ef", (F.col("ef") / F.lit(7.0)).alias("recall"), "ms")
+    return summaries.key_comparison(points, "view", 0.3)
+
+
+# More search and workloads
+
+
+@registered(f"SELECT qid, label, best_dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best_dist, label) AS rank FROM (SELECT q.qid, b.label, min(1.0 - list_sum(list_transform(list_zip(b.v, q.qv), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))) AS best_dist FROM base b, q GROUP BY q.qid, b.label)) WHERE rank <= 3")
+def multivector_inner_product(spark, sf_dir):
+    return exact.top_groups(base(spark, sf_dir), queries(spark, sf_dir), "label", 3, inner=True)
+
+
+@registered("SELECT id, v FROM base WHERE id IN (3, 41, 100, 999999)")
+def vectors_of_ids(spark, sf_dir):
+    return exact.by_id(base(spark, sf_dir), [3, 41, 100, 999_999]).select("id", "v")
+
+
+@registered("SELECT id, a1 FROM base WHERE a1 BETWEEN 5 AND 9")
+def rank_ordered_slice(spark, sf_dir):
+    """Rows laid out in the order of an attribute, of which a range is read."""
+    path = scratch(spark, "rank-ordered")
+    ranks.rank_ordered(base(spark, sf_dir).select("id", "v", "a1"), "a1").write.parquet(path)
+    return strategies.sliced_files(spark, path, "a1", 5, 9).select("id", "a1")
+
+
+@registered(f", {CENTRED} SELECT qid, profile, attr, CASE WHEN qid % 5 <> 0 OR attr = (qid // 5) % 3 THEN least(greatest(rnk - width // 2, 0), n - width) ELSE 0 END AS low, CASE WHEN qid % 5 <> 0 OR attr = (qid // 5) % 3 THEN least(greatest(rnk - width // 2, 0), n - width) + width - 1 ELSE n - 1 END AS high FROM ce")
+def single_attribute_ranges(spark, sf_dir):
+    return workload.single_attribute_queries(centered_ranges(spark, sf_dir), base(spark, sf_dir).count())
+
+
+@registered(""", rk AS (SELECT id, row_number() OVER (ORDER BY value, id) - 1 AS rnk FROM vals WHERE attr = 0), nb0 AS (SELECT count(*) AS n FROM base), sh AS (SELECT unnest(range(8)) AS k, unnest([0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5])::DOUBLE AS share),
+ce AS (SELECT id AS qid, 'sel_' || share AS profile, rnk, least(greatest(round_even(n * share ** (1 / 3.0::DOUBLE), 0), 1), n)::BIGINT AS width, n FROM rk JOIN nb0 ON true JOIN sh ON sh.k = id % 8 WHERE id % 100 = 0)
+SELECT qid, profile, a.attr, least(greatest(rnk - width // 2, 0), n - width) AS low, least(greatest(rnk - width // 2, 0), n - width) + width - 1 AS high FROM ce, (SELECT unnest([0, 1, 2]) AS attr) a""")
+def selectivity_profiles(spark, sf_dir):
+    """Eight total selectivities, around one anchor for all attributes."""
+    anchors = attr_ranks(spark, sf_dir).where(F.col("id") % fixtures.QUERY_STEP == 0).select(F.col("id").alias("qid"), "attr", F.col("rnk").alias("value"))
+    return workload.centred_ranges(anchors, base(spark, sf_dir).count(), workload.selectivity_ratios(3, list(workload.SELECTIVITIES)), one_anchor=True)
+
+
+@registered("SELECT id, (id // ceil((SELECT count(*) FROM base) / 4)::BIGINT)::INT AS part FROM base")
+def parts_of_rows(spark, sf_dir):
+    rows = base(spark, sf_dir).select("id")
+    return workload.split_parts(rows, rows.count(), 4, "id")
+
+
+@registered()
+def independent_attributes(spark, sf_dir):
+    return workload.independent_attributes(base(spark, sf_dir), 3)
+
+
+@registered()
+def mixed_attributes(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    return workload.mixed_attributes(rows.select("id", vectors.squared_norm(F.col("v")).alias("norm2"), vectors.signed_projection(F.col("v")).alias("proj")), 3)
+
+
+@registered()
+def noisy_queries(spark, sf_dir):
+    return workload.noisy_queries(queries(spark, sf_dir).select("qid", F.col("qv").alias("v")))
+
+
+@registered("SELECT 0 AS qid, 'empty' AS profile, 0::BIGINT AS n UNION ALL SELECT 1, 'equality', (SELECT count(*) FROM base WHERE a0 = 3) UNION ALL SELECT 2, 'infinite', (SELECT count(*) FROM base) UNION ALL SELECT 3, 'high_cardinality', (SELECT count(*) FROM base WHERE a0 >= -1)")
+def smoke_workload(spark, sf_dir):
+    wanted = workload.smoke_ranges(spark, 3)
+    return wanted.select("qid", "profile").join(strategies.legal_counts(base(spark, sf_dir), wanted, ATTRIBUTES), "qid").select("qid", "profile", F.col("legal_n").alias("n"))
+
+
+@registered()
+def hnsw_epsilon(spark, sf_dir):
+    """Rows that walks find within a squared distance of 1.5, the 50 nearest."""
+    rows, links = layered(spark, sf_dir)
+    return hnsw.within(rows, links, queries(spark, sf_dir), 1.5, 200, 50)
+
+
+@registered()
+def hnsw_updated(spark, sf_dir):
+    """The index after every eleventh row was taken out, without a rebuild of the shards it was in, and then with one of shard 0."""
+    rows, links = layered(spark, sf_dir)
+    left = hnsw.unmarked(rows, rows.where("id % 11 = 5"))
+    return hnsw.search(left, hnsw.updated(left, links, rows.where("shard = 0")), queries(spark, sf_dir), K, 64)
