@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -26,7 +26,10 @@ from veldra.llm.common import Known, id_text, text_chunks
 from veldra.session import ship_package
 
 #: Distinct pre-tokens that a worker keeps encoded; beyond it the half that is used least goes.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+
+#: Bytes of text that are cut at once: their pre-tokens are strings of Python, some twenty times as large.
+CHUNK_BYTES = 1 << 20
 
 #: The byte-level pre-tokenisation pattern that the vocabulary is published with (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -56,8 +59,6 @@ class PairIndexCodec:
     """Encoder and decoder of one byte-level BPE vocabulary file (tokenizers' JSON)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -88,15 +89,20 @@ class PairIndexCodec:
             self.token_bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.specials.items():
             self.token_bytes[i] = token.encode()
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.back = back
         self.token_sizes = np.array([len(b) for b in self.token_bytes], dtype=np.int32)
         self.token_starts = np.cumsum(self.token_sizes, dtype=np.int64) - self.token_sizes
         self.token_flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
         self.cache = Known(self.encode_new, True, CACHE_ENTRIES)
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own form of the file, read when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text that holds no special token."""
         if text.isascii() or STABLE.fullmatch(text):
@@ -247,7 +253,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, most=CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), _lists(*own.encode_flat(chunk.column("text").to_pylist()))], ["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(kernel, "doc_id long, ids array<int>")
@@ -274,7 +280,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, most=CHUNK_BYTES):
             ids, bounds = own.encode_flat(chunk.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), _lists(ids, bounds), own.decode_flat(ids, bounds)], ["doc_id", "ids", "decoded"])
 
