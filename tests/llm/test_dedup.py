@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from rows import same_rows
 
 xxhash = pytest.importorskip("xxhash")
@@ -280,3 +281,16 @@ def test_only_what_the_result_reads_is_left(spark, docs_of):
     rows = simhash.simhash_components(docs_of([f"text number {i} of them" for i in range(30)]))
     assert rows.count() == 30
     assert sorted(p.name.split("-")[0] for p in set(root.iterdir()) - before) == ["classes", "fingerprints"]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 11])
+def test_repeated_words_of_any_width(spark, docs_of, width):
+    rnd = random.Random(width)
+    texts = [" ".join(rnd.choices("ab" if i % 2 else "abcdefgh", k=rnd.randint(0, 40))) for i in range(60)]
+    rows = docs_of(texts).select("doc_id", quality_rules.repeated_words(quality_rules.words_of(F.col("text")), width).alias("n")).collect()
+
+    def brute_force(words):
+        windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+        return len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(width)})
+
+    assert {r.doc_id: r.n for r in rows} == {i: brute_force(t.split()) for i, t in enumerate(texts)}

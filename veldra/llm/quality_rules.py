@@ -39,11 +39,16 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """How many words lie in a window of ``width`` words that the list holds twice or more.
 
-    Windows are compared by 64-bit hashes of their words. Only if two are equal
-    are they sorted with their places; the places of equal neighbours, in
-    order, then give the words covered.
+    Windows are compared by 64-bit hashes. Each word is hashed once; the hashes
+    of two neighbouring windows give that of one twice as wide, and two that
+    overlap that of any width between. Only if two windows are equal are they
+    sorted with their places; the places of equal neighbours, in order, then
+    give the words covered.
     """
 
+    def joined(hashes: Column, step: int) -> Column:
+        return let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - step), F.slice(h, F.lit(step + 1), F.size(h) - step), lambda a, b: F.xxhash64(a, b)))
+
     def covered(places: Column) -> Column:
         start = F.struct(F.lit(-width).alias("last"), F.lit(0).cast("long").alias("total"))
         return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(width), p - acc["last"])).alias("total")), lambda acc: acc["total"])
@@ -54,7 +59,11 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(F.sort_array(equal)))
 
     def of_words(w: Column) -> Column:
-        return F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(let(F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width))), of_windows))
+        hashes, wide = F.transform(w, lambda x: F.xxhash64(x)), 1
+        while wide < width:
+            step = min(wide, width - wide)
+            hashes, wide = joined(hashes, step), wide + step
+        return F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(let(hashes, of_windows))
 
     return let(words, of_words)
 
