@@ -37,9 +37,9 @@ def row_numbers(frame: DataFrame, order: list[str], name: str, within: list[str]
     return running_totals(frame, order, {name: F.lit(1).cast("long")}, within).withColumn(name, F.col(name) - 1)
 
 
-def long_form(rows: DataFrame, attributes: list[str], id_col: str = "id") -> DataFrame:
-    """``attr``, ``id``, ``value``: a row for each attribute of each row."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("attr"), F.col(a).cast("float").alias("value")) for i, a in enumerate(attributes)])
+def long_form(rows: DataFrame, attributes: list[str], id_col: str = "id", kind: str = "float") -> DataFrame:
+    """``attr``, ``id``, ``value``: a row for each attribute of each row, all values of one type."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("attr"), F.col(a).cast(kind).alias("value")) for i, a in enumerate(attributes)])
     return rows.select(F.col(id_col).alias("id"), F.explode(pairs).alias("x")).select("x.attr", "id", "x.value")
 
 

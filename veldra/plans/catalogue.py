@@ -56,10 +56,10 @@ def integer_l2_pairs(spark, sf_dir):
 
 
 @registered(""", m AS (SELECT id, list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)) AS norm2, list_sum(list_transform(list_zip(v, range(len(v))), lambda x: CASE WHEN x[2] % 2 = 0 THEN x[1]::DOUBLE ELSE -x[1]::DOUBLE END)) AS proj FROM base)
-SELECT id, norm2, proj, row_number() OVER (ORDER BY norm2::FLOAT, id) - 1 AS norm_rank, row_number() OVER (ORDER BY proj::FLOAT, id) - 1 AS proj_rank FROM m""")
+SELECT id, norm2, proj, row_number() OVER (ORDER BY norm2, id) - 1 AS norm_rank, row_number() OVER (ORDER BY proj, id) - 1 AS proj_rank FROM m""")
 def vector_norm_projection(spark, sf_dir):
     rows = stored(base(spark, sf_dir).select("id", vectors.squared_norm(F.col("v")).alias("norm2"), vectors.signed_projection(F.col("v")).alias("proj")), "norms")
-    numbered = ranks.ranks(ranks.long_form(rows, ["norm2", "proj"]))
+    numbered = ranks.ranks(ranks.long_form(rows, ["norm2", "proj"], kind="double"))
     own = numbered.groupBy("id").agg(F.max(F.when(F.col("attr") == 0, F.col("rnk"))).alias("norm_rank"), F.max(F.when(F.col("attr") == 1, F.col("rnk"))).alias("proj_rank"))
     return rows.join(own, "id").select("id", "norm2", "proj", "norm_rank", "proj_rank")
 
@@ -205,7 +205,7 @@ def hybrid_route(spark, sf_dir):
 def expected_matches(spark, sf_dir):
     n = base(spark, sf_dir).count()
     found = spans(spark, sf_dir).select("qid", (F.col("span") / n).alias("ratio"))
-    return routing.expected_matches(n, found).withColumn("expected", F.col("expected"))
+    return routing.expected_matches(n, found)
 
 
 # The mutable overlay

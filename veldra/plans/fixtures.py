@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions.predicates import float_bounds
 from veldra.operators.overlay import resolve
-from veldra.operators.ranks import row_numbers
+from veldra.operators.ranks import running_totals
 
 ATTRIBUTES = ["a0", "a1", "a2"]
 #: Queries are the rows whose id is divisible by this.
@@ -45,13 +45,12 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = rows.count()
     ops = F.create_map(*[F.lit(x) for x in ("signup", "insert", "purchase", "upsert", "error", "erase", "click", "attributes")])
     events = table(spark, sf_dir, "events").where("event_type <> 'view'").select("ts", "event_id", "user_id", ops[F.col("event_type")].alias("op"))
-    numbered = row_numbers(events, ["ts", "event_id"], "sequence")
-    inserts = row_numbers(numbered.where("op = 'insert'").select("sequence"), ["sequence"], "nth")
-    targeted = numbered.join(inserts, "sequence", "left").withColumn("id", F.coalesce(F.col("nth") + n, F.col("user_id").cast("long")))
+    numbered = running_totals(events, ["ts", "event_id"], {"sequence": F.lit(1).cast("long"), "nth": (F.col("op") == "insert").cast("long")})
+    targeted = numbered.withColumn("id", F.when(F.col("op") == "insert", F.col("nth") - 1 + n).otherwise(F.col("user_id").cast("long")))
     attrs = F.array((F.col("event_id") % 10).cast("float"), *_attribute_columns("event_id"))
     images = targeted.join(rows.select(F.col("id").alias("source"), "v"), F.col("event_id") % n == F.col("source"), "left")
     full = F.col("op").isin("insert", "upsert")
-    return images.select((F.col("sequence") + 1).alias("sequence"), "id", "op", F.when(full, F.col("v")).alias("v"), F.when(F.col("op") != "erase", attrs).alias("attrs"))
+    return images.select("sequence", "id", "op", F.when(full, F.col("v")).alias("v"), F.when(F.col("op") != "erase", attrs).alias("attrs"))
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
