@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import bpe, decontam, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, token_files, toxicity
+from veldra.llm import bpe, decontam, html_extract, importance, line_dedup, quality_model, quality_rules, simhash, token_counts, token_files, toxicity
 from veldra.llm.common import table
 from veldra.llm.token_table import held_out, labelled_sample
 from veldra.session import scratch, stored
@@ -84,6 +84,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "base.*", "kept")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, list_filter(string_split(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS ws,
@@ -124,6 +128,25 @@ k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped, coalesc
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, text FROM k
 """
 
+OP12_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab),
+src AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT NULL, NULL, coalesce(text, '') FROM benchmark),
+w AS (SELECT r, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
+e AS (SELECT r, unnest(ws) AS word FROM w),
+dw AS (SELECT DISTINCT word FROM e),
+b AS (SELECT word, xor(list_reduce(list_transform(range(length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INT, 2))::BIGINT),
+        lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM dw, tab),
+hashed AS (SELECT r, bucket FROM e JOIN b USING (word)),
+cnt AS (SELECT bucket, count(*) FILTER (WHERE r IS NOT NULL) AS s, count(*) FILTER (WHERE r IS NULL) AS t FROM hashed GROUP BY bucket),
+tot AS (SELECT sum(s) AS bs, sum(t) AS bt FROM cnt),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (bs + 10000))::DOUBLE / ((s + 1) * (bt + 10000))::DOUBLE))::BIGINT AS gain FROM cnt, tot),
+f AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM hashed JOIN g USING (bucket) WHERE r IS NOT NULL GROUP BY r),
+m AS (SELECT w.doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight FROM w LEFT JOIN f USING (r) WHERE w.r IS NOT NULL),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, sum((n_features >= 20)::INT) OVER () AS n_docs FROM s)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, (CASE WHEN n_features >= 20 AND place <= 10 * n_docs // 100 THEN place END)::BIGINT AS rank FROM k
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_model": op2_quality_model,
@@ -135,9 +158,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op12_importance": op12_importance,
 }
 
 SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_importance": OP12_SQL,
 }
