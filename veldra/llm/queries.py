@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import bpe, decontam, html_extract, importance, line_dedup, quality_model, quality_rules, simhash, token_counts, token_files, toxicity
+from veldra.llm import bpe, decontam, html_extract, importance, line_dedup, quality_model, quality_rules, simhash, token_counts, token_files, toxicity, treap_search
 from veldra.llm.common import table
 from veldra.llm.token_table import held_out, labelled_sample
 from veldra.session import scratch, stored
@@ -88,6 +88,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, list_filter(string_split(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS ws,
@@ -147,6 +151,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score
 SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, (CASE WHEN n_features >= 20 AND place <= 10 * n_docs // 100 THEN place END)::BIGINT AS rank FROM k
 """
 
+OP13_SQL = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS z),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), a, z), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, a, z), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark, low),
+tot AS (SELECT count(*)::BIGINT AS bn, sum(len(ws))::BIGINT AS bl FROM d WHERE len(ws) > 0),
+e AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM e SEMI JOIN i USING (term) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(bn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, tot GROUP BY term),
+p AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * bn) // bl))) AS impact FROM tf JOIN w USING (term), tot),
+s AS (SELECT item_id, r, doc_id, sum(impact)::BIGINT AS score FROM p JOIN i USING (term) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_model": op2_quality_model,
@@ -159,10 +177,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op12_importance": op12_importance,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
     "op12_importance": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
