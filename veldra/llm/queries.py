@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import bpe, decontam, html_extract, importance, line_dedup, quality_model, quality_rules, simhash, token_counts, token_files, toxicity, treap_search
+from veldra.llm import bpe, decontam, html_extract, importance, line_dedup, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_files, toxicity, treap_search
 from veldra.llm.common import table
 from veldra.llm.token_table import held_out, labelled_sample
 from veldra.session import scratch, stored
@@ -84,6 +84,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "base.*", "kept")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -132,6 +138,19 @@ k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped, coalesc
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, text FROM k
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+g AS (SELECT r, p, p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50 AS apart FROM w JOIN f USING (k) WHERE first < doc_id),
+i AS (SELECT r, p, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS nth FROM g),
+s AS (SELECT r, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY r, nth),
+b AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM s),
+k AS (SELECT d.r, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept, count(*) AS n_spans, sum(z - a) AS n_removed FROM b JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 OP12_SQL = r"""
 WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab),
 src AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT NULL, NULL, coalesce(text, '') FROM benchmark),
@@ -176,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_importance": op12_importance,
     "op13_ranked_search": op13_ranked_search,
 }
@@ -183,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_importance": OP12_SQL,
     "op13_ranked_search": OP13_SQL,
 }
