@@ -41,6 +41,47 @@ def test_words_that_differ_become_variable(spark, docs_of):
     assert rows[0][2] == 0 and all(rows[i] == (f"zeta {names[i]} alone {names[i]}", 2, 1) for i in range(1, 6))
 
 
+def varied(spark, lines, templates, depth=3, similarity=0.6):
+    """Lines (owner, leaf, text) that ``variant_lines`` drops, given templates (first owner, leaf, {place: word})."""
+    from veldra.session import Scratch
+
+    owner = "struct<doc_id:long,hash:long>"
+    made = spark.createDataFrame([((o, 0), i, leaf, len(m.split(" ")), m) for i, (o, leaf, m) in enumerate(lines)], f"owner {owner}, place int, leaf long, fields int, m string")
+    flat = [(t, leaf, (f, 0), n, at, w) for t, (f, leaf, n, words) in enumerate(templates) for at, w in words.items()]
+    with Scratch(spark) as work:
+        rows = spark.createDataFrame(flat, f"template long, leaf long, first {owner}, fields int, at int, field string").withColumn("field", F.xxhash64("field"))
+        return {r.place for r in line_dedup.variant_lines(work, made, rows, depth, similarity, 1000).collect()}
+
+
+def test_a_line_meets_every_template_of_its_leaf(spark):
+    line = "a b c d e f g h x y z q w".split()  # agrees with the second template in 6 of 10 fields after the leading ones
+    second = dict(enumerate("a b c d e f g h x 1 2 3 4".split()))
+    first = {i: w for i, w in enumerate("a b c 9 9 9 9 8 8 y z q w".split())}
+    assert varied(spark, [(1, 5, " ".join(line))], [(7, 5, 13, second)]) == {0}
+    assert varied(spark, [(1, 5, " ".join(line))], [(6, 5, 13, first), (7, 5, 13, second)]) == {0}
+    assert varied(spark, [(7, 5, " ".join(line))], [(6, 5, 13, first), (7, 5, 13, second)]) == set()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_variants_equal_brute_force(spark, seed):
+    chance = random.Random(seed)
+    word = lambda: chance.choice("pqrst")
+    width = {0: 8, 1: 13, 2: 4}
+    make = lambda leaf: ["a", "b", "c", *(word() for _ in range(width[leaf] - 3))]
+    templates = []
+    for _ in range(40):
+        leaf = chance.randrange(3)
+        templates.append((chance.randrange(4), leaf, width[leaf], {i: w for i, w in enumerate(make(leaf)) if i < 3 or chance.random() < 0.8}))
+    lines = [(chance.randrange(4), leaf, " ".join(make(leaf))) for leaf in (chance.randrange(3) for _ in range(300))]
+
+    def hit(owner, leaf, text):
+        words, need = text.split(" "), max(1, -(-6 * (width[leaf] - 3) // 10))
+        return any(f != owner and at == leaf and sum(words[i] == w for i, w in held.items() if i >= 3) >= need for f, at, _, held in templates)
+
+    want = {i for i, x in enumerate(lines) if hit(*x)}
+    assert varied(spark, lines, templates) == want and 0 < len(want) < len(lines)
+
+
 def test_rare_and_short_lines_stay(spark, docs_of):
     texts = [f"Yes.\nshared by four only\nunique words number {chr(97 + i) * 3} {chr(97 + i)}q {chr(98 + i)}w" if i < 4 else f"Yes.\nalone {chr(97 + i)} and {chr(98 + i)}" for i in range(8)]
     rows = deduped(docs_of(texts), min_docs=5)
