@@ -50,7 +50,7 @@ PLACES = WINDOW - GRAM + 1
 #: Bytes after a gram, and before it, that multikey quicksort orders; blind tries order the rest.
 SHALLOW = 16
 #: Bytes of text in a chunk, and positions whose hashes are held at once.
-CHUNK_BYTES, BLOCK = 8 << 20, 1 << 20
+CHUNK_BYTES, BLOCK = 4 << 20, 1 << 19
 #: Bytes of all texts for one bucket of grams, and of pieces.
 GRAM_BUCKET, PIECE_BUCKET = 16 << 20, 8 << 20
 #: Chunks beyond which a gram's windows are dealt singly.
@@ -114,7 +114,7 @@ class Chunk:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchors with the first window that each stands for and how many."""
-        last = np.repeat(self.bounds[1:] - WINDOW, np.diff(self.bounds))  # the last window of each position's document
+        last = np.repeat((self.bounds[1:] - WINDOW).astype(np.int32), np.diff(self.bounds))  # the last window of each position's document
         last[np.repeat(~self.usable, np.diff(self.bounds))] = -1
         found, firsts, sizes = [], [], []
         for low in range(0, self.size, BLOCK):
