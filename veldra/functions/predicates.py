@@ -8,18 +8,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Types whose values are compared as 64-bit integers.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _inside(value: Column, low: Column, high: Column) -> Column:
+    """Whether a value lies in a closed range: whole numbers as 64-bit integers, bounds rounded inwards, others as floats."""
+    number = F.isnan(low.cast("double")) | F.isnan(high.cast("double"))
+    exact = ~number & value.cast("long").between(F.ceil(low), F.floor(high))
+    return F.when(F.typeof(value).isin(*WHOLE), exact).otherwise(value.cast("float").between(low.cast("float"), high.cast("float")))
+
+
 def in_ranges(attributes: list[Column], bounds: Column, active: Column | None = None) -> Column:
     """Whether each attribute lies in its range ``bounds[i].low .. bounds[i].high``.
 
     ``active`` is an array of flags; an attribute whose flag is false is not
-    tested, and a null or empty array means all. Bounds are compared as floats
-    with float attributes. A reversed range holds nothing; a wrong number of
-    bounds gives false.
+    tested, and a null or empty array means all. Attributes of whole-number
+    types are compared as 64-bit integers, others as floats. A reversed range
+    holds nothing; a wrong number of bounds gives false.
     """
     tests = []
     for i, a in enumerate(attributes):
         own = F.get(bounds, F.lit(i))
-        test = a.cast("float").between(own["low"].cast("float"), own["high"].cast("float"))
+        test = _inside(a, own["low"], own["high"])
         if active is not None:
             test = test | F.coalesce(F.size(active) > 0, F.lit(False)) & ~F.coalesce(F.get(active, F.lit(i)), F.lit(True))
         tests.append(test)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import PAIR_QUERIES, candidates, ranked
+from veldra.operators.exact import PAIR_QUERIES, candidates, ranked, typed
 from veldra.session import ship_package, stored
 
 #: Rows that are queries of one exact search (a broadcast of vectors); more are searched in several, each stored.
@@ -284,14 +284,17 @@ def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def sharded_nodes(base: DataFrame, attributes: list[str], indexed: list[int], shard_rows: int) -> DataFrame:
     """``attr``, ``shard``, ``n`` (rows of the shard), ``node``, ``id``, ``v`` and the attributes: each shard's rows numbered by (value, id) of each indexed attribute.
 
-    Shards are dealt by a hash of the id, about ``shard_rows`` rows each.
+    Shards are dealt by a hash of the id, about ``shard_rows`` rows each. A row
+    whose attribute is null is in no range over it, and so not in its graph.
+    Whole numbers stay such, other attributes become floats.
     """
     shards = max(1, -(-base.count() // shard_rows))
-    dealt = base.select("id", "v", *[F.col(a).cast("float").alias(a) for a in attributes], F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(attributes[i]).alias("value")) for i in indexed]))
-    rows = dealt.withColumn("x", each).select("shard", "x.attr", "x.value", "id", "v", *attributes)
-    own = Window.partitionBy("attr", "shard")
-    numbered = rows.withColumns({"rnk": F.row_number().over(own.orderBy("value", "id")) - 1, "n": F.count("*").over(own)})
+    dealt = base.select("id", "v", *typed(base, attributes), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    orders = {i: F.row_number().over(Window.partitionBy("shard").orderBy(F.col(attributes[i]).asc_nulls_last(), "id")) - 1 for i in indexed}
+    counts = {i: F.count(attributes[i]).over(Window.partitionBy("shard")) for i in indexed}
+    each = F.explode(F.array(*[F.when(F.col(attributes[i]).isNotNull(), F.struct(F.lit(i).alias("attr"), F.col(f"__rnk{i}").alias("rnk"), F.col(f"__n{i}").alias("n"))) for i in indexed]))
+    numbered = dealt.withColumns({f"__rnk{i}": o for i, o in orders.items()} | {f"__n{i}": c for i, c in counts.items()}).withColumn("x", each).where("x is not null")
+    numbered = numbered.select("x.attr", "x.rnk", "x.n", "shard", "id", "v", *attributes)
     node = (F.col("attr").cast("long") * shards + F.col("shard")) * SHARD_SPAN + F.col("rnk")
     return numbered.select("attr", "shard", "n", node.alias("node"), "id", "v", *attributes)
 

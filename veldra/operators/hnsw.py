@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import _bounds, query_blocks, ranked, with_queries
+from veldra.operators.exact import Ranges, _bounds, query_blocks, ranked, typed, whole_numbers, with_queries
 from veldra.session import ship_package
 
 #: Rows of a shard; the number of shards follows from a count.
@@ -164,10 +164,10 @@ def _walked(rows: DataFrame, links: DataFrame, queries: DataFrame, attributes: l
     spark = rows.sparkSession
     ship_package(spark)
     names = attributes or []
-    left = rows.select("shard", F.col("id").cast("long").alias("id"), "v", *[F.col(a).cast("float").alias(a) for a in names])
+    left = rows.select("shard", F.col("id").cast("long").alias("id"), "v", *typed(rows, names))
     out: DataFrame | None = None
     for block in query_blocks(queries.select("qid", "qv", *(["bounds"] if names else []))):
-        low, high = _bounds(block, names, [False] * len(names))
+        low, high = _bounds(block, names, whole_numbers(rows, names))
         shared = spark.sparkContext.broadcast(([r.qid for r in block], np.array([r.qv for r in block], dtype=np.float64), low, high))
         found = left.groupBy("shard").cogroup(links.groupBy("shard")).applyInArrow(_shard_results(shared, names, pick), "qid long, id long")
         out = found if out is None else out.unionByName(found)
@@ -183,7 +183,6 @@ def _shard_results(shared, names: list[str], pick: Callable[..., list[int]]):
         if table.num_rows and own.num_rows:
             table = table.sort_by("id")
             ids, vectors = _arrays(table)
-            values = [np.asarray(table.column(a), dtype=np.float32) for a in names]
             graph = Layers(vectors)
             level = np.asarray(own.column("level").combine_chunks())
             ends = [np.asarray(own.column(c).combine_chunks(), dtype=np.int64) for c in ("src", "dst")]
@@ -197,10 +196,11 @@ def _shard_results(shared, names: list[str], pick: Callable[..., list[int]]):
                     near.append(b)
             graph.entry = min(graph.levels[-1]) if graph.levels else -1
             wanted, vectors_of, low, high = shared.value
+            ranges = Ranges(table, names, low, high)
             for q, qid in enumerate(wanted):
                 admits = None
                 if names:
-                    inside = np.logical_and.reduce([(x >= lo[q]) & (x <= hi[q]) for x, lo, hi in zip(values, low, high)])
+                    inside = ranges.admitted(q)
                     admits = lambda x, inside=inside: bool(inside[x])
                 near = pick(graph, vectors_of[q], admits)
                 qids += [qid] * len(near)

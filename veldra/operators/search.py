@@ -1,14 +1,13 @@
-"""Approximate search over stored graphs: bounded best-first walks in tasks over queries.
+"""Approximate search over sharded graphs: bounded best-first walks, one task a shard.
 
-A graph and its vectors in rank order are arrays that are sent to the workers
-once, behind a check of their size; queries are dealt out and walked in
-parallel. What a walk proposes is measured and ranked again by the exact
+A shard's graph and vectors in rank order are arrays of one task; stated
+queries are sent to all shards. A walk admits only rows that pass the exact
+test of every range. What it proposes is measured and ranked again by the exact
 column expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from heapq import heappop, heappush, heapreplace
 
 import numpy as np
@@ -17,11 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import exact_topk, query_blocks, ranked, with_queries
+from veldra.operators.exact import Ranges, _bounds, exact_topk, query_blocks, ranked, whole_numbers, with_queries
 from veldra.session import ship_package
 
-#: Bytes of a graph and its vectors that ``load`` sends to every worker; ``walk_shards`` has no such bound.
-GRAPH_BYTES = 1 << 30
 #: Share of rows below which an interval's edges are not tested by their envelopes.
 SMALL_SHARE = 0.02
 #: Steps to the right that a seed looks for a row of the graph, and rows that are tried from the left end if none is found.
@@ -33,15 +30,12 @@ PROBES, PROBE_SEEDS = 256, 8
 class Graph:
     """A graph of one attribute as arrays: rows in rank order, edges by source."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, attributes: np.ndarray, edges: np.ndarray):
-        self.ids, self.vectors, self.attributes = ids, vectors, attributes
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray):
+        self.ids, self.vectors = ids, vectors
         order = np.lexsort((edges[:, 1], edges[:, 0])) if len(edges) else np.empty(0, dtype=np.int64)
         self.edges = edges[order]
         self.first = np.searchsorted(self.edges[:, 0], np.arange(len(ids) + 1)) if len(edges) else np.zeros(len(ids) + 1, dtype=np.int64)
 
-    def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.ids, self.vectors, self.attributes, self.edges, self.first))
-
     def indexed(self, rank: int) -> bool:
         return self.first[rank + 1] > self.first[rank]
 
@@ -56,13 +50,12 @@ class Graph:
             out = [r for r in range(left, min(right, left + SEED_SCAN) + 1) if self.indexed(r)][:1]
         return out
 
-    def walk(self, query: np.ndarray, left: int, right: int, low: np.ndarray, high: np.ndarray, k: int, ef: int, hard_prune: bool = False, probes: int = 0) -> tuple[list[int], int, int]:
+    def walk(self, query: np.ndarray, left: int, right: int, admitted: np.ndarray, k: int, ef: int, hard_prune: bool = False, probes: int = 0) -> tuple[list[int], int, int]:
         """Ranks of at most k admitted rows, nearest first, with the numbers of distances and hops.
 
         A reached row enters the exploration set if that has room or the row is
         strictly nearer than its worst; it enters the results if it entered the
-        exploration set and passes every range. Rows that fail a range are
-        bridges, unless ``hard_prune`` keeps them out altogether. The walk ends
+        exploration set and is ``admitted``. Rows that are not are bridges, unless ``hard_prune`` keeps them out altogether. The walk ends
         when both sets are full and the next row is farther than all explored.
         It starts at four places of the range and, with ``probes``, at the
         nearest of so many rows spaced evenly over it: links lead to near rows
@@ -77,10 +70,6 @@ class Graph:
         results: list[tuple[float, int]] = []  # negated distance and id, worst first
         distances = hops = 0
 
-        def passes(rank: int) -> bool:
-            a = self.attributes[rank]
-            return bool(((a >= low) & (a <= high)).all())
-
         def offer(ranks: np.ndarray) -> None:
             nonlocal distances
             gaps = ((self.vectors[ranks] - query) ** 2).sum(axis=1).tolist()
@@ -89,7 +78,7 @@ class Graph:
                 full = len(explored) >= ef
                 if full and d >= -explored[0]:
                     continue
-                ok = passes(rank)
+                ok = bool(admitted[rank])
                 if hard_prune and not ok:
                     continue
                 heappush(frontier, (d, rank))
@@ -129,45 +118,6 @@ class Graph:
         return [placed[e] for e in sorted(results, reverse=True)], distances, hops
 
 
-def load(base: DataFrame, attributes: list[str], edges: DataFrame, ranks: DataFrame, most: int = GRAPH_BYTES) -> Graph:
-    """The arrays of a graph, refused if they would pass the bound: rows and edges are counted first."""
-    n, e = base.count(), edges.count()
-    dim = base.select(F.size("v")).first()
-    if n * (8 + 8 * (dim[0] if dim else 0) + 4 * len(attributes)) + e * 48 > most:
-        raise ValueError("the graph passes the bound for one worker; build it over shards of the rows")
-    rows = base.select("id", "v", *attributes).join(ranks.select("id", "rnk"), "id").toArrow().sort_by("rnk")
-    vectors = np.asarray(rows.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
-    values = np.stack([np.asarray(rows.column(a), dtype=np.float32) for a in attributes], axis=1)
-    table = edges.select("src", "dst", "ll", "lu", "rl", "ru").toArrow()
-    return Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, values, np.stack([np.asarray(table.column(c), dtype=np.int64) for c in ("src", "dst", "ll", "lu", "rl", "ru")], axis=1))
-
-
-def navigate(base: DataFrame, queries: DataFrame, graphs: dict[int, Graph], k: int, ef: int, hard_prune: bool = False) -> DataFrame:
-    """``qid``, ``rank``, ``id``, ``dist``, ``distances``, ``hops`` for queries ``qid``, ``qv``, ``nav_attr``, ``lo``, ``hi``, ``bounds``."""
-    spark = queries.sparkSession
-    ship_package(spark)
-    if sum(g.nbytes() for g in graphs.values()) > GRAPH_BYTES:
-        raise ValueError("the graphs pass the bound for one worker")
-    shared = spark.sparkContext.broadcast(graphs)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for row in batch.to_pylist():
-                graph = shared.value[row["nav_attr"]]
-                low = np.array([b["low"] for b in row["bounds"]], dtype=np.float32)
-                high = np.array([b["high"] for b in row["bounds"]], dtype=np.float32)
-                found, distances, hops = graph.walk(np.array(row["qv"], dtype=np.float64), row["lo"], row["hi"], low, high, k, ef, hard_prune)
-                out += [(row["qid"], int(graph.ids[r]), distances, hops) for r in found]
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["qid", "id", "distances", "hops"])
-
-    dealt = queries.select("qid", "qv", F.col("nav_attr").cast("int").alias("nav_attr"), "lo", "hi", "bounds").repartition("nav_attr", "qid")
-    proposed = dealt.mapInArrow(kernel, "qid long, id long, distances long, hops long")
-    measured = with_queries(base.select("id", "v").join(proposed, "id"), queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
-    return ranked(measured, k).select("qid", "rank", "id", "dist", "distances", "hops")
-
-
 def _two(kernel):
     """A function of two tables, as a cogroup asks for."""
     return lambda rows, own: kernel(rows, own)
@@ -189,41 +139,42 @@ def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attribut
     ship_package(spark)
     out: DataFrame | None = None
     for block in query_blocks(queries.select("qid", "qv", "nav_attr", "bounds").where("nav_attr IS NOT NULL")):
-        wanted: dict[int, list] = {}
-        for r in block:
-            low = np.array([-np.inf if b.low is None else b.low for b in r.bounds], dtype=np.float32)
-            high = np.array([np.inf if b.high is None else b.high for b in r.bounds], dtype=np.float32)
-            wanted.setdefault(r.nav_attr, []).append((r.qid, np.array(r.qv, dtype=np.float64), low, high))
-        shared = spark.sparkContext.broadcast(wanted)
+        low, high = _bounds(block, attributes, whole_numbers(nodes, attributes))
+        by_attr: dict[int, list[int]] = {}
+        for q, r in enumerate(block):
+            by_attr.setdefault(r.nav_attr, []).append(q)
+        shared = spark.sparkContext.broadcast((by_attr, [r.qid for r in block], np.array([r.qv for r in block], dtype=np.float64), low, high))
 
         def kernel(rows: pa.Table, own: pa.Table, shared=shared) -> pa.Table:
-            found: list[tuple[int, int, int, int]] = []
+            found: list[tuple[int, int, np.ndarray, int, int]] = []
             if rows.num_rows:
+                by_attr, qids, vectors_of, low, high = shared.value
                 rows = rows.sort_by("node")
                 attr = rows.column("attr")[0].as_py()
                 first = rows.column("node")[0].as_py()
                 vectors = np.asarray(rows.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
-                values = np.stack([np.asarray(rows.column(a), dtype=np.float32) for a in attributes], axis=1)
+                ranges = Ranges(rows, attributes, low, high)
+                order = ranges.values[attr]
                 table = np.stack([np.asarray(own.column(c), dtype=np.int64) for c in ("src", "dst", "ll", "lu", "rl", "ru")], axis=1)
                 table[:, :2] -= first
-                shown = values.copy()
                 if "gone" in rows.column_names:
-                    shown[np.asarray(rows.column("gone").fill_null(False), dtype=bool)] = np.nan
-                graph = Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, shown, table)
-                for qid, query, low, high in shared.value.get(attr, ()):
-                    left = 0 if whole else int(np.searchsorted(values[:, attr], low[attr], side="left"))
-                    right = rows.num_rows - 1 if whole else int(np.searchsorted(values[:, attr], high[attr], side="right")) - 1
-                    near, distances, hops = graph.walk(query, left, right, low, high, k, ef, hard_prune, probes)
-                    found += [(qid, int(graph.ids[r]), 0 if i else distances, 0 if i else hops) for i, r in enumerate(near)]
-            columns = list(zip(*found)) if found else [()] * 4
-            return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("qid", "id", "distances", "hops"), columns)})
-
-        found = (nodes if judged is None else judged).groupBy("attr", "shard").cogroup(edges.groupBy("attr", "shard")).applyInArrow(_two(kernel), "qid long, id long, distances long, hops long")
+                    ranges.there &= ~np.asarray(rows.column("gone").fill_null(False), dtype=bool)
+                graph = Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, table)
+                for q in by_attr.get(attr, ()):
+                    left = 0 if whole else int(np.searchsorted(order, low[attr][q], side="left"))
+                    right = rows.num_rows - 1 if whole else int(np.searchsorted(order, high[attr][q], side="right")) - 1
+                    near, distances, hops = graph.walk(vectors_of[q], left, right, ranges.admitted(q), k, ef, hard_prune, probes)
+                    found += [(qids[q], int(graph.ids[r]), vectors[r].astype(np.float32), 0 if i else distances, 0 if i else hops) for i, r in enumerate(near)]
+            columns = list(zip(*found)) if found else [()] * 5
+            kinds = {"qid": pa.int64(), "id": pa.int64(), "v": pa.list_(pa.float32()), "distances": pa.int64(), "hops": pa.int64()}
+            return pa.table({n: pa.array(list(c), t) for (n, t), c in zip(kinds.items(), columns)})
+
+        own = edges.withColumnsRenamed({"attr": "edge_attr", "shard": "edge_shard"})
+        found = (nodes if judged is None else judged).groupBy("attr", "shard").cogroup(own.groupBy("edge_attr", "edge_shard")).applyInArrow(_two(kernel), "qid long, id long, v array<float>, distances long, hops long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "qid long, rank int, id long, dist double, distances long, hops long")
-    rows = nodes.where(F.col("attr") == nodes.select(F.min("attr")).first()[0]).select("id", "v")
-    measured = with_queries(out.join(rows, "id"), queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
+    measured = with_queries(out, queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
     work = Window.partitionBy("qid")
     per_shard = F.sum("distances").over(work), F.sum("hops").over(work)
     return ranked(measured.select("qid", "id", "dist", per_shard[0].alias("distances"), per_shard[1].alias("hops")), k).select("qid", "rank", "id", "dist", "distances", "hops")

@@ -317,13 +317,6 @@ def graph_stats(spark, sf_dir):
     return graph.statistics(graph.symmetrised(fixed_edges(spark, sf_dir)[0]))
 
 
-def built(spark: SparkSession, sf_dir: str, attributes: list[int]) -> tuple[DataFrame, DataFrame, dict[int, DataFrame], int]:
-    rows = base(spark, sf_dir)
-    n = rows.count()
-    order = stored(attr_ranks(spark, sf_dir), "ranks")
-    return rows, order, {a: stored(graph.build(rows, order, a, n), "graph") for a in attributes}, n
-
-
 @registered()
 def graph_compress(spark, sf_dir):
     rows = base(spark, sf_dir)
