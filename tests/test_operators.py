@@ -98,6 +98,26 @@ def test_journal_is_rejected_as_a_whole(spark):
             overlay.validate_journal(bad, cut, arity)
 
 
+def test_corrupted_journals_are_refused(spark):
+    base = spark.createDataFrame([(i, [float(i)], float(i)) for i in range(6)], "id long, v array<float>, a0 float")
+    log = [(1, 0, "erase"), (2, 0, "attributes"), (3, 6, "insert"), (4, 1, "erase"), (5, 0, "attributes"), (6, 2, "attributes"), (7, 3, "erase"), (8, 7, "insert"), (9, 0, "attributes"), (10, 4, "erase")]
+    rows = [(s, i, op, [1.0] if op == "insert" else None, None if op == "erase" else [2.0]) for s, i, op in log]
+    resolved = graph.stored(overlay.resolve(spark.createDataFrame(rows, "sequence long, id long, op string, v array<float>, attrs array<float>"), base), "log")
+    assert [r.accepted_no for r in resolved.orderBy("sequence").collect()] == [1, None, 2, 3, None, 4, 5, 6, None, 7]
+    journal = overlay.journal_since(resolved, 3)
+    overlay.validate_journal(journal, 3, 1, 2)  # rejected mutations leave holes in the sequence, not in the numbers
+    overlay.validate_journal(journal.where("false"), 3, 1, 2)
+    lost_erase, lost_image, lost_first = journal.where("sequence <> 7"), journal.where("sequence <> 6"), journal.where("sequence <> 4")
+    twice = journal.unionByName(journal.where("sequence = 7"))
+    swapped = journal.withColumn("sequence", F.when(F.col("sequence") == 6, 7).when(F.col("sequence") == 7, 6).otherwise(F.col("sequence")))
+    bad_version = journal.withColumn("version", F.when(F.col("sequence") == 8, F.col("version") + 1).otherwise(F.col("version")))
+    wrong_arity = journal.withColumn("attrs", F.when(F.col("sequence") == 8, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("attrs").cast("array<double>")))
+    image_of_erase = journal.withColumn("version", F.when(F.col("sequence") == 7, F.lit(5)).otherwise(F.col("version")))
+    for bad in (lost_erase, lost_image, lost_first, twice, swapped, bad_version, wrong_arity, image_of_erase):
+        with pytest.raises(ValueError):
+            overlay.validate_journal(bad, 3, 1, 2)
+
+
 def test_base_validation(spark):
     good = spark.createDataFrame([(0, [1.0], 1.0), (3, [2.0], 2.0)], "id long, v array<float>, a0 float")
     overlay.validate_base(good, ["a0"], 4)

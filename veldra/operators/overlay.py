@@ -18,11 +18,12 @@ ID_LIMIT = 1 << 32
 
 
 def resolve(mutations: DataFrame, base: DataFrame) -> DataFrame:
-    """Accepted mutations as full images: ``sequence``, ``id``, ``erased``, ``v``, ``attrs``, ``version``; all are returned with ``accepted``.
+    """Accepted mutations as full images: ``sequence``, ``id``, ``erased``, ``v``, ``attrs``, ``version``, ``accepted_no``; all are returned with ``accepted``.
 
     An update of attributes is accepted if its id is live at that point: by its
     last earlier insert, upsert or erase, or else by being in Base. ``version``
-    counts the accepted images up to this one.
+    counts the accepted images up to this one, ``accepted_no`` the accepted
+    mutations, erases too: rejected ones have a place in the log only.
     """
     before = Window.partitionBy("id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     upto = before.rowsBetween(Window.unboundedPreceding, 0)
@@ -34,8 +35,8 @@ def resolve(mutations: DataFrame, base: DataFrame) -> DataFrame:
     vector = F.coalesce(F.last(F.when(full, F.col("v")), ignorenulls=True).over(upto), F.col("base_v"))
     judged = rows.withColumns({"accepted": (F.col("op") != "attributes") | live, "erased": F.col("op") == "erase", "image": vector})
     judged = judged.select("sequence", "id", "op", "accepted", "erased", F.when(~F.col("erased"), F.col("image")).alias("v"), F.when(~F.col("erased"), F.col("attrs")).alias("attrs"))
-    counted = running_totals(judged, ["sequence"], {"version": (F.col("accepted") & ~F.col("erased")).cast("long")})
-    return counted.withColumn("version", F.when(F.col("accepted") & ~F.col("erased"), F.col("version")))
+    counted = running_totals(judged, ["sequence"], {"version": (F.col("accepted") & ~F.col("erased")).cast("long"), "accepted_no": F.col("accepted").cast("long")})
+    return counted.withColumns({"version": F.when(F.col("accepted") & ~F.col("erased"), F.col("version")), "accepted_no": F.when(F.col("accepted"), F.col("accepted_no"))})
 
 
 def last_images(resolved: DataFrame) -> DataFrame:
@@ -82,15 +83,31 @@ def journal_since(resolved: DataFrame, cut: int) -> DataFrame:
     return resolved.where(F.col("accepted") & (F.col("sequence") > cut))
 
 
-def validate_journal(journal: DataFrame, cut: int, arity: int) -> None:
-    """Reject a journal as a whole before anything is applied: gaps in accepted sequence, images of the wrong arity, versions that don't rise."""
-    order = row_numbers(journal.select("sequence", "erased", "attrs", "version"), ["sequence"], "nth")
-    bad = order.where((F.col("sequence") <= cut) | ~F.col("erased") & (F.size("attrs") != arity))
-    if bad.limit(1).count():
-        raise ValueError("the journal doesn't continue the capture or has images of the wrong arity")
-    images = order.where(~F.col("erased"))
-    total = images.agg(F.count("*").alias("n"), F.min("version").alias("lo"), F.max("version").alias("hi"), F.count_distinct("version").alias("d")).first()
-    if total.n and (total.hi - total.lo + 1 != total.n or total.d != total.n):
+def validate_journal(journal: DataFrame, cut: int, arity: int, accepted: int | None = None) -> None:
+    """Reject a journal as a whole before anything is applied.
+
+    Accepted mutations are numbered without gaps, from ``accepted`` + 1 if that
+    is given, by ``accepted_no`` or, in a journal without it, by ``sequence``
+    from ``cut`` + 1. So a lost mutation shows, an erase too; as do repeated or
+    disordered ones, images of the wrong arity, erases with an image, and
+    versions that don't rise by one from image to image.
+    """
+    own = "accepted_no" if "accepted_no" in journal.columns else "sequence"
+    rows = journal.select("sequence", F.col(own).alias("own"), "erased", "attrs", "version")
+    order = running_totals(rows, ["sequence"], {"nth": F.lit(1).cast("long"), "image": (~F.col("erased")).cast("long")})
+    shape = F.when(F.col("erased"), F.col("version").isNotNull() | F.col("attrs").isNotNull()).otherwise(F.col("version").isNull() | (F.coalesce(F.size("attrs"), F.lit(-1)) != arity))
+    seen = order.agg(
+        F.count("*").alias("n"), F.count_distinct("sequence").alias("places"), F.min("sequence").alias("first"), F.min("own").alias("least"), F.count_if(shape | F.col("own").isNull()).alias("bad"),
+        F.min(F.col("own") - F.col("nth")).alias("low"), F.max(F.col("own") - F.col("nth")).alias("high"), F.min(F.col("version") - F.col("image")).alias("old"), F.max(F.col("version") - F.col("image")).alias("new"),
+    ).first()
+    if not seen.n:
+        return
+    start = accepted if accepted is not None else cut if own == "sequence" else seen.least - 1
+    if seen["first"] <= cut or seen.bad:
+        raise ValueError("the journal doesn't continue the capture or has images of the wrong form")
+    if seen.places != seen.n or seen.low != seen.high or seen.least != start + 1:
+        raise ValueError("the journal has gaps or repeats mutations")
+    if seen.old != seen.new:
         raise ValueError("the versions of the journal are not contiguous")
 
 

@@ -250,7 +250,7 @@ def replay_equivalence(spark, sf_dir):
     cut = capture_point(log)
     captured = overlay.live_view(log.where(F.col("sequence") <= cut), rows, ATTRIBUTES)
     journal = overlay.journal_since(log, cut)
-    overlay.validate_journal(journal, cut, len(ATTRIBUTES))
+    overlay.validate_journal(journal, cut, len(ATTRIBUTES), log.where(F.col("accepted") & (F.col("sequence") <= cut)).count())
     columns = ["id", "version", *ATTRIBUTES]
     new = overlay.replay(captured, journal, ATTRIBUTES).select(*columns)
     old = overlay.live_view(log, rows, ATTRIBUTES).select(*columns)
