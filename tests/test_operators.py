@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions.predicates import parse_attributes
 from veldra.operators import evaluate, exact, graph, overlay, ranks, workload
+from veldra.session import stored
 from veldra.sources import binary, tables
 
 SANE = [(0, 0), (1, 0), (0, 2), (3, 0), (0, 4), (5, 0), (0, 6), (7, 0)]
@@ -102,7 +103,7 @@ def test_corrupted_journals_are_refused(spark):
     base = spark.createDataFrame([(i, [float(i)], float(i)) for i in range(6)], "id long, v array<float>, a0 float")
     log = [(1, 0, "erase"), (2, 0, "attributes"), (3, 6, "insert"), (4, 1, "erase"), (5, 0, "attributes"), (6, 2, "attributes"), (7, 3, "erase"), (8, 7, "insert"), (9, 0, "attributes"), (10, 4, "erase")]
     rows = [(s, i, op, [1.0] if op == "insert" else None, None if op == "erase" else [2.0]) for s, i, op in log]
-    resolved = graph.stored(overlay.resolve(spark.createDataFrame(rows, "sequence long, id long, op string, v array<float>, attrs array<float>"), base), "log")
+    resolved = stored(overlay.resolve(spark.createDataFrame(rows, "sequence long, id long, op string, v array<float>, attrs array<float>"), base), "log")
     assert [r.accepted_no for r in resolved.orderBy("sequence").collect()] == [1, None, 2, 3, None, 4, 5, 6, None, 7]
     journal = overlay.journal_since(resolved, 3)
     overlay.validate_journal(journal, 3, 1, 2)  # rejected mutations leave holes in the sequence, not in the numbers
@@ -165,7 +166,7 @@ def test_every_range_finds_its_greedy_edges(seed):
 def test_neighbours_in_blocks_find_the_same_rows(spark):
     base = spark.createDataFrame([(i, generated(i)[0]) for i in range(300)], "id long, v array<float>")
     exactly = {(r.src, r.dst) for r in graph.neighbours(base, 5).collect()}
-    cells = {(r.src, r.dst) for r in graph.neighbours(base, 5, exact_rows=100).collect()}
+    cells = {(r.src, r.dst) for r in graph.neighbours(base, 5, block_rows=100).collect()}
     assert len(cells) > 1000 and len(exactly & cells) > 0.4 * len(exactly)
 
 
@@ -174,8 +175,8 @@ def test_neighbours_are_exact_beyond_the_bound(spark):
     base = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
     v = np.array([x for _, x in rows], dtype=np.float32).astype(float)
     want = {(i, k, int(j)) for i in range(600) for k, j in enumerate([j for j in np.lexsort((np.arange(600), ((v - v[i]) ** 2).sum(axis=1))) if j != i][:5])}
-    for exact_rows in (1000, 250):
-        assert {(r.src, r.pos, r.dst) for r in graph.neighbours(base, 5, exact_rows=exact_rows).collect()} == want
+    for block_rows in (1000, 250):
+        assert {(r.src, r.pos, r.dst) for r in graph.neighbours(base, 5, block_rows=block_rows).collect()} == want
 
 
 def test_graph_edits_keep_edges_valid(spark):
@@ -316,8 +317,8 @@ def test_sharded_graphs_at_the_scale_of_many_shards(spark):
     open_end = float("inf")
     queries = spark.createDataFrame([(i, v[i].tolist(), i % 2, [(10.0, 60.0) if i % 2 == 0 else (-open_end, open_end), (50.0, 150.0) if i % 2 else (-open_end, open_end)]) for i in range(0, 3000, 75)], "qid long, qv array<float>, nav_attr int, bounds array<struct<low:float,high:float>>")
     truth = {(r.qid, r.id) for r in exact.exact_topk(base, queries, 10, ["a0", "a1"]).collect()}
-    nodes = graph.stored(graph.sharded_nodes(base, ["a0", "a1"], [0, 1], 700), "nodes")
-    edges = graph.stored(graph.build_sharded(nodes, ef=32), "graph")
+    nodes = stored(graph.sharded_nodes(base, ["a0", "a1"], [0, 1], 700), "nodes")
+    edges = stored(graph.build_sharded(nodes, ef=32), "graph")
     assert edges.select("attr", "shard").distinct().count() == 10
     rows = search.walk_shards(nodes, edges, queries, ["a0", "a1"], 10, 64).collect()
     assert len({(r.qid, r.id) for r in rows} & truth) >= 0.9 * len(truth)

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
 from veldra.operators.exact import PAIR_QUERIES, candidates, ranked, typed
-from veldra.session import ship_package, stored
+from veldra.operators.knn import BLOCK_ROWS, exact_neighbours
+from veldra.session import ship_package
 
-#: Rows that are queries of one exact search (a broadcast of vectors); more are searched in several, each stored.
-EXACT_ROWS = 50_000
 #: Nodes of a shard are numbered from a multiple of this, in the order of their ranks.
 SHARD_SPAN = 1 << 32
 #: The share of rows that a short edge spans; such edges are kept first.
@@ -31,30 +30,9 @@ PRUNE_ONE_OF = 11
 EDGE = "src long, dst long, ll long, lu long, rl long, ru long"
 
 
-def neighbours(base: DataFrame, count: int, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """``src``, ``pos`` (from 0), ``dst``, ``dist``: the nearest other rows of every row, ties by id.
-
-    Exact at any size: blocks of about ``exact_rows`` rows, by the hash of the
-    id, are the queries of an exact search each. The work grows with the square
-    of the rows; what is shuffled and stored is ``count`` rows a row.
-    """
-    rows = base.select("id", "v")
-    if rows.limit(exact_rows + 1).count() <= exact_rows:
-        return _nearest(rows, rows, count)
-    rows = stored(rows, "rows")
-    blocks = -(-rows.count() // exact_rows)
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    out: DataFrame | None = None
-    for b in range(blocks):
-        found = stored(_nearest(rows, rows.where(block == b), count), "neighbours")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(rows: DataFrame, own: DataFrame, count: int) -> DataFrame:
-    near = candidates(rows, own.select(F.col("id").alias("qid"), F.col("v").alias("qv")), count + 1)
-    found = near.where("qid <> id").withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
-    return ranked(found, count).select(F.col("qid").alias("src"), (F.col("rank") - 1).alias("pos"), F.col("id").alias("dst"), "dist")
+def neighbours(base: DataFrame, count: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``src``, ``pos`` (from 0), ``dst``, ``dist``: the nearest other rows of every row, ties by id; exact, see ``knn.descent_neighbours`` for large tables."""
+    return exact_neighbours(base, count, block_rows)
 
 
 def compress_node(center: int, labels: np.ndarray, dists: np.ndarray, vectors: np.ndarray, n: int, most: int, alpha: float = 1.0) -> list[tuple[int, int, int, int, int]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import vectors
-from veldra.operators import dynamic, evaluate, exact, graph, hnsw, overlay, ranks, routing, search, strategies, summaries, workload
+from veldra.operators import dynamic, evaluate, exact, graph, hnsw, knn, overlay, ranks, routing, search, strategies, summaries, workload
 from veldra.plans import fixtures
 from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
 from veldra.session import scratch, stored
@@ -317,6 +317,12 @@ def graph_stats(spark, sf_dir):
     return graph.statistics(graph.symmetrised(fixed_edges(spark, sf_dir)[0]))
 
 
+@registered()
+def knn_descent(spark, sf_dir):
+    """Nearest rows of every row by descent over neighbours of neighbours."""
+    return knn.descent_neighbours(base(spark, sf_dir), 8)
+
+
 @registered()
 def graph_compress(spark, sf_dir):
     rows = base(spark, sf_dir)
