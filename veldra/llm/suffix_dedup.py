@@ -23,11 +23,12 @@ those at anchors, one for some twenty windows.
    run of the second at the depth that it reaches to the left.
 5. Each chunk is told the first document of its windows, and removes.
 
-A gram in more than ``HOT`` chunks sends no pieces but digests of its windows,
-which are dealt by their own content: frequent grams split into windows, and of
-one window a bucket gets one entry a chunk, however many documents hold it.
-Where the occurrences of a piece are, a chunk tells itself, by the same exchange
-but past the buckets.
+A gram in more than ``HOT`` chunks sends its pieces in parts of ``PART`` windows
+that are dealt by the bytes which all windows of a part hold, nearly a window's
+length, instead of by the gram: a frequent gram does not bring all that follows
+it to one bucket, and of what is really equal a bucket gets one entry a chunk,
+however many documents hold it. Where the occurrences of a piece are, a chunk
+tells itself, by the same exchange but past the buckets.
 """
 
 from __future__ import annotations
@@ -52,15 +53,15 @@ SHALLOW = 16
 #: Bytes of text in a chunk, and positions whose hashes are held at once.
 CHUNK_BYTES, BLOCK = 4 << 20, 1 << 19
 #: Bytes of all texts for one bucket of grams, and of pieces.
-GRAM_BUCKET, PIECE_BUCKET = 16 << 20, 8 << 20
-#: Chunks beyond which a gram's windows are dealt singly.
-HOT = 64
+GRAM_BUCKET, PIECE_BUCKET = 16 << 20, 4 << 20
+#: Chunks beyond which a gram's pieces are dealt in parts, and the windows of a part.
+HOT, PART = 128, 7
 #: Width of a sorted context in bytes: whole words that hold the longest one.
 WIDTH = 56
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Kinds of messages.
-PARKED, PIECES, WINDOWS = 0, 1, 2
+PARKED, PIECES = 0, 1
 MESSAGE = "bucket long, chunk long, kind int, payload binary"
 
 
@@ -145,13 +146,12 @@ class Chunk:
     def documents(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
 
-    def digests(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each window, as two numbers."""
-        a, b = np.full(len(windows), M2), np.full(len(windows), M3)
-        for shift in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-            word = np.ascontiguousarray(self.data[windows[:, None] + np.arange(shift, shift + 8)]).view("<u8")[:, 0]
-            a, b = mixed((a ^ word) * M1), mixed((b + word) * M2)
-        return a, b
+    def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """64 bits of the ``size`` bytes from each start, for dealing only."""
+        out = np.full(len(starts), M2)
+        for shift in (*range(0, size - 8, 8), size - 8):
+            out = mixed((out ^ self.data[starts[:, None] + np.arange(shift, shift + 8)].view("<u8")[:, 0]) * M1)
+        return out
 
 
 def gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -214,82 +214,72 @@ def send_pieces(table: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
     marks = marks.sort_by("bucket")
     bits_of = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), dtype=np.uint8), count=n.as_py()) for x, n in zip(marks[name], marks["n"])]).astype(bool)
     shared, frequent = bits_of("shared")[place], bits_of("frequent")[place]
-    at, firsts, sizes, hashes, frequent = at[shared], firsts[shared], sizes[shared], grams[place[shared]], frequent[shared]
+    at, firsts, sizes, dealt_by, frequent = at[shared], firsts[shared], sizes[shared], grams[place[shared]], frequent[shared]
     if not len(at):
         return kinds.empty_table()
+    if frequent.any():
+        at, firsts, sizes, dealt_by = in_parts(chunk, at, firsts, sizes, dealt_by, frequent)
 
     lengths = sizes + WINDOW - 1
-    body = chunk.data[spread(firsts, lengths)]
-    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())])
-    code = np.asarray(texts.dictionary_encode().indices).astype(np.int64)  # numbered as they first occur
+    code = distinct_texts(chunk.data[spread(firsts, lengths)], lengths)
     ids = chunk.numbers[chunk.documents(at)]
     order = np.argsort(code, kind="stable")
     begins = np.searchsorted(code[order], np.arange(code.max() + 2))
     own = order[begins[:-1]]  # a piece's first occurrence
     low, high = np.minimum.reduceat(ids[order], begins[:-1]), np.maximum.reduceat(ids[order], begins[:-1])
-    windows = np.repeat(np.arange(len(own)), np.where(frequent[own], sizes[own], 0))  # of frequent grams, the piece of each window
-    starts = spread(firsts[own[frequent[own]]], sizes[own[frequent[own]]])
-    a, b = chunk.digests(starts)
-    ranked = np.lexsort((b, a))
-    new = np.append(True, (np.diff(a[ranked]) != 0) | (np.diff(b[ranked]) != 0))[: len(ranked)]
-    window_code = np.empty(len(ranked), dtype=np.int64)
-    window_code[ranked] = np.cumsum(new) - 1
-    kept = ranked[new]
-    window_low, window_high = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    if len(kept):
-        cuts = np.flatnonzero(new)
-        window_low, window_high = np.minimum.reduceat(low[windows][ranked], cuts), np.maximum.reduceat(high[windows][ranked], cuts)
-
-    rows = []
-    for bucket, some in grouped(buckets_of(hashes[own], bits), np.flatnonzero(~frequent[own])):
+    rows = [(-1 - number, PARKED, pack(np.diff(begins).astype("<u4"), firsts[order].astype("<u4"), ids[order]))]
+    for bucket, some in grouped(buckets_of(dealt_by[own], bits)):
         held = own[some]
-        body = chunk.data[spread(firsts[held], lengths[held])]
-        rows.append((bucket, PIECES, pack(some.astype("<u4"), sizes[held].astype("u1"), (at[held] - firsts[held]).astype("u1"), low[some], high[some], body)))
-    for bucket, some in grouped(buckets_of(a[kept], bits), np.arange(len(kept))):
-        rows.append((bucket, WINDOWS, pack(some.astype("<u4"), a[kept[some]], b[kept[some]], window_low[some], window_high[some])))
-    per_piece = np.where(frequent[own], sizes[own], 0).astype("<u2")
-    rows.append((-1 - number, PARKED, pack(np.diff(begins).astype("<u4"), firsts[order].astype("<u4"), ids[order], per_piece, window_code.astype("<u4"))))
+        rows.append((bucket, PIECES, pack(some.astype("<u4"), sizes[held].astype("u1"), (at[held] - firsts[held]).astype("u1"), low[some], high[some], chunk.data[spread(firsts[held], lengths[held])])))
     return pa.Table.from_pylist([{"bucket": b, "chunk": number, "kind": k, "payload": p} for b, k, p in rows], kinds)
 
 
-def grouped(keys: np.ndarray, some: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The chosen places by their keys."""
-    order = some[np.argsort(keys[some], kind="stable")]
+def in_parts(chunk: Chunk, at: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, grams: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with those of frequent grams in parts of windows, by the bytes before the anchor, and what each part is dealt by."""
+    hot = np.flatnonzero(frequent)
+    reach = at[hot] - firsts[hot]  # bytes before the anchor that the first window has; the last has reach - sizes + 1
+    least, most = (reach - sizes[hot] + 1) // PART, reach // PART
+    part = spread(least, most - least + 1)
+    owner = np.repeat(np.arange(len(hot)), most - least + 1)
+    far = np.minimum(reach[owner], part * PART + PART - 1)
+    near = np.maximum((reach - sizes[hot] + 1)[owner], part * PART)
+    anchor = at[hot][owner]
+    common = chunk.hashes(anchor - part * PART, WINDOW - PART + 1)
+    rest = ~frequent
+    return tuple(np.concatenate(x) for x in ((at[rest], anchor), (firsts[rest], anchor - far), (sizes[rest], far - near + 1), (grams[rest], common)))
+
+
+def distinct_texts(body: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The number of each text, one after the other in ``body``; equal texts have one, numbered as they first occur."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+    return np.asarray(texts.dictionary_encode().indices).astype(np.int64)
+
+
+def grouped(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places of each key."""
+    order = np.argsort(keys, kind="stable")
     cuts = np.flatnonzero(np.diff(keys[order])) + 1
     return [(int(keys[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
 
 def resolve(table: pa.Table) -> pa.Table:
     """Answers of a bucket: for each chunk, the first document of its windows where that is before the last that has them."""
-    rows = []
-    for kind in (PIECES, WINDOWS):
-        held = table.filter(pa.compute.equal(table["kind"], kind))
-        if held.num_rows:
-            parts = [unpack(x.as_py()) for x in held["payload"]]
-            answers = (answer_pieces if kind == PIECES else answer_windows)(*(np.concatenate(x) for x in zip(*parts)), [len(p[0]) for p in parts])
-            rows += [{"chunk": c.as_py(), "kind": kind, "payload": p} for c, p in zip(held["chunk"], answers) if p is not None]
-    parked = table.filter(pa.compute.equal(table["kind"], PARKED)).select(["chunk", "kind", "payload"])
+    kind = table["kind"]
+    parked = table.filter(pa.compute.equal(kind, PARKED)).select(["chunk", "kind", "payload"])
+    held = table.filter(pa.compute.equal(kind, PIECES))
+    if not held.num_rows:
+        return parked
+    parts = [unpack(x.as_py()) for x in held["payload"]]
+    answers = answer_pieces(*(np.concatenate(x) for x in zip(*parts)), [len(p[0]) for p in parts])
+    rows = [{"chunk": c.as_py(), "kind": PIECES, "payload": p} for c, p in zip(held["chunk"], answers) if p is not None]
     return pa.concat_tables([parked, pa.Table.from_pylist(rows, parked.schema)])
 
 
-def answer_windows(code: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: list[int]) -> list[bytes | None]:
-    order = np.lexsort((b, a))
-    new = np.flatnonzero(np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
-    first = np.empty_like(low)
-    first[order] = np.repeat(np.minimum.reduceat(low[order], new), np.diff(new, append=len(order)))
-    out = []
-    for end, n in zip(np.cumsum(sizes), sizes):
-        own = np.arange(end - n, end)
-        own = own[first[own] < high[own]]
-        out.append(pack(code[own], first[own]) if len(own) else None)
-    return out
-
-
 def answer_pieces(code: np.ndarray, counts: np.ndarray, lefts: np.ndarray, low: np.ndarray, high: np.ndarray, body: np.ndarray, sizes: list[int]) -> list[bytes | None]:
     counts, lefts = counts.astype(np.int64), lefts.astype(np.int64)
     ends = np.cumsum(counts + WINDOW - 1)
-    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(code), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())])
-    piece = np.asarray(texts.dictionary_encode().indices).astype(np.int64)
+    piece = distinct_texts(body, counts + WINDOW - 1)
     order = np.argsort(piece, kind="stable")
     begins = np.searchsorted(piece[order], np.arange(piece.max() + 1))
     own = order[begins]
@@ -314,14 +304,18 @@ def first_documents(body: np.ndarray, starts: np.ndarray, counts: np.ndarray, le
     """The least id of each window of distinct pieces, one piece after the other, and where each piece's windows begin."""
     offsets = np.cumsum(counts) - counts
     first = np.repeat(low, counts)
-    right = context(body, starts + lefts, counts + WINDOW - 1 - lefts)
-    gram = np.unique(right[:, :GRAM].copy().view("V16")[:, 0], return_inverse=True)[1]
+    gram = body[(starts + lefts)[:, None] + np.arange(GRAM)].view("<u8")
+    order = np.lexsort((gram[:, 1], gram[:, 0]))
+    new = (np.diff(gram[order], axis=0, prepend=~gram[order[:1]]) != 0).any(axis=1)
+    gram = np.empty(len(order), dtype=np.int64)
+    gram[order] = np.cumsum(new) - 1
     several = np.flatnonzero(np.bincount(gram)[gram] > 1)  # of pieces alone with their gram nothing else is equal
     if not len(several):
         return first, offsets
-    gram, lefts, counts, low, offset = gram[several], lefts[several], counts[several], low[several], offsets[several]
-    left = context(body, (starts[several] + lefts), lefts, backwards=True)
-    forward, backward = deep_shallow(right[several], gram, GRAM), deep_shallow(left, gram, 0)
+    gram, lefts, counts, low, offset, anchor = gram[several], lefts[several], counts[several], low[several], offsets[several], (starts + lefts)[several]
+    right = context(body, anchor, counts + WINDOW - 1 - lefts)
+    left = context(body, anchor, lefts, backwards=True)
+    forward, backward = deep_shallow(right, gram, GRAM), deep_shallow(left, gram, 0)
     for reach in range(PLACES):  # bytes of a window before the anchor
         some = np.flatnonzero((lefts >= reach) & (lefts - reach < counts))
         key = runs_at(*forward, WINDOW - reach)[some] * (len(gram) + 1) + runs_at(*backward, reach)[some]
@@ -335,10 +329,11 @@ def first_documents(body: np.ndarray, starts: np.ndarray, counts: np.ndarray, le
 
 def context(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray, backwards: bool = False) -> np.ndarray:
     """Rows of the bytes from each start, or of those before it backwards, with zeros after their ends."""
-    lengths = np.minimum(lengths, WINDOW)
-    steps = np.arange(WIDTH)
-    place = starts[:, None] + (-1 - steps if backwards else steps)
-    return np.where(steps < lengths[:, None], body[np.clip(place, 0, max(0, len(body) - 1))], np.uint8(0)).astype(np.uint8)
+    out = np.zeros((len(starts), WIDTH), dtype=np.uint8)
+    for step in range(WINDOW):
+        some = np.flatnonzero(lengths > step)
+        out[some, step] = body[starts[some] - 1 - step if backwards else starts[some] + step]
+    return out
 
 
 def deep_shallow(rows: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,13 +438,9 @@ def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
     chunk = Chunk(table)
     begun, ended = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
 
-    def gone(starts: np.ndarray, sizes: np.ndarray) -> None:
-        begun.append(starts)
-        ended.append(starts + sizes + WINDOW - 1)
-
     kinds = np.asarray(answers["kind"]) if answers.num_rows else np.empty(0)
-    told = {k: [unpack(answers["payload"][int(i)].as_py()) for i in np.flatnonzero(kinds == k)] for k in (PARKED, PIECES, WINDOWS)}
-    for per, firsts, ids, sizes, codes in told[PARKED]:
+    told = {k: [unpack(answers["payload"][int(i)].as_py()) for i in np.flatnonzero(kinds == k)] for k in (PARKED, PIECES)}
+    for per, firsts, ids in told[PARKED]:
         begins, firsts = np.cumsum(per, dtype=np.int64) - per, firsts.astype(np.int64)
         for code, j, n, first in told[PIECES]:
             code = code.astype(np.int64)
@@ -457,19 +448,8 @@ def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
             run = np.repeat(np.arange(len(code)), per[code])
             later = ids[held] > first[run]
             held, run = held[later], run[later]
-            gone(firsts[held] + j[run], n[run].astype(np.int64))
-        if told[WINDOWS]:
-            least = np.full(int(codes.max(initial=0)) + 1, np.iinfo(np.int64).max)
-            for code, first in told[WINDOWS]:
-                least[code.astype(np.int64)] = first
-            sizes = sizes.astype(np.int64)
-            offset = np.cumsum(sizes) - sizes
-            piece = np.repeat(np.arange(len(per)), per)
-            frequent = np.flatnonzero(sizes[piece])
-            span = sizes[piece[frequent]]
-            holder, j = np.repeat(frequent, span), spread(np.zeros(len(frequent), dtype=np.int64), span)
-            later = ids[holder] > least[codes[offset[piece[holder]] + j].astype(np.int64)]
-            gone(firsts[holder[later]] + j[later], np.ones(int(later.sum()), dtype=np.int64))
+            begun.append(firsts[held] + j[run])
+            ended.append(firsts[held] + j[run] + n[run].astype(np.int64) + WINDOW - 1)
     covered = np.cumsum(np.bincount(np.concatenate(begun), minlength=chunk.size + 1) - np.bincount(np.concatenate(ended), minlength=chunk.size + 1))[: chunk.size] > 0
     edge = np.zeros(chunk.size + 1, dtype=bool)
     edge[chunk.bounds] = True
