@@ -53,3 +53,49 @@ def test_every_route_gives_the_exact_rows(spark, whole, nulls):
             assert found == want
     shards = hnsw.sharded(rows, 150)
     assert ids(hnsw.search(shards, hnsw.build(shards), wanted, 50, 400, NAMES)) == want
+
+
+def clustered(spark, n, dim=8, seed=4):
+    chance = np.random.default_rng(seed)
+    centres = chance.normal(scale=10, size=(10, dim))
+    v = centres[chance.integers(0, 10, n)] + chance.normal(size=(n, dim))
+    rows = [(i, [float(x) for x in v[i]], None if i % 17 == 3 else i * 7 % n, float(chance.integers(0, 50))) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, v array<float>, a0 long, a1 float").repartition(3), v
+
+
+def test_a_stored_index_skips_shards_and_loses_nothing(spark, tmp_path):
+    from veldra.operators import index
+
+    rows, v = clustered(spark, 1500)
+    index.build(rows, NAMES, [0, 1], str(tmp_path / "i"), shard_rows=100, ef=32)
+    opened = index.Index(spark, str(tmp_path / "i"))
+    asked = [(q, [float(x) for x in v[q * 30] + 0.1], q % 2, [(0.0, 1500.0), (5.0 + q % 3, 40.0)]) for q in range(40)]
+    wanted = spark.createDataFrame(asked, f"qid long, qv array<float>, nav_attr int, bounds {BOUNDS.format('double')}")
+    want = ids(exact.exact_topk(rows, wanted, 10, NAMES))
+    found = opened.search(wanted, 10, 64).collect()
+    every = opened.search(wanted, 10, 64, prune=False).collect()
+    key = lambda r: (r.qid, r.rank, r.id, r.dist)
+    assert sorted(map(key, found)) == sorted(map(key, every))
+    assert sorted(map(key, opened.search(wanted, 10, 64, pairs=7).collect())) == sorted(map(key, every))
+    share = sum({r.qid: r.shards for r in found}.values()) / (40 * opened.meta.shards)
+    assert share < 0.4 and {r.shards for r in every} == {opened.meta.shards}
+    assert sum(r.id in want[r.qid] for r in found) >= 0.95 * sum(map(len, want.values()))
+    plan = spark.read.parquet(f"{tmp_path}/i/graphs").where(F.col("cell").isin([0]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan
+
+
+def test_an_index_of_no_rows_and_of_missing_shards(spark, tmp_path):
+    import shutil
+
+    from veldra.operators import index
+
+    rows, _ = clustered(spark, 60)
+    index.build(rows.where("false"), NAMES, [0], str(tmp_path / "e"), shard_rows=10)
+    wanted = spark.createDataFrame([(0, [0.0] * 8, 0, [(0.0, 9.0), (0.0, 90.0)])], f"qid long, qv array<float>, nav_attr int, bounds {BOUNDS.format('double')}")
+    assert index.Index(spark, str(tmp_path / "e")).search(wanted, 5, 16).count() == 0
+    index.build(rows, NAMES, [0], str(tmp_path / "f"), shard_rows=1000)
+    assert index.Index(spark, str(tmp_path / "f")).search(wanted.where("false"), 5, 16).count() == 0
+    shutil.rmtree(tmp_path / "f" / "shards")
+    rows.limit(0).selectExpr("0L as shard", "0 as cell").write.parquet(str(tmp_path / "f" / "shards"))
+    with pytest.raises(ValueError, match="missing"):
+        index.Index(spark, str(tmp_path / "f"))

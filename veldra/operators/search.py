@@ -36,6 +36,13 @@ class Graph:
         self.edges = edges[order]
         self.first = np.searchsorted(self.edges[:, 0], np.arange(len(ids) + 1)) if len(edges) else np.zeros(len(ids) + 1, dtype=np.int64)
 
+    @classmethod
+    def stored(cls, ids: np.ndarray, vectors: np.ndarray, offsets: np.ndarray, edges: np.ndarray) -> Graph:
+        """A graph of edges that are sorted by source already: ``dst`` and the envelope, and where each source's begin."""
+        graph = cls.__new__(cls)
+        graph.ids, graph.vectors, graph.first, graph.edges = ids, vectors, offsets, np.concatenate([np.zeros((len(edges), 1), dtype=edges.dtype), edges], axis=1)
+        return graph
+
     def indexed(self, rank: int) -> bool:
         return self.first[rank + 1] > self.first[rank]
 

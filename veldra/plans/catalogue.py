@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldra.functions import vectors
-from veldra.operators import dynamic, evaluate, exact, graph, hnsw, knn, overlay, ranks, routing, search, strategies, summaries, workload
+from veldra.functions import predicates, vectors
+from veldra.operators import dynamic, evaluate, exact, graph, hnsw, index, knn, overlay, ranks, routing, search, strategies, summaries, workload
 from veldra.plans import fixtures
 from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
 from veldra.session import scratch, stored
@@ -344,6 +344,38 @@ def routed(spark: SparkSession, sf_dir: str, indexed: list[int]) -> DataFrame:
     return wanted.join(routing.choose_navigation(spans(spark, sf_dir), wanted, indexed).select("qid", "nav_attr"), "qid")
 
 
+#: Rows of a shard of the stored index: few, so that the tables give several shards.
+INDEX_ROWS = 200
+
+
+def stored_index(spark: SparkSession, sf_dir: str, shard_rows: int = INDEX_ROWS) -> index.Index:
+    path = scratch(spark, "index")
+    index.build(base(spark, sf_dir), ATTRIBUTES, [0, 1, 2], path, shard_rows)
+    return index.Index(spark, path)
+
+
+@registered()
+def index_search(spark, sf_dir):
+    """Ranges navigated over a stored index of clustered shards, with the number of shards that each query walks."""
+    return stored_index(spark, sf_dir).search(routed(spark, sf_dir, [0, 1, 2]), K, 128)
+
+
+@registered()
+def index_search_hard_prune(spark, sf_dir):
+    return stored_index(spark, sf_dir).search(routed(spark, sf_dir, [0, 1, 2]), K, 128, hard_prune=True)
+
+
+@registered("SELECT q.qid, 0::BIGINT AS outside_n, 0::BIGINT AS only_pruned_n FROM q")
+def index_audit(spark, sf_dir):
+    """Of each query, results outside its ranges, and results that a walk of all shards does not have."""
+    opened, wanted, rows = stored_index(spark, sf_dir), routed(spark, sf_dir, [0, 1, 2]), base(spark, sf_dir)
+    found = stored(opened.search(wanted, K, 128).select("qid", "id"), "found")
+    every = opened.search(wanted, K, 128, prune=False).select("qid", "id", F.lit(True).alias("all_have"))
+    judged = exact.with_queries(found.join(rows.select("id", *ATTRIBUTES), "id"), wanted.select("qid", "bounds")).join(every, ["qid", "id"], "left")
+    counts = judged.groupBy("qid").agg(F.count_if(~predicates.in_ranges([F.col(a) for a in ATTRIBUTES], F.col("bounds"))).alias("outside_n"), F.count_if(F.col("all_have").isNull()).alias("only_pruned_n"))
+    return wanted.select("qid").join(counts, "qid", "left").na.fill(0)
+
+
 def _searched(spark: SparkSession, sf_dir: str, indexed: tuple[int, ...] = (0, 1, 2), **how) -> DataFrame:
     nodes, edges = sharded_graphs(spark, sf_dir, list(indexed))
     wanted = routed(spark, sf_dir, list(indexed))
