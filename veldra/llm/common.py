@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -43,6 +44,14 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(start)
 
 
+def return_blocks() -> None:
+    """Give memory that a kernel has freed back to the system: a worker goes on to other groups, and the allocators would keep it for them."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 class Known:
     """A bounded table of what a worker knows of pre-tokens: the number of pieces and, if kept, their ids.
 

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldra.llm.common import return_blocks
 from veldra.session import ship_package
 
 #: Bytes of a string that counts as repeated.
@@ -51,11 +52,11 @@ PLACES = WINDOW - GRAM + 1
 #: Bytes after a gram, and before it, that multikey quicksort orders; blind tries order the rest.
 SHALLOW = 16
 #: Bytes of text in a chunk, and positions whose hashes are held at once.
-CHUNK_BYTES, BLOCK = 4 << 20, 1 << 19
+CHUNK_BYTES, BLOCK = 2 << 20, 1 << 19
 #: Bytes of all texts for one bucket of grams, and of pieces.
-GRAM_BUCKET, PIECE_BUCKET = 16 << 20, 4 << 20
+GRAM_BUCKET, PIECE_BUCKET = 16 << 20, 2 << 20
 #: Chunks beyond which a gram's pieces are dealt in parts, and the windows of a part.
-HOT, PART = 128, 7
+HOT, PART = 256, 7
 #: Width of a sorted context in bytes: whole words that hold the longest one.
 WIDTH = 56
 
@@ -87,6 +88,11 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts.astype(np.int64) - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of all slices, one after the other; places are laid out for some thousand slices at once."""
+    return np.concatenate([data[spread(starts[at : at + 8192], sizes[at : at + 8192])] for at in range(0, len(starts), 8192)] or [data[:0]])
+
+
 def words_at(data: np.ndarray, shift: int, n: int) -> np.ndarray:
     """The eight bytes from every position, as numbers."""
     return np.ndarray(n, dtype="<u8", buffer=data, offset=shift, strides=(1,))
@@ -221,7 +227,7 @@ def send_pieces(table: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
         at, firsts, sizes, dealt_by = in_parts(chunk, at, firsts, sizes, dealt_by, frequent)
 
     lengths = sizes + WINDOW - 1
-    code = distinct_texts(chunk.data[spread(firsts, lengths)], lengths)
+    code = distinct_texts(gathered(chunk.data, firsts, lengths), lengths)
     ids = chunk.numbers[chunk.documents(at)]
     order = np.argsort(code, kind="stable")
     begins = np.searchsorted(code[order], np.arange(code.max() + 2))
@@ -230,7 +236,7 @@ def send_pieces(table: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
     rows = [(-1 - number, PARKED, pack(np.diff(begins).astype("<u4"), firsts[order].astype("<u4"), ids[order]))]
     for bucket, some in grouped(buckets_of(dealt_by[own], bits)):
         held = own[some]
-        rows.append((bucket, PIECES, pack(some.astype("<u4"), sizes[held].astype("u1"), (at[held] - firsts[held]).astype("u1"), low[some], high[some], chunk.data[spread(firsts[held], lengths[held])])))
+        rows.append((bucket, PIECES, pack(some.astype("<u4"), sizes[held].astype("u1"), (at[held] - firsts[held]).astype("u1"), low[some], high[some], gathered(chunk.data, firsts[held], lengths[held]))))
     return pa.Table.from_pylist([{"bucket": b, "chunk": number, "kind": k, "payload": p} for b, k, p in rows], kinds)
 
 
@@ -450,17 +456,20 @@ def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
             held, run = held[later], run[later]
             begun.append(firsts[held] + j[run])
             ended.append(firsts[held] + j[run] + n[run].astype(np.int64) + WINDOW - 1)
-    covered = np.cumsum(np.bincount(np.concatenate(begun), minlength=chunk.size + 1) - np.bincount(np.concatenate(ended), minlength=chunk.size + 1))[: chunk.size] > 0
-    edge = np.zeros(chunk.size + 1, dtype=bool)
-    edge[chunk.bounds] = True
-    before, after = np.append(False, covered), np.append(covered, False)
-    starts, ends = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
+    starts, ends = np.concatenate(begun), np.concatenate(ended)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.append(True, (starts[1:] > ends[:-1]) | (np.diff(chunk.documents(starts)) > 0))[: len(starts)])  # spans that touch are one
+    starts, ends = starts[new], ends[np.append(new[1:], len(ends)).astype(np.int64) - 1] if len(new) else ends
     document = chunk.documents(starts)
     base = chunk.bounds[document]
     spans = pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["start", "end"])
     per_document = np.searchsorted(document, np.arange(len(chunk.ids) + 1)).astype(np.int32)
-    rest = np.append(0, np.cumsum(~covered))[chunk.bounds].astype(np.int32)
-    kept = pa.BinaryArray.from_buffers(pa.binary(), len(chunk.ids), [None, pa.py_buffer(rest.tobytes()), pa.py_buffer(chunk.data[: chunk.size][~covered].tobytes())])
+    removed = np.bincount(document, weights=ends - starts, minlength=len(chunk.ids)).astype(np.int64)
+    rest = (chunk.bounds - np.append(0, np.cumsum(removed))).astype(np.int32)
+    edges = np.append(0, np.stack([starts, ends], axis=1).ravel())  # kept and removed bytes take turns
+    kept_bytes = chunk.data[: chunk.size][np.repeat(np.arange(len(edges)) % 2 == 0, np.diff(np.append(edges, chunk.size)))]
+    kept = pa.BinaryArray.from_buffers(pa.binary(), len(chunk.ids), [None, pa.py_buffer(rest), pa.py_buffer(kept_bytes)])
     return pa.table({"doc_id": chunk.ids, "n_bytes": pa.array(np.diff(chunk.bounds)), "spans": pa.ListArray.from_arrays(pa.array(per_document), spans), "kept": kept})
 
 
@@ -485,11 +494,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
     gram_bits, piece_bits = _bits(size, GRAM_BUCKET), _bits(size, PIECE_BUCKET)
 
-    def call(kernel: Callable, *settings: int) -> Callable:
-        return lambda *tables: kernel(*tables, *settings)
+    def frugal(kernel: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+        def call(*tables: pa.Table) -> pa.Table:
+            out = kernel(*tables)
+            return_blocks()
+            return out
+
+        return call
 
-    grams = dealt.groupBy("chunk").applyInArrow(lambda t: send_grams(t, gram_bits), "bucket long, chunk long, grams binary, many binary")
-    marks = grams.groupBy("bucket").applyInArrow(lambda t: mark_grams(t, hot), "chunk long, bucket long, n long, shared binary, frequent binary")
-    pieces = dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(lambda t, m: send_pieces(t, m, piece_bits), MESSAGE)
-    answers = pieces.groupBy("bucket").applyInArrow(resolve, "chunk long, kind int, payload binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, RESULT)
+    one, two = lambda kernel: lambda t: frugal(kernel)(t), lambda kernel: lambda t, other: frugal(kernel)(t, other)
+    grams = dealt.groupBy("chunk").applyInArrow(one(lambda t: send_grams(t, gram_bits)), "bucket long, chunk long, grams binary, many binary")
+    marks = grams.groupBy("bucket").applyInArrow(one(lambda t: mark_grams(t, hot)), "chunk long, bucket long, n long, shared binary, frequent binary")
+    pieces = dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(two(lambda t, m: send_pieces(t, m, piece_bits)), MESSAGE)
+    answers = pieces.groupBy("bucket").applyInArrow(one(resolve), "chunk long, kind int, payload binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(two(remove), RESULT)
