@@ -41,6 +41,13 @@ def test_sample_is_bounded_and_keeps_the_held_out_apart(spark, docs_of):
     assert every.get(0, 1) == 1 and set(every) <= set(range(40))
 
 
+def test_repeated_labelled_ids_stay_within_the_limit(spark, docs_of):
+    docs = docs_of([(i % 3, f"text {i}") for i in range(60)])
+    labels = labels_of(spark, [(0, 0, 1), (1, 0, 0), (2, 0, 1), (2, 0, 0)])
+    rows = labelled_sample(docs, labels, "toxic", F.lit(True), 2).collect()
+    assert len(rows) == 2 and sorted(rows) == sorted(labelled_sample(docs.repartition(7), labels, "toxic", F.lit(True), 2).collect())
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_model])
 def test_odd_texts_are_scored(spark, docs_of, module):
     rnd = random.Random(4)

@@ -39,9 +39,11 @@ def runs(rows: DataFrame, max_order: int) -> DataFrame:
     if max_order == 1:
         return placed.select("row", "doc_id", F.when(F.col("word").isNotNull(), 1).alias("ord"), F.col("word").alias("run"))
     order = Window.partitionBy("row", "doc_id").orderBy("pos")
-    following = [F.col("word"), *[F.lead("word", k).over(order) for k in range(1, max_order)]]
-    longer = [F.when(following[n - 1].isNotNull(), F.struct(F.lit(n).alias("ord"), F.concat_ws(" ", *following[:n]).alias("run"))) for n in range(1, max_order + 1)]
-    return placed.select("row", "doc_id", F.explode_outer(F.array(*longer)).alias("x")).select("row", "doc_id", "x.ord", "x.run").where("ord is not null or run is null")
+    led = placed.withColumns({f"next{k}": F.lead("word", k).over(order) for k in range(1, max_order)})
+    following = ["word", *[f"next{k}" for k in range(1, max_order)]]
+    longer = [F.when(F.col(following[n - 1]).isNotNull(), F.struct(F.lit(n).alias("ord"), F.concat_ws(" ", *following[:n]).alias("run"))) for n in range(1, max_order + 1)]
+    each = led.select("row", "doc_id", "word", F.explode(F.array(*longer)).alias("x")).where(F.col("x").isNotNull() | F.col("word").isNull())
+    return each.select("row", "doc_id", "x.ord", "x.run")
 
 
 def bucket(buckets: int) -> Column:

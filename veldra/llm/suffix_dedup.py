@@ -146,8 +146,9 @@ class Chunk:
         return join(found), join(firsts), join(sizes)
 
     def grams(self, at: np.ndarray) -> np.ndarray:
+        """What stands for the anchors' grams: not the hashes that chose them, which are all low."""
         body = self.data[at[:, None] + np.arange(GRAM)].view("<u8")
-        return gram_hash(body[:, 0], body[:, 1])
+        return mixed(gram_hash(body[:, 0], body[:, 1]) * M2)
 
     def documents(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1

@@ -44,13 +44,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     """``doc_id``, ``text`` and ``label`` of at most ``limit`` labelled documents, those whose hashed ids come first.
 
     ``usable`` is a condition on the column ``doc_id``. Null labels don't
-    count; of several labels of an id the largest does. The chosen ids are at
-    most ``limit`` rows of 12 bytes, and so they are broadcast to one scan.
+    count; of several labels of an id the largest does, and of several rows of
+    an id the one whose text has the least hash, the least of equals. The chosen
+    ids are at most ``limit`` rows of 12 bytes, and so they are broadcast to one
+    scan; of an id's rows one is left before the shuffle.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = rows.where(usable).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    first = lambda frame: frame.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = first(rows.where(usable).groupBy("doc_id").agg(F.max("label").alias("label")))
+    found = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"), F.first("label").alias("label"))
+    return found.select("doc_id", "one.text", "label")
 
 
 def held_out(divisor: int, remainder: int) -> Column:
