@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import PAIR_QUERIES, candidates, ranked, typed
+from veldra.operators.exact import candidates, ranked, typed
 from veldra.operators.knn import BLOCK_ROWS, exact_neighbours
 from veldra.session import ship_package
 
@@ -139,12 +139,29 @@ def pruned(edges: DataFrame, n: int | Column) -> DataFrame:
 
 
 def eligible(edges: DataFrame, query_ranges: DataFrame, n: int, small_share: float = 0.02) -> DataFrame:
-    """``qid``, ``src``, ``dst`` of edges usable for stated queries ``qid``, ``lo``, ``hi``; within small ranges envelopes are not tested."""
-    inside = F.col("src").between(F.col("lo"), F.col("hi")) & F.col("dst").between(F.col("lo"), F.col("hi"))
-    fits = F.col("lo").between(F.col("ll"), F.col("lu")) & F.col("hi").between(F.col("rl"), F.col("ru"))
-    small = (F.col("hi") - F.col("lo") + 1) < F.lit(small_share * n)
-    few = query_ranges.limit(PAIR_QUERIES + 1).count() <= PAIR_QUERIES
-    return edges.join(F.broadcast(query_ranges) if few else query_ranges, inside & (small | fits)).select("qid", "src", "dst")
+    """``qid``, ``src``, ``dst`` of edges usable for stated queries ``qid``, ``lo``, ``hi``; within small ranges envelopes are not tested.
+
+    A query is a point (lo, hi) and an edge a box of such points, or two: one
+    for small ranges, which both ends must lie in, and its envelope for others.
+    A box lies in at most four cells of the grid whose cells are powers of two
+    no smaller than its sides; a point lies in one cell of each grid that has
+    boxes. Points and boxes are joined by cell, and tested exactly there.
+    """
+    width = max(0, -int(-(small_share * n) // 1) - 1)  # the longest small range
+    first, last = F.least("src", "dst"), F.greatest("src", "dst")
+    envelope = F.struct(F.lit(False).alias("small"), F.col("ll").alias("a"), F.least("lu", first).alias("b"), F.greatest("rl", last).alias("c"), F.col("ru").alias("d"))
+    narrow = F.struct(F.lit(True).alias("small"), (last - width + 1).alias("a"), first.alias("b"), last.alias("c"), (first + width - 1).alias("d"))
+    cast = "struct<small:boolean,a:bigint,b:bigint,c:bigint,d:bigint>"
+    boxes = edges.select("src", "dst", F.explode(F.array(envelope.cast(cast), narrow.cast(cast))).alias("x")).select("src", "dst", "x.*").where("a <= b and c <= d")
+    level = lambda low, high: F.length(F.conv(F.col(high) - F.col(low), 10, 2)).cast("int")
+    cells = lambda low, high, size: F.explode(F.sequence(F.expr(f"shiftright({low}, {size})"), F.expr(f"shiftright({high}, {size})")))
+    placed = boxes.withColumns({"g": level("a", "b"), "h": level("c", "d")}).withColumn("p", cells("a", "b", "g")).withColumn("q", cells("c", "d", "h"))
+    grids = F.array(*[F.struct(F.lit(r.g).alias("g"), F.lit(r.h).alias("h")) for r in placed.select("g", "h").distinct().collect()] or [F.lit(None).cast("struct<g:int,h:int>")])  # at most 64 x 64
+    points = query_ranges.select("qid", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.explode(grids).alias("x")).where("x is not null")
+    points = points.select("qid", "lo", "hi", (F.col("hi") - F.col("lo") + 1 < F.lit(small_share * n)).alias("small"), "x.g", "x.h")
+    points = points.withColumns({"p": F.expr("shiftright(lo, g)"), "q": F.expr("shiftright(hi, h)")})
+    met = placed.join(points, ["small", "g", "h", "p", "q"])
+    return met.where(F.col("lo").between(F.col("a"), F.col("b")) & F.col("hi").between(F.col("c"), F.col("d"))).select("qid", "src", "dst")
 
 
 def edge_boxes(edges: DataFrame, ranks: DataFrame, primary: int, n: int) -> DataFrame:

@@ -56,15 +56,18 @@ def filter_ranges(filters: DataFrame) -> DataFrame:
 def rank_ranges(values: DataFrame, filters: DataFrame) -> DataFrame:
     """``qid``, ``attr``, ``lo``, ``hi``, ``span``: closed rank ranges of value ranges, (1, 0) if empty.
 
-    Values are counted first, so that what meets the broadcast queries is one
-    row per distinct value; only sums per query leave a task.
+    Values and bounds are merged in one order, a low end before the values that
+    equal it and a high end after them; the running count of values at an end
+    is its rank. Values are counted first, so that one row per distinct value
+    is ordered: work grows with values and queries, not with their product.
+    Null values are in no range, a null low end is open, a null high end holds nothing.
     """
-    counts = values.groupBy("attr", "value").agg(F.count("*").alias("n"))
+    counts = values.where("value is not null").groupBy("attr", "value").agg(F.count("*").alias("n"))
     wanted = filter_ranges(filters)
-    both = counts.join(F.broadcast(wanted), "attr", "right")
-    below = F.coalesce(F.sum(F.when(F.col("value") < F.col("low"), F.col("n"))), F.lit(0))
-    upto = F.coalesce(F.sum(F.when(F.col("value") <= F.col("high"), F.col("n"))), F.lit(0))
-    found = both.groupBy("qid", "attr").agg(below.alias("lo"), (upto - 1).alias("hi"))
+    ends = [wanted.select("attr", F.col(end).alias("value"), F.lit(side).alias("side"), F.lit(0).cast("long").alias("n"), "qid") for end, side in (("low", 0), ("high", 2))]
+    rows = counts.select("attr", "value", F.lit(1).alias("side"), "n", F.lit(None).cast("long").alias("qid")).unionByName(ends[0]).unionByName(ends[1])
+    placed = running_totals(rows, ["value", "side"], {"before": F.col("n")}, ["attr"]).where("side <> 1")
+    found = placed.groupBy("qid", "attr").agg(F.max(F.when(F.col("side") == 0, F.col("before"))).alias("lo"), (F.max(F.when(F.col("side") == 2, F.col("before"))) - 1).alias("hi"))
     empty = F.col("lo") > F.col("hi")
     return found.select("qid", "attr", F.when(empty, 1).otherwise(F.col("lo")).cast("long").alias("lo"), F.when(empty, 0).otherwise(F.col("hi")).cast("long").alias("hi")).withColumn("span", F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0).cast("long")))
 

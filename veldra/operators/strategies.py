@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions.predicates import in_ranges
 from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import candidates, pairs, ranked, with_queries
+from veldra.operators.exact import candidates, exact_topk, pairs, ranked, with_queries
 
 
 def range_filter(base: DataFrame, queries: DataFrame, attributes: list[str], masked: bool = False) -> DataFrame:
@@ -26,17 +26,14 @@ def legal_counts(base: DataFrame, queries: DataFrame, attributes: list[str]) ->
 def prefilter(base: DataFrame, queries: DataFrame, primary: DataFrame, attributes: list[str], k: int) -> DataFrame:
     """``qid``, ``scanned`` (in the primary range), ``passed`` (in all ranges), ``rank``, ``id``; a query without rows has one row of nulls.
 
-    The primary slice comes first; only rows of it that pass are measured.
+    The primary slice comes first and is only counted; what is measured is at most k rows a query and task, of those that pass.
     """
     wanted = queries.select("qid", "bounds").join(primary, "qid").select("qid", "bounds", "primary_attr")
-    value = F.get(F.array(*[F.col(a).cast("float") for a in attributes]), F.col("primary_attr"))
-    own = F.get("bounds", F.col("primary_attr"))
-    passes = in_ranges([F.col(a) for a in attributes], F.col("bounds"))
-    in_slice = value.between(own["low"], own["high"])
+    masks = F.transform(F.array(*[F.lit(i) for i in range(len(attributes))]), lambda i: i == F.col("primary_attr"))
+    columns = [F.col(a) for a in attributes]
+    in_slice, passes = in_ranges(columns, F.col("bounds"), masks), in_ranges(columns, F.col("bounds"))
     counts = pairs(base.select("id", *attributes), wanted, in_slice).groupBy("qid").agg(F.count("*").alias("scanned"), F.count_if(passes).alias("passed"))
-    sliced = pairs(base.select("id", "v", *attributes), wanted, in_slice).where(passes).select("qid", "id", "v")
-    measured = with_queries(sliced, queries.select("qid", "qv")).select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
-    top = ranked(measured, k).select("qid", "rank", "id")
+    top = exact_topk(base, queries, k, attributes).select("qid", "rank", "id")
     counted = queries.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.coalesce("passed", F.lit(0)).alias("passed"))
     return counted.join(top, "qid", "left")
 

@@ -422,8 +422,9 @@ def hybrid_topk(spark, sf_dir):
     """Each query by the strategy that its number of legal rows chooses."""
     rows, wanted = base(spark, sf_dir), routed(spark, sf_dir, [0, 1, 2])
     nodes, edges = sharded_graphs(spark, sf_dir, [0, 1, 2])
-    walked = search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128)
-    return search.hybrid(walked, rows, stored(hybrid_route(spark, sf_dir).select("qid", "choice"), "choices"), wanted, K, ATTRIBUTES)
+    choices = stored(hybrid_route(spark, sf_dir).select("qid", "choice"), "choices")
+    walked = search.walk_shards(nodes, edges, wanted.join(choices.where("choice = 'graph'"), "qid", "left_semi"), ATTRIBUTES, K, 128)
+    return search.hybrid(walked, rows, choices, wanted, K, ATTRIBUTES)
 
 
 def _one_graph(spark: SparkSession, sf_dir: str, bounds: Column, whole: bool) -> DataFrame:
@@ -467,9 +468,9 @@ def hnsw_postfilter(spark, sf_dir):
     """The 64 nearest rows of the index, and of these the nearest that pass."""
     rows, links = layered(spark, sf_dir)
     wanted = queries(spark, sf_dir)
-    legal = strategies.range_filter(rows, wanted, ATTRIBUTES)
-    near = hnsw.search(rows, links, wanted, 64, 128).drop("rank").join(legal, ["qid", "id"], "left_semi")
-    return exact.ranked(near, K).select("qid", "rank", "id", "dist")
+    near = hnsw.search(rows, links, wanted, 64, 128).drop("rank").join(rows.select("id", *ATTRIBUTES), "id")
+    judged = exact.with_queries(near, wanted.select("qid", "bounds")).where(predicates.in_ranges([F.col(a) for a in ATTRIBUTES], F.col("bounds")))
+    return exact.ranked(judged, K).select("qid", "rank", "id", "dist")
 
 
 # Evaluation
