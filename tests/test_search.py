@@ -99,3 +99,24 @@ def test_an_index_of_no_rows_and_of_missing_shards(spark, tmp_path):
     rows.limit(0).selectExpr("0L as shard", "0 as cell").write.parquet(str(tmp_path / "f" / "shards"))
     with pytest.raises(ValueError, match="missing"):
         index.Index(spark, str(tmp_path / "f"))
+
+
+def test_recall_where_every_attribute_has_a_range(spark, sf_dir):
+    from veldra.plans import catalogue
+
+    rows = {(r.profile, r.method, r.ef): r.recall for r in catalogue.walk_recall(spark, sf_dir).collect()}
+    profiles = {p for p, _, _ in rows}
+    assert len(rows) == 2 * len(catalogue.REPORTED_EF) * len(profiles)
+    assert all(rows[p, "bridge", 128] >= 0.9 for p in profiles)
+    assert sum(rows[p, "hard_prune", 16] for p in profiles) <= sum(rows[p, "bridge", 128] for p in profiles)
+
+
+def test_few_admitted_rows_are_measured_all():
+    chance = np.random.default_rng(8)
+    v = chance.normal(size=(500, 6))
+    lone = search.Graph(np.arange(500), v, np.empty((0, 6), dtype=np.int64))  # without an edge a walk finds its starts only
+    admitted = chance.random(500) < 0.2
+    inside = np.flatnonzero(admitted[100:401]) + 100
+    want = inside[np.argsort(((v[inside] - v[7]) ** 2).sum(axis=1))[:10]].tolist()
+    assert lone.walk(v[7], 100, 400, admitted, 10, 16, probes=64)[0] == want
+    assert lone.walk(v[7], 100, 400, admitted, 10, 16, probes=64, scan_ef=0)[0] != want

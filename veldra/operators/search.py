@@ -23,8 +23,10 @@ from veldra.session import ship_package
 SMALL_SHARE = 0.02
 #: Steps to the right that a seed looks for a row of the graph, and rows that are tried from the left end if none is found.
 SEED_STEPS, SEED_SCAN = 64, 4096
-#: Rows spaced over a range of which the nearest start a walk, and how many do.
+#: Admitted rows spaced over a range of which the nearest start a walk, and how many do.
 PROBES, PROBE_SEEDS = 256, 8
+#: Admitted rows, as a multiple of ef, up to which they are measured all instead of walked to.
+SCAN_EF = 8
 
 
 class Graph:
@@ -57,7 +59,7 @@ class Graph:
             out = [r for r in range(left, min(right, left + SEED_SCAN) + 1) if self.indexed(r)][:1]
         return out
 
-    def walk(self, query: np.ndarray, left: int, right: int, admitted: np.ndarray, k: int, ef: int, hard_prune: bool = False, probes: int = 0) -> tuple[list[int], int, int]:
+    def walk(self, query: np.ndarray, left: int, right: int, admitted: np.ndarray, k: int, ef: int, hard_prune: bool = False, probes: int = 0, scan_ef: int = SCAN_EF) -> tuple[list[int], int, int]:
         """Ranks of at most k admitted rows, nearest first, with the numbers of distances and hops.
 
         A reached row enters the exploration set if that has room or the row is
@@ -65,11 +67,17 @@ class Graph:
         exploration set and is ``admitted``. Rows that are not are bridges, unless ``hard_prune`` keeps them out altogether. The walk ends
         when both sets are full and the next row is farther than all explored.
         It starts at four places of the range and, with ``probes``, at the
-        nearest of so many rows spaced evenly over it: links lead to near rows
-        only, and do not join clusters that lie apart.
+        nearest of so many admitted rows spaced evenly over it: links lead to
+        near rows only, and do not join clusters that lie apart. Where fewer
+        rows are admitted than a walk would measure anyway, at most ``scan_ef``
+        times ef, they are measured all, but for a walk without ``probes``.
         """
         if left > right or k < 1:
             return [], 0, 0
+        inside = np.flatnonzero(admitted[left : right + 1]) + left if probes else None
+        if inside is not None and len(inside) <= scan_ef * ef:
+            gaps = ((self.vectors[inside] - query) ** 2).sum(axis=1)
+            return inside[np.lexsort((self.ids[inside], gaps))[:k]].tolist(), len(inside), 0
         small = right - left + 1 < SMALL_SHARE * len(self.ids)
         seen: set[int] = set()
         frontier: list[tuple[float, int]] = []
@@ -101,8 +109,8 @@ class Graph:
 
         placed: dict[tuple[float, int], int] = {}
         start = np.array(self.seeds(left, right), dtype=np.int64)
-        if probes:
-            spaced = np.unique(np.linspace(left, right, min(probes, right - left + 1)).astype(np.int64))
+        if inside is not None:
+            spaced = inside[np.unique(np.linspace(0, len(inside) - 1, min(probes, len(inside))).astype(np.int64))]
             gaps = ((self.vectors[spaced] - query) ** 2).sum(axis=1)
             distances += len(spaced)
             start = np.unique(np.concatenate([start, spaced[np.argsort(gaps, kind="stable")[:PROBE_SEEDS]]]))
@@ -130,7 +138,7 @@ def _two(kernel):
     return lambda rows, own: kernel(rows, own)
 
 
-def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], k: int, ef: int, hard_prune: bool = False, whole: bool = False, judged: DataFrame | None = None, probes: int = PROBES) -> DataFrame:
+def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], k: int, ef: int, hard_prune: bool = False, whole: bool = False, judged: DataFrame | None = None, probes: int = PROBES, scan_ef: int = SCAN_EF) -> DataFrame:
     """``qid``, ``rank``, ``id``, ``dist``, ``distances``, ``hops`` of stated queries ``qid``, ``qv``, ``nav_attr``, ``bounds``.
 
     ``judged`` are ``nodes`` with a flag ``gone``: such rows are bridges and never results.
@@ -170,7 +178,7 @@ def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attribut
                 for q in by_attr.get(attr, ()):
                     left = 0 if whole else int(np.searchsorted(order, low[attr][q], side="left"))
                     right = rows.num_rows - 1 if whole else int(np.searchsorted(order, high[attr][q], side="right")) - 1
-                    near, distances, hops = graph.walk(vectors_of[q], left, right, ranges.admitted(q), k, ef, hard_prune, probes)
+                    near, distances, hops = graph.walk(vectors_of[q], left, right, ranges.admitted(q), k, ef, hard_prune, probes, scan_ef)
                     found += [(qids[q], int(graph.ids[r]), vectors[r].astype(np.float32), 0 if i else distances, 0 if i else hops) for i, r in enumerate(near)]
             columns = list(zip(*found)) if found else [()] * 5
             kinds = {"qid": pa.int64(), "id": pa.int64(), "v": pa.list_(pa.float32()), "distances": pa.int64(), "hops": pa.int64()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veldra.functions import predicates, vectors
 from veldra.operators import dynamic, evaluate, exact, graph, hnsw, index, knn, overlay, ranks, routing, search, strategies, summaries, workload
 from veldra.plans import fixtures
-from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
+from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, PROFILES_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
 from veldra.session import scratch, stored
 
 K = 10
@@ -344,6 +344,37 @@ def routed(spark: SparkSession, sf_dir: str, indexed: list[int]) -> DataFrame:
     return wanted.join(routing.choose_navigation(spans(spark, sf_dir), wanted, indexed).select("qid", "nav_attr"), "qid")
 
 
+@registered(f", {PROFILES_SQL} SELECT qid, profile, rank, id, dist FROM pexact")
+def exact_topk_profiles(spark, sf_dir):
+    """Exact rows where every attribute has a range."""
+    wanted = fixtures.range_profiles(spark, sf_dir)
+    return exact.with_queries(exact.exact_topk(base(spark, sf_dir), wanted, K, ATTRIBUTES), wanted.select("qid", "profile")).select("qid", "profile", "rank", "id", "dist")
+
+
+#: Sizes of the exploration set whose recall is reported.
+REPORTED_EF = (16, 32, 64, 128)
+
+
+@registered()
+def walk_recall(spark, sf_dir):
+    """``profile``, ``method``, ``ef``, ``recall`` of walks without scans, where every attribute has a range: rows found of those within the exact k-th distance."""
+    rows, wanted = base(spark, sf_dir), fixtures.range_profiles(spark, sf_dir)
+    exactly = stored(exact_topk_profiles(spark, sf_dir), "exact")
+    nodes, edges = sharded_graphs(spark, sf_dir, [0, 1, 2])
+    navigated = wanted.join(routing.choose_navigation(ranks.rank_ranges(ranks.long_form(rows, ATTRIBUTES), wanted).withColumn("active", F.lit(True)), wanted, [0, 1, 2]).select("qid", "nav_attr"), "qid")
+    navigated = stored(navigated.select("qid", "qv", "nav_attr", "bounds"), "navigated")
+    out = None
+    for method, hard_prune in (("bridge", False), ("hard_prune", True)):
+        for ef in REPORTED_EF:
+            found = search.walk_shards(nodes, edges, navigated, ATTRIBUTES, K, ef, hard_prune, scan_ef=0).select("qid", "dist")
+            own = found.select("qid", "dist", F.lit(method).alias("method"), F.lit(ef).alias("ef"))
+            out = own if out is None else out.unionByName(own)
+    limits = exactly.groupBy("qid", "profile").agg(F.max("dist").alias("limit"), F.count("*").alias("want"))
+    each = limits.withColumn("x", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(e).alias("ef")) for m in ("bridge", "hard_prune") for e in REPORTED_EF]))).select("qid", "profile", "limit", "want", "x.*")
+    hits = each.join(out, ["qid", "method", "ef"], "left").groupBy("qid", "profile", "method", "ef", "want").agg(F.count_if(F.col("dist") <= F.col("limit")).alias("hit"))
+    return hits.groupBy("profile", "method", "ef").agg((F.sum(F.least("hit", "want")) / F.sum("want")).alias("recall"))
+
+
 #: Rows of a shard of the stored index: few, so that the tables give several shards.
 INDEX_ROWS = 200
 
@@ -379,7 +410,7 @@ def index_audit(spark, sf_dir):
 def _searched(spark: SparkSession, sf_dir: str, indexed: tuple[int, ...] = (0, 1, 2), **how) -> DataFrame:
     nodes, edges = sharded_graphs(spark, sf_dir, list(indexed))
     wanted = routed(spark, sf_dir, list(indexed))
-    walked = search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128, **how)
+    walked = search.walk_shards(nodes, edges, wanted, ATTRIBUTES, K, 128, scan_ef=0, **how)
     return search.with_fallback(walked, base(spark, sf_dir), wanted, K, ATTRIBUTES)
 
 

@@ -39,6 +39,22 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("qid", "qv", F.concat(F.lit("p"), turn.cast("string")).alias("profile"), turn.cast("int").alias("primary_attr"), bounds.alias("bounds"), F.array(*[turn == a for a in range(3)]).alias("active"))
 
 
+#: Half widths of the ranges around a query's own values: of all attributes alike, and of one narrow attribute and wide others.
+BALANCED, NARROW, WIDER = (2, 6, 8), (1, 2, 3), (5, 12, 16)
+
+
+def range_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``qid``, ``qv``, ``profile``, ``bounds``: every attribute of a query has a range around the query row's own value.
+
+    Profiles by turn: ``balanced``, and ``narrow0`` to ``narrow2``, of which the named attribute alone is narrow.
+    """
+    own = base(spark, sf_dir).where(F.col("id") % QUERY_STEP == 0).withColumn("turn", F.expr(f"id div {QUERY_STEP}") % 4)
+    width = lambda a: F.when(F.col("turn") == 0, BALANCED[a]).when(F.col("turn") == a + 1, NARROW[a]).otherwise(WIDER[a])
+    bounds = float_bounds([(F.col(name) - width(a), F.col(name) + width(a)) for a, name in enumerate(ATTRIBUTES)])
+    profile = F.when(F.col("turn") == 0, "balanced").otherwise(F.concat(F.lit("narrow"), (F.col("turn") - 1).cast("string")))
+    return own.select(F.col("id").alias("qid"), F.col("v").alias("qv"), profile.alias("profile"), bounds.alias("bounds"))
+
+
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sequence`` (from 1), ``id``, ``op``, ``v``, ``attrs`` from all events but views, in the order of time."""
     rows = base(spark, sf_dir).select("id", "v")
@@ -80,6 +96,15 @@ rr AS (SELECT qid, attr, CASE WHEN lo > hi THEN 1 ELSE lo END AS lo, CASE WHEN l
 spans AS (SELECT rr.*, greatest(hi - lo + 1, 0) AS span, attr = primary_attr AS active FROM rr JOIN q USING (qid))
 """
 
+_HALF = ["CASE turn WHEN 0 THEN {} WHEN {} THEN {} ELSE {} END".format(BALANCED[a], a + 1, NARROW[a], WIDER[a]) for a in range(3)]
+#: The exact rows of ``range_profiles``: pexact.
+PROFILES_SQL = f"""
+pq AS (SELECT id AS qid, v AS qv, a0, a1, a2, CASE turn WHEN 0 THEN 'balanced' ELSE 'narrow' || (turn - 1) END AS profile, {", ".join(f"{h} AS w{a}" for a, h in enumerate(_HALF))}
+  FROM (SELECT *, (id // {QUERY_STEP}) % 4 AS turn FROM base WHERE id % {QUERY_STEP} = 0)),
+plegal AS (SELECT q.qid, q.profile, b.id, {DIST.format(a="b.v", b="q.qv")} AS dist FROM base b JOIN pq q ON {" AND ".join(f"b.a{a} BETWEEN q.a{a} - w{a} AND q.a{a} + w{a}" for a in range(3))}),
+pexact AS (SELECT qid, profile, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM plegal) WHERE rank <= 10)
+"""
+
 MUTATIONS_SQL = """
 nb AS (SELECT count(*) AS n FROM base),
 ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS sequence, event_id, user_id,
