@@ -120,3 +120,34 @@ def test_few_admitted_rows_are_measured_all():
     want = inside[np.argsort(((v[inside] - v[7]) ** 2).sum(axis=1))[:10]].tolist()
     assert lone.walk(v[7], 100, 400, admitted, 10, 16, probes=64)[0] == want
     assert lone.walk(v[7], 100, 400, admitted, 10, 16, probes=64, scan_ef=0)[0] != want
+
+
+def test_stop_conditions_find_documents_and_rows_in_ranges(spark, sf_dir):
+    from veldra.plans import catalogue, fixtures
+
+    rows, wanted = fixtures.base(spark, sf_dir), fixtures.range_profiles(spark, sf_dir)
+    legal = [(r.qid, r.id, r.dist) for r in strategies.legal_rows(rows, wanted, fixtures.ATTRIBUTES).collect()]
+    docs, near = {}, {}
+    for q, i, d in legal:
+        docs.setdefault(q, {}).setdefault(i // 5, []).append(d)
+        near.setdefault(q, []).append((d, i))
+    want = {q: sorted((min(ds), doc) for doc, ds in own.items())[: catalogue.K] for q, own in docs.items()}
+    got = {(r.qid, r.doc): r.best_dist for r in catalogue.graph_top_documents(spark, sf_dir).collect()}
+    assert all(d == pytest.approx(min(docs[q][doc])) for (q, doc), d in got.items())
+    assert sum((q, doc) in got for q, own in want.items() for _, doc in own) >= 0.9 * sum(map(len, want.values()))
+    want = {(q, i) for q, own in near.items() for d, i in sorted(own)[:50] if d <= 1.5}
+    got = {(r.qid, r.id) for r in catalogue.graph_within_radius(spark, sf_dir).collect()}
+    assert got <= {(q, i) for q, i, d in legal if d <= 1.5} and len(got & want) >= 0.9 * len(want)
+
+
+def test_conditions_count_as_stated():
+    held = search.Documents(np.array([0, 0, 1, 2, 2, 3]), 2)
+    for rank, d in ((3, 5.0), (0, 4.0), (1, 6.0), (2, 3.0)):
+        assert held.considers(d) or rank == 1
+        held.add(rank, d)
+    assert held.found() == [2, 0] and held.stops(4.5) and not held.stops(3.5)  # document 2 went, and the farther row of 0 with it
+    ball = search.Radius(4.0, 3, 2)
+    for rank, d in enumerate((9.0, 3.0, 1.0, 2.0)):
+        assert ball.stops(9.5) == (rank >= 3)
+        ball.add(rank, d)
+    assert ball.found() == [2, 3] and ball.stops(2.5) and not ball.stops(1.5)

@@ -276,8 +276,8 @@ def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return loops.crossJoin(repeated).crossJoin(dangling).crossJoin(unreached)
 
 
-def sharded_nodes(base: DataFrame, attributes: list[str], indexed: list[int], shard_rows: int, shard: Column | None = None) -> DataFrame:
-    """``attr``, ``shard``, ``n`` (rows of the shard), ``node``, ``id``, ``v`` and the attributes: each shard's rows numbered by (value, id) of each indexed attribute.
+def sharded_nodes(base: DataFrame, attributes: list[str], indexed: list[int], shard_rows: int, shard: Column | None = None, extra: list[str] | None = None) -> DataFrame:
+    """``attr``, ``shard``, ``n`` (rows of the shard), ``node``, ``id``, ``v``, the attributes and ``extra`` columns: each shard's rows numbered by (value, id) of each indexed attribute.
 
     Shards are dealt by a hash of the id, about ``shard_rows`` rows each, or
     given by a column of numbers below the number of shards. A row
@@ -285,14 +285,14 @@ def sharded_nodes(base: DataFrame, attributes: list[str], indexed: list[int], sh
     Whole numbers stay such, other attributes become floats.
     """
     shards = max(1, -(-base.count() // shard_rows)) if shard is None else (base.agg(F.max(shard)).first()[0] or 0) + 1
-    dealt = base.select("id", "v", *typed(base, attributes), (F.pmod(F.xxhash64("id"), F.lit(shards)) if shard is None else shard).alias("shard"))
+    dealt = base.select("id", "v", *typed(base, attributes), *(extra or []), (F.pmod(F.xxhash64("id"), F.lit(shards)) if shard is None else shard).alias("shard"))
     orders = {i: F.row_number().over(Window.partitionBy("shard").orderBy(F.col(attributes[i]).asc_nulls_last(), "id")) - 1 for i in indexed}
     counts = {i: F.count(attributes[i]).over(Window.partitionBy("shard")) for i in indexed}
     each = F.explode(F.array(*[F.when(F.col(attributes[i]).isNotNull(), F.struct(F.lit(i).alias("attr"), F.col(f"__rnk{i}").alias("rnk"), F.col(f"__n{i}").alias("n"))) for i in indexed]))
     numbered = dealt.withColumns({f"__rnk{i}": o for i, o in orders.items()} | {f"__n{i}": c for i, c in counts.items()}).withColumn("x", each).where("x is not null")
-    numbered = numbered.select("x.attr", "x.rnk", "x.n", "shard", "id", "v", *attributes)
+    numbered = numbered.select("x.attr", "x.rnk", "x.n", "shard", "id", "v", *attributes, *(extra or []))
     node = (F.col("attr").cast("long") * shards + F.col("shard")) * SHARD_SPAN + F.col("rnk")
-    return numbered.select("attr", "shard", "n", node.alias("node"), "id", "v", *attributes)
+    return numbered.select("attr", "shard", "n", node.alias("node"), "id", "v", *attributes, *(extra or []))
 
 
 def shard_neighbours(nodes: DataFrame, count: int) -> DataFrame:

@@ -133,6 +133,90 @@ class Graph:
         return [placed[e] for e in sorted(results, reverse=True)], distances, hops
 
 
+class Documents:
+    """A stop condition that counts groups instead of rows: a walk keeps the ``ef`` nearest distinct groups it has met."""
+
+    def __init__(self, groups: np.ndarray, ef: int):
+        self.groups, self.ef = groups, ef
+        self.kept: list[tuple[float, int]] = []  # negated distance and rank, farthest first
+        self.rows: dict[int, int] = {}  # kept rows of each group
+
+    def considers(self, d: float) -> bool:
+        return len(self.rows) < self.ef or d < -self.kept[0][0]
+
+    def add(self, rank: int, d: float) -> None:
+        group = int(self.groups[rank])
+        heappush(self.kept, (-d, rank))
+        self.rows[group] = self.rows.get(group, 0) + 1
+        while len(self.rows) > self.ef:
+            last = int(self.groups[heappop(self.kept)[1]])
+            self.rows[last] -= 1
+            if not self.rows[last]:
+                del self.rows[last]
+
+    def stops(self, d: float) -> bool:
+        return len(self.rows) >= self.ef and d > -self.kept[0][0]
+
+    def found(self) -> list[int]:
+        return [rank for _, rank in sorted(self.kept, reverse=True)]
+
+
+class Radius:
+    """A stop condition for all rows within a squared distance: the ``most`` nearest, after ``least`` admitted rows of any distance were met."""
+
+    def __init__(self, radius: float, least: int, most: int):
+        self.radius, self.least, self.most, self.met = radius, least, most, 0
+        self.kept: list[tuple[float, int]] = []
+
+    def considers(self, d: float) -> bool:
+        return len(self.kept) < self.most or d < -self.kept[0][0]
+
+    def add(self, rank: int, d: float) -> None:
+        self.met += 1
+        if d <= self.radius:
+            heappush(self.kept, (-d, rank)) if len(self.kept) < self.most else heapreplace(self.kept, max(self.kept[0], (-d, rank)))
+
+    def stops(self, d: float) -> bool:
+        return self.met >= self.least and (d > self.radius or len(self.kept) >= self.most and d > -self.kept[0][0])
+
+    def found(self) -> list[int]:
+        return [rank for _, rank in sorted(self.kept, reverse=True)]
+
+
+def walk_until(graph: Graph, query: np.ndarray, left: int, right: int, admitted: np.ndarray, condition: Documents | Radius, probes: int = PROBES) -> list[int]:
+    """Ranks that a condition keeps, nearest first: a best-first walk that the condition steers and ends.
+
+    Rows that are not admitted are bridges as far as the condition still
+    considers their distance. Starts are those of ``Graph.walk``.
+    """
+    if left > right:
+        return []
+    inside = np.flatnonzero(admitted[left : right + 1]) + left
+    spaced = inside[np.unique(np.linspace(0, len(inside) - 1, min(probes, len(inside))).astype(np.int64))] if len(inside) else inside
+    near = spaced[np.argsort(((graph.vectors[spaced] - query) ** 2).sum(axis=1), kind="stable")[:PROBE_SEEDS]]
+    frontier: list[tuple[float, int]] = []
+    fresh = np.unique(np.concatenate([np.array(graph.seeds(left, right), dtype=np.int64), near]))
+    seen = set(fresh.tolist())
+    small = right - left + 1 < SMALL_SHARE * len(graph.ids)
+    while True:
+        for rank, d in zip(fresh.tolist(), ((graph.vectors[fresh] - query) ** 2).sum(axis=1).tolist()):
+            if condition.considers(d):
+                heappush(frontier, (d, rank))
+                if admitted[rank]:
+                    condition.add(rank, d)
+        if not frontier:
+            return condition.found()
+        d, rank = heappop(frontier)
+        if condition.stops(d):
+            return condition.found()
+        own = graph.edges[graph.first[rank] : graph.first[rank + 1]]
+        usable = (own[:, 1] >= left) & (own[:, 1] <= right)
+        if not small:
+            usable &= (own[:, 2] <= left) & (left <= own[:, 3]) & (own[:, 4] <= right) & (right <= own[:, 5])
+        fresh = np.array([r for r in own[usable, 1].tolist() if r not in seen], dtype=np.int64)
+        seen.update(fresh.tolist())
+
+
 def _two(kernel):
     """A function of two tables, as a cogroup asks for."""
     return lambda rows, own: kernel(rows, own)
@@ -150,6 +234,40 @@ def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attribut
     shards that have results.
     Queries without ``nav_attr`` have no rows here: see ``with_fallback``.
     """
+    near = lambda graph, rows: lambda query, left, right, admitted: graph.walk(query, left, right, admitted, k, ef, hard_prune, probes, scan_ef)
+    found = _walked(nodes if judged is None else judged, edges, queries, attributes, near, whole)
+    measured = with_queries(found, queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
+    work = Window.partitionBy("qid")
+    per_shard = F.sum("distances").over(work), F.sum("hops").over(work)
+    return ranked(measured.select("qid", "id", "dist", per_shard[0].alias("distances"), per_shard[1].alias("hops")), k).select("qid", "rank", "id", "dist", "distances", "hops")
+
+
+def top_documents(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], group: str, k: int, ef: int, probes: int = PROBES) -> DataFrame:
+    """``qid``, the group and ``best_dist``: about the k groups with the nearest row in the ranges; ties by group.
+
+    ``group`` is a whole-number column of the nodes. Every shard's walk goes on
+    until it has met ``ef`` distinct groups and the next row is farther than all of them.
+    """
+
+    def near(graph: Graph, rows: pa.Table):
+        groups = np.asarray(rows.column(group).fill_null(-1), dtype=np.int64)
+        return lambda query, left, right, admitted: (walk_until(graph, query, left, right, admitted & (groups != -1), Documents(groups, ef), probes), 0, 0)
+
+    found = _walked(nodes, edges, queries, attributes, near, False).select("qid", "id", "v").join(nodes.select("id", group).distinct(), "id")
+    measured = with_queries(found, queries.select("qid", "qv")).select("qid", group, squared_l2(F.col("v"), F.col("qv")).alias("dist"))
+    return ranked(measured.groupBy("qid", group).agg(F.min("dist").alias("best_dist")), k, "best_dist", group).select("qid", group, "best_dist")
+
+
+def within_radius(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], radius: float, least: int, most: int, probes: int = PROBES) -> DataFrame:
+    """``qid``, ``id``, ``dist`` of about all rows in the ranges within a squared distance, the ``most`` nearest; a shard's walk meets ``least`` rows before it stops."""
+    near = lambda graph, rows: lambda query, left, right, admitted: (walk_until(graph, query, left, right, admitted, Radius(radius, least, most), probes), 0, 0)
+    found = _walked(nodes, edges, queries, attributes, near, False)
+    measured = with_queries(found, queries.select("qid", "qv")).select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
+    return ranked(measured.where(F.col("dist") <= radius), most).select("qid", "id", "dist")
+
+
+def _walked(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attributes: list[str], walker, whole: bool) -> DataFrame:
+    """``qid``, ``id``, ``v``, ``distances``, ``hops`` of what ``walker(graph, rows)(query, left, right, admitted)`` finds in every shard."""
     spark = nodes.sparkSession
     ship_package(spark)
     out: DataFrame | None = None
@@ -175,24 +293,20 @@ def walk_shards(nodes: DataFrame, edges: DataFrame, queries: DataFrame, attribut
                 if "gone" in rows.column_names:
                     ranges.there &= ~np.asarray(rows.column("gone").fill_null(False), dtype=bool)
                 graph = Graph(np.asarray(rows.column("id"), dtype=np.int64), vectors, table)
+                walk = walker(graph, rows)
                 for q in by_attr.get(attr, ()):
                     left = 0 if whole else int(np.searchsorted(order, low[attr][q], side="left"))
                     right = rows.num_rows - 1 if whole else int(np.searchsorted(order, high[attr][q], side="right")) - 1
-                    near, distances, hops = graph.walk(vectors_of[q], left, right, ranges.admitted(q), k, ef, hard_prune, probes, scan_ef)
+                    near, distances, hops = walk(vectors_of[q], left, right, ranges.admitted(q))
                     found += [(qids[q], int(graph.ids[r]), vectors[r].astype(np.float32), 0 if i else distances, 0 if i else hops) for i, r in enumerate(near)]
             columns = list(zip(*found)) if found else [()] * 5
             kinds = {"qid": pa.int64(), "id": pa.int64(), "v": pa.list_(pa.float32()), "distances": pa.int64(), "hops": pa.int64()}
             return pa.table({n: pa.array(list(c), t) for (n, t), c in zip(kinds.items(), columns)})
 
         own = edges.withColumnsRenamed({"attr": "edge_attr", "shard": "edge_shard"})
-        found = (nodes if judged is None else judged).groupBy("attr", "shard").cogroup(own.groupBy("edge_attr", "edge_shard")).applyInArrow(_two(kernel), "qid long, id long, v array<float>, distances long, hops long")
+        found = nodes.groupBy("attr", "shard").cogroup(own.groupBy("edge_attr", "edge_shard")).applyInArrow(_two(kernel), "qid long, id long, v array<float>, distances long, hops long")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "qid long, rank int, id long, dist double, distances long, hops long")
-    measured = with_queries(out, queries.select("qid", "qv")).withColumn("dist", squared_l2(F.col("v"), F.col("qv")))
-    work = Window.partitionBy("qid")
-    per_shard = F.sum("distances").over(work), F.sum("hops").over(work)
-    return ranked(measured.select("qid", "id", "dist", per_shard[0].alias("distances"), per_shard[1].alias("hops")), k).select("qid", "rank", "id", "dist", "distances", "hops")
+    return spark.createDataFrame([], "qid long, id long, v array<float>, distances long, hops long") if out is None else out
 
 
 def with_fallback(walked: DataFrame, base: DataFrame, queries: DataFrame, k: int, attributes: list[str]) -> DataFrame:

@@ -375,6 +375,29 @@ def walk_recall(spark, sf_dir):
     return hits.groupBy("profile", "method", "ef").agg((F.sum(F.least("hit", "want")) / F.sum("want")).alias("recall"))
 
 
+def profile_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with their group (``doc``: five rows each), edges, and navigated queries with a range on every attribute."""
+    rows, wanted = base(spark, sf_dir).withColumn("doc", F.expr("id div 5")), fixtures.range_profiles(spark, sf_dir)
+    nodes = stored(graph.sharded_nodes(rows, ATTRIBUTES, [0, 1, 2], SHARD_ROWS, extra=["doc"]), "nodes")
+    edges = stored(graph.build_sharded(nodes), "graph")
+    navigated = routing.choose_navigation(ranks.rank_ranges(ranks.long_form(rows, ATTRIBUTES), wanted).withColumn("active", F.lit(True)), wanted, [0, 1, 2]).select("qid", "nav_attr")
+    return nodes, edges, stored(wanted.join(navigated, "qid"), "navigated")
+
+
+@registered()
+def graph_top_documents(spark, sf_dir):
+    """The nearest documents, of which every fifth row starts one, under ranges on every attribute: walks that count documents."""
+    nodes, edges, wanted = profile_graphs(spark, sf_dir)
+    return search.top_documents(nodes, edges, wanted, ATTRIBUTES, "doc", K, 64)
+
+
+@registered()
+def graph_within_radius(spark, sf_dir):
+    """Rows within a distance under ranges on every attribute: walks that a radius ends."""
+    nodes, edges, wanted = profile_graphs(spark, sf_dir)
+    return search.within_radius(nodes, edges, wanted, ATTRIBUTES, 1.5, 100, 50)
+
+
 #: Rows of a shard of the stored index: few, so that the tables give several shards.
 INDEX_ROWS = 200
 
