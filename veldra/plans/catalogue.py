@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import predicates, vectors
-from veldra.operators import dynamic, evaluate, exact, graph, hnsw, index, knn, overlay, ranks, routing, search, strategies, summaries, workload
+from veldra.operators import dynamic, evaluate, exact, graph, hnsw, index, knn, overlay, ranks, routing, runs, search, strategies, summaries, workload
 from veldra.plans import fixtures
 from veldra.plans.fixtures import ATTRIBUTES, MUTATIONS_SQL, PROFILES_SQL, WITH_SQL, base, dist_sql, queries, resolved, table
 from veldra.session import scratch, stored
@@ -216,6 +216,19 @@ def live_view(spark, sf_dir):
     return overlay.live_view(resolved(spark, sf_dir), base(spark, sf_dir), ATTRIBUTES).select("id", "version", "from_delta", *ATTRIBUTES)
 
 
+@registered("SELECT id, version, from_delta, a0, a1, a2 FROM live", mutated=True)
+def live_view_runs(spark, sf_dir):
+    """The live view from sorted runs, to which the log came in four batches, two of them compacted."""
+    log, rows = stored(fixtures.mutations(spark, sf_dir), "mutations"), base(spark, sf_dir)
+    top = log.agg(F.max("sequence")).first()[0] or 0
+    kept = runs.Runs(spark, scratch(spark, "runs"), rows, ATTRIBUTES)
+    for part in range(1, 5):
+        kept.append(log.where(F.col("sequence") <= top * part // 4))
+        if part == 2:
+            kept.compact()
+    return kept.live_view().select("id", "version", "from_delta", *ATTRIBUTES)
+
+
 @registered("SELECT qid, rank, id, dist, version, from_delta FROM dtop", mutated=True)
 def dynamic_topk(spark, sf_dir):
     live = stored(overlay.live_view(resolved(spark, sf_dir), base(spark, sf_dir), ATTRIBUTES), "live")
