@@ -116,7 +116,9 @@ def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "te
     names. A null host is a host of its own kind (all such rows together); a
     null text has no word, one of any length is measured whole; repeated rows
     each count and each give a row; an empty table gives no rows. Measured rows are written once to the shared
-    folder, so that texts are measured once and never shuffled.
+    folder, so that texts are measured once. Verdicts of up to ``broadcast_hosts`` hosts are broadcast and no text is
+    shuffled; of more hosts, kept columns are shuffled by host, a host with a large share in parts where adaptive
+    execution splits it.
     """
     spark = docs.sparkSession
     path = scratch(spark, "rules")
