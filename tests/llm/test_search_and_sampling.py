@@ -8,7 +8,6 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from veldra.llm import importance, suffix_dedup, treap_search
 

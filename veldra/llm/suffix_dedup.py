@@ -211,7 +211,7 @@ def mark_grams(table: pa.Table, hot: int) -> pa.Table:
 
 
 def send_pieces(table: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
-    """A chunk's messages: its pieces and windows by bucket, and to itself where they occur."""
+    """A chunk's messages: its pieces by bucket, and to itself where they occur."""
     chunk, kinds = Chunk(table), pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
     if not table.num_rows or not marks.num_rows:
         return kinds.empty_table()
