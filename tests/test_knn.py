@@ -51,3 +51,29 @@ def test_descent_finds_most_neighbours(spark, shape):
     assert sum(d <= want[i][-1][1] for i, x in got.items() for _, d in x) >= 0.9 * 10 * len(v)
     assert all(d == pytest.approx(float(((v[i // 3] - v[j // 3]) ** 2).sum())) for i, x in list(got.items())[:50] for j, d in x)
     assert changes == sorted(changes, reverse=True)
+
+
+def test_a_frame_that_comes_from_a_join(spark):
+    from pyspark.sql import functions as F
+
+    v = np.random.default_rng(3).integers(0, 4, (60, 3)).astype(np.float32).astype(float)
+    rows = table_of(spark, v)
+    joined = rows.select(F.col("id").alias("old"), "v").join(rows.select(F.col("id").alias("old")), "old").select(F.col("old").alias("id"), "v")
+    assert found(knn.exact_neighbours(joined, 5, 25)) == brute(v, 5)
+
+
+def test_blocks_stay_few_as_rows_grow():
+    assert [knn.block_count(n) for n in (0, 1, 4096, 4097, 50_000, 102_564, 615_384)] == [1, 1, 1, 2, 12, 12, 12]
+    assert knn.block_count(10_000_000) == 153 and knn.block_count(230, 70) == 4
+
+
+def test_pieces_of_the_right_rows_lose_nothing(monkeypatch):
+    chance = np.random.default_rng(4)
+    for v in (chance.normal(size=(300, 16)), np.repeat(chance.normal(size=(15, 4)), 20, axis=0), chance.normal(size=(200, 3)) * 1e20, np.zeros((90, 2))):
+        ids = 3 * np.arange(len(v))
+        monkeypatch.setattr(knn, "RIGHT_ROWS", 37)
+        src, dst, dist = knn._near(ids, v, ids, v, 7)
+        got = {}
+        for s, d, x in zip(src.tolist(), dst.tolist(), dist.tolist()):
+            got.setdefault(s, []).append((d, x))
+        assert got == brute(v, 7)
