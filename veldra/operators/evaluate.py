@@ -35,13 +35,14 @@ def tie_recall(results: DataFrame, truth: DataFrame, legal: DataFrame, queries:
     return rows.select("qid", F.when(n == 0, 1.0).otherwise(credit / n).alias("tie_recall"), F.when(n == 0, 1.0).otherwise(F.least(n, F.col("hs") + F.col("hb")) / n).alias("radius_recall"))
 
 
-def audit(results: DataFrame, base_ids: DataFrame, legal: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def audit(results: DataFrame, base_ids: DataFrame, legal: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
     """One row of counts over results ``qid``, ``id``, ``dist``.
 
     ``illegal_ids`` don't exist, ``illegal`` fail a predicate, ``duplicates``
     repeat an id, ``mismatched`` report another distance, ``insufficient``
     queries have fewer valid results than min(k, legal rows), ``empty_errors``
-    have results though no row is legal.
+    have results though no row is legal. With ``targets`` (``qid``, ``n``: all
+    legal rows of a query, none left out as 0) ``legal`` may lack rows that are no results.
     """
     known = base_ids.select("id", F.lit(True).alias("known"))
     judged = results.join(known, "id", "left").join(legal.select("qid", "id", F.col("dist").alias("true_dist")), ["qid", "id"], "left")
@@ -50,7 +51,7 @@ def audit(results: DataFrame, base_ids: DataFrame, legal: DataFrame, queries: Da
     repeats = results.groupBy("qid", "id").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicates"))
     valid = judged.where(F.col("true_dist").isNotNull()).select("qid", "id").distinct().groupBy("qid").agg(F.count("*").alias("valid"))
     returned = results.groupBy("qid").agg(F.count("*").alias("returned"))
-    target = legal.groupBy("qid").agg(F.count("*").alias("target"))
+    target = legal.groupBy("qid").agg(F.count("*").alias("target")) if targets is None else targets.select("qid", F.col("n").alias("target"))
     per = queries.select("qid").join(valid, "qid", "left").join(returned, "qid", "left").join(target, "qid", "left").na.fill(0)
     short = per.agg(F.count_if(F.col("valid") < F.least(F.lit(k), F.col("target"))).alias("insufficient"), F.count_if((F.col("target") == 0) & (F.col("returned") > 0)).alias("empty_errors"))
     return counts.crossJoin(repeats).crossJoin(short).select("illegal_ids", "illegal", "duplicates", "mismatched", "insufficient", "empty_errors")

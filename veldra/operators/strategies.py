@@ -59,3 +59,9 @@ def legal_rows(base: DataFrame, queries: DataFrame, attributes: list[str]) -> Da
     """``qid``, ``id``, ``dist`` of all rows in the ranges, measured."""
     near = pairs(base.select("id", "v", *attributes), queries.select("qid", "qv", "bounds"), in_ranges([F.col(a) for a in attributes], F.col("bounds")))
     return near.select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
+
+
+def legal_among(proposed: DataFrame, base: DataFrame, queries: DataFrame, attributes: list[str]) -> DataFrame:
+    """``legal_rows`` of the proposed ``qid``, ``id`` alone: they are looked up by id, and no other pair is made."""
+    near = with_queries(proposed.select("qid", "id").distinct().join(base.select("id", "v", *attributes), "id"), queries.select("qid", "qv", "bounds"))
+    return near.where(in_ranges([F.col(a) for a in attributes], F.col("bounds"))).select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
