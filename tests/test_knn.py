@@ -77,3 +77,10 @@ def test_pieces_of_the_right_rows_lose_nothing(monkeypatch):
         for s, d, x in zip(src.tolist(), dst.tolist(), dist.tolist()):
             got.setdefault(s, []).append((d, x))
         assert got == brute(v, 7)
+
+
+def test_edges_are_found_once(spark, sf_dir):
+    from veldra.plans import catalogue
+
+    plan = catalogue.graph_integrity(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Relation" in plan
