@@ -44,3 +44,14 @@ def test_proposed_pairs_are_judged_as_among_all_legal_rows(spark, sf_dir):
 def test_audits_make_no_pairs_of_all_rows(spark, sf_dir, name, monkeypatch):
     monkeypatch.setattr(strategies, "legal_rows", None)
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_queries_step_by_step_find_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float((i * 37 + d * 11) % 19 - 9) / 7 for d in range(3)], float(i % 6)) for i in range(700)], "id long, v array<float>, a float").repartition(2)
+    bounds = F.array(F.struct(F.lit(1.0).alias("low"), F.lit(4.0).alias("high")))
+    wanted = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"), bounds.alias("bounds"))
+    monkeypatch.setattr(exact, "QUERY_STEP", 3)  # the array of distances has at most so many queries
+    monkeypatch.setattr(exact, "ROW_BLOCK", 90)
+    near = rows.crossJoin(wanted).where("a between 1 and 4").withColumn("dist", vectors.squared_l2(F.col("v"), F.col("qv")))
+    want = exact.ranked(near, 4).select("qid", "rank", "id", "dist")
+    assert sorted(map(tuple, exact.exact_topk(rows, wanted, 4, ["a"]).collect())) == sorted(map(tuple, want.collect()))
