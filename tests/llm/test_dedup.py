@@ -82,6 +82,34 @@ def test_variants_equal_brute_force(spark, seed):
     assert varied(spark, lines, templates) == want and 0 < len(want) < len(lines)
 
 
+def test_only_templates_that_a_pattern_may_meet_are_shuffled(spark):
+    sc = spark.sparkContext
+    jvm = sc._jvm
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        rows = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {rows.apply(i).stageId(): rows.apply(i).shuffleWriteBytes() for i in range(rows.size())}
+
+    chance = random.Random(3)
+    word = lambda: f"w{chance.getrandbits(40):x}"
+    templates = [(i, 5, 103, dict(enumerate(["a", "b", "c", *(word() for _ in range(100))]))) for i in range(200)]
+    near = lambda at, n: " ".join(w if k < 3 + n else "other" for k, w in templates[at][3].items())
+    lines = [(7, 5, near(7, 80)), (8, 5, near(9, 80)), (9, 5, near(12, 5))]  # of its own first document; a variant; too few fields
+    set_to = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    kept = {k: spark.conf.get(k) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        last = max(stages(), default=-1)
+        assert varied(spark, lines, templates, similarity=0.1) == {1}
+        written = sum(b for k, b in stages().items() if k > last)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert written < 200 * 91 * 100 * 8 / 2  # half of all constants, once for each of their template's 91 rare keys
+
+
 def test_rare_and_short_lines_stay(spark, docs_of):
     texts = [f"Yes.\nshared by four only\nunique words number {chr(97 + i) * 3} {chr(97 + i)}q {chr(98 + i)}w" if i < 4 else f"Yes.\nalone {chr(97 + i)} and {chr(98 + i)}" for i in range(8)]
     rows = deduped(docs_of(texts), min_docs=5)
