@@ -82,6 +82,37 @@ def test_variants_equal_brute_force(spark, seed):
     assert varied(spark, lines, templates) == want and 0 < len(want) < len(lines)
 
 
+#: All steps of ``line_dedup`` as it is by default, variants of templates too; ``OP6_SQL`` has none.
+WHOLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, unnest(range(0, len(string_split(t, chr(10))))) AS place FROM d),
+p AS (SELECT doc_id, place, trim(translate(s, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS s FROM l),
+m AS (SELECT doc_id, place, list_transform(string_split(s, ' '), lambda f: CASE WHEN regexp_matches(f, '[0-9]') THEN '<*>' ELSE f END) AS fs FROM p),
+f AS (SELECT doc_id, place, fs, len(fs) AS nf, fs[1:3] AS lead, greatest(1, ceil(0.6 * (len(fs) - 3))) AS least FROM m WHERE len(fs) >= 3),
+ex AS (SELECT fs, nf, lead, min(doc_id) AS first FROM f GROUP BY fs, nf, lead HAVING count(DISTINCT doc_id) >= 5),
+leaf AS (SELECT nf, lead FROM f GROUP BY nf, lead HAVING count(DISTINCT doc_id) >= 5),
+loose AS (SELECT f.* FROM f SEMI JOIN leaf USING (nf, lead) ANTI JOIN ex USING (fs)),
+fl AS (SELECT doc_id, place, nf, lead, least, unnest(fs) AS field, unnest(range(0, nf)) AS nth FROM loose),
+co AS (SELECT nf, lead, nth, field FROM fl GROUP BY nf, lead, nth, field HAVING count(DISTINCT doc_id) >= 5),
+sh AS (SELECT doc_id, place, nf, lead, list((nth, field) ORDER BY nth) AS c FROM fl JOIN co USING (nf, lead, nth, field) GROUP BY doc_id, place, nf, lead, least HAVING count(*) FILTER (WHERE nth >= 3) >= least),
+ge AS (SELECT nf, lead, c, min(doc_id) AS first FROM sh GROUP BY nf, lead, c HAVING count(DISTINCT doc_id) >= 5),
+te AS (SELECT row_number() OVER () AS id, * FROM (SELECT nf, lead, first, list_zip(range(0, nf), fs) AS c FROM ex UNION ALL SELECT nf, lead, first, c FROM ge)),
+tf AS (SELECT id, nf, lead, first, unnest(c)[1] AS nth, unnest(c)[2] AS field FROM te),
+rest AS (SELECT fl.* FROM fl ANTI JOIN (SELECT doc_id, place FROM sh SEMI JOIN ge USING (nf, lead, c)) USING (doc_id, place)),
+va AS (SELECT doc_id, place FROM rest JOIN tf USING (nf, lead, nth, field) WHERE nth >= 3 AND doc_id <> first GROUP BY doc_id, place, id, least HAVING count(*) >= least),
+gone AS (SELECT doc_id, place FROM f JOIN ex USING (fs) WHERE doc_id <> first UNION SELECT doc_id, place FROM sh JOIN ge USING (nf, lead, c) WHERE doc_id <> first UNION SELECT doc_id, place FROM va),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped, coalesce(string_agg(l.s, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text
+      FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, text FROM k
+"""
+
+
+@pytest.mark.parametrize("where", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_all_steps_equal_sql(spark, where):
+    docs = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text")
+    same_rows(line_dedup.line_dedup(docs).select("row.doc_id", "n_lines", "n_dropped", "text"), WHOLE_SQL, where)
+
+
 def test_only_templates_that_a_pattern_may_meet_are_shuffled(spark):
     sc = spark.sparkContext
     jvm = sc._jvm
