@@ -3,7 +3,7 @@
 Rows are dealt into shards of a bounded size by a hash of their ids. A task
 builds the graph of one shard; links are a table ``shard``, ``level``, ``src``,
 ``dst`` that can be written and read. A search walks all shards in parallel and
-merges their best rows; distances are measured again by the exact expression.
+merges their best rows; distances are summed in the order of the exact expression.
 A node's top level comes from a hash of its id, so that a build can be repeated.
 """
 
@@ -18,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.functions.vectors import squared_l2
-from veldra.operators.exact import Ranges, _bounds, query_blocks, ranked, typed, whole_numbers, with_queries
+from veldra.operators.exact import Ranges, _bounds, query_blocks, ranked, typed, whole_numbers
+from veldra.operators.knn import _exact
 from veldra.session import ship_package
 
 #: Rows of a shard; the number of shards follows from a count.
 SHARD_ROWS = 20_000
 M, EF_CONSTRUCTION = 16, 100
+#: Tasks that shards are dealt to, as a multiple of the shards.
+TASKS = 16
 
 LINKS = "shard long, level int, src long, dst long"
+RESULT = "qid long, id long, dist double"
 
 
 class Layers:
@@ -38,7 +41,9 @@ class Layers:
         self.entry = -1
 
     def gaps(self, query: np.ndarray, nodes: list[int]) -> list[float]:
-        return ((self.vectors[nodes] - query) ** 2).sum(axis=1).tolist()
+        apart = self.vectors.take(nodes, axis=0)
+        apart -= query
+        return np.einsum("ij,ij->i", apart, apart).tolist()
 
     def descend(self, query: np.ndarray, lowest: int) -> int:
         """The nearest node that greedy steps reach on the levels above ``lowest``."""
@@ -133,6 +138,16 @@ def sharded(base: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
 
 
+def apart(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt by shard to so many tasks that few have two shards: one shard takes long, and by their bytes many would be put into one task."""
+    return rows.repartition(max(1, min(4096, TASKS * shards)), "shard")
+
+
+def shard_count(rows: DataFrame) -> int:
+    """Shards, from their largest number."""
+    return (rows.agg(F.max("shard")).first()[0] or 0) + 1
+
+
 def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(table.column("id").combine_chunks(), dtype=np.int64)
     vectors = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
@@ -156,30 +171,31 @@ def build(rows: DataFrame, m: int = M) -> DataFrame:
         return pa.table({"shard": pa.array(np.full(len(src), shard)), "level": pa.array(levels.astype(np.int32)), "src": pa.array(ids[src]), "dst": pa.array(ids[dst])})
 
     hashed = rows.select("shard", F.col("id").cast("long").alias("id"), "v", F.abs(F.xxhash64(F.lit("level"), "id").bitwiseAND(F.lit(2**62 - 1))).alias("h"))
-    return hashed.groupBy("shard").applyInArrow(shard_links, LINKS)
+    return apart(hashed, shard_count(rows)).groupBy("shard").applyInArrow(shard_links, LINKS)
 
 
 def _walked(rows: DataFrame, links: DataFrame, queries: DataFrame, attributes: list[str] | None, pick: Callable[..., list[int]]) -> DataFrame:
-    """``qid``, ``id``, ``dist`` of the nodes that ``pick(layers, query, admits)`` gives in every shard; blocks of queries are walked one after the other."""
+    """``qid``, ``id``, ``dist`` of the nodes that ``pick(layers, query, admits)`` gives in every shard; blocks of queries are walked one after the other.
+
+    Distances are measured where the shard's vectors are, in the order of the column expression, so that no vector is joined to a result.
+    """
     spark = rows.sparkSession
     ship_package(spark)
-    names = attributes or []
-    left = rows.select("shard", F.col("id").cast("long").alias("id"), "v", *typed(rows, names))
+    names, shards = attributes or [], shard_count(rows)
+    left = apart(rows.select(F.col("shard").cast("long").alias("shard"), F.col("id").cast("long").alias("id"), "v", *typed(rows, names)), shards)
+    links = apart(links, shards)
     out: DataFrame | None = None
     for block in query_blocks(queries.select("qid", "qv", *(["bounds"] if names else []))):
         low, high = _bounds(block, names, whole_numbers(rows, names))
         shared = spark.sparkContext.broadcast(([r.qid for r in block], np.array([r.qv for r in block], dtype=np.float64), low, high))
-        found = left.groupBy("shard").cogroup(links.groupBy("shard")).applyInArrow(_shard_results(shared, names, pick), "qid long, id long")
+        found = left.groupBy("shard").cogroup(links.groupBy("shard")).applyInArrow(_shard_results(shared, names, pick), RESULT)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "qid long, id long, dist double")
-    measured = with_queries(out.join(rows.select("id", "v"), "id"), queries.select("qid", "qv"))
-    return measured.select("qid", "id", squared_l2(F.col("v"), F.col("qv")).alias("dist"))
+    return spark.createDataFrame([], RESULT) if out is None else out
 
 
 def _shard_results(shared, names: list[str], pick: Callable[..., list[int]]):
     def results(table: pa.Table, own: pa.Table) -> pa.Table:
-        qids, found = [], []
+        qids, found, dists = [], [], [np.empty(0)]
         if table.num_rows and own.num_rows:
             table = table.sort_by("id")
             ids, vectors = _arrays(table)
@@ -200,12 +216,12 @@ def _shard_results(shared, names: list[str], pick: Callable[..., list[int]]):
             for q, qid in enumerate(wanted):
                 admits = None
                 if names:
-                    inside = ranges.admitted(q)
-                    admits = lambda x, inside=inside: bool(inside[x])
+                    admits = ranges.admitted(q).tobytes().__getitem__
                 near = pick(graph, vectors_of[q], admits)
                 qids += [qid] * len(near)
                 found += ids[near].tolist()
-        return pa.table({"qid": pa.array(qids, pa.int64()), "id": pa.array(found, pa.int64())})
+                dists.append(_exact(vectors[near], vectors_of[q]))
+        return pa.table({"qid": pa.array(qids, pa.int64()), "id": pa.array(found, pa.int64()), "dist": pa.array(np.concatenate(dists), pa.float64())})
 
     return results
 
