@@ -27,3 +27,20 @@ def test_layered_results_are_measured_in_their_shards(spark):
     dists = {(r.qid, r.id): r.dist for r in exact.collect()}
     got = found.collect()
     assert len(got) == 140 and all(dists[r.qid, r.id] == r.dist for r in got)
+
+
+def test_many_graphs_are_sent_to_tasks_once(spark, monkeypatch):
+    from veldra.operators import graph
+
+    sizes = spark.createDataFrame([(400,), (20_000,)], "n long")
+    parts = lambda graphs: [r[0] for r in sizes.select(graph.shard_parts(graphs)).collect()]
+    assert parts(3) == [1, 5] and parts(40) == [1, 2] and parts(64) == parts(400) == [1, 1]
+    chance = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in v], float(i % 7)) for i, v in enumerate(chance.normal(size=(400, 4)))], "id long, v array<float>, a float")
+    monkeypatch.setattr(graph, "PART_ROWS", 20)
+    nodes = graph.sharded_nodes(rows, ["a"], [0], 200)
+    made = []
+    for whole in (1, 64):  # each of the graphs in one task, or in parts
+        monkeypatch.setattr(graph, "WHOLE_GRAPHS", whole)
+        made.append(sorted(map(tuple, graph.shard_edges(nodes, 10, 4).collect())))
+    assert made[0] == made[1] and made[0]
